@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 4096
 
 
-def block_of(position: Column, rows: int = BLOCK_ROWS) -> Column:
-    return F.floor(position / F.lit(rows)).cast("long")
+def block_of(position: str, rows: int = BLOCK_ROWS) -> Column:
+    return F.expr(f"`{position}` div {int(rows)}")
 
 
 def running_sums(
@@ -29,7 +29,7 @@ def running_sums(
     """Add running sums (current row included) per key in the order of ``position``."""
     named = df.select(
         "*",
-        block_of(F.col(position), block_rows).alias("_block"),
+        block_of(position, block_rows).alias("_block"),
         *[c.alias(f"_in_{name}") for name, c in sums.items()],
     ).repartition(*keys, "_block")
     inside = Window.partitionBy(*keys, "_block").orderBy(position).rowsBetween(

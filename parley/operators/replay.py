@@ -41,10 +41,12 @@ _EARLIER = (Window.unboundedPreceding, -1)
 def text_blocks(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(stream_id, block, pieces, text): the text of up to ``block_rows`` chunks."""
     return (
-        chunks.where(F.length("content") > 0)
-        .select("stream_id", block_of(F.col("seq"), block_rows).alias("block"), "seq", "content")
+        chunks.where((F.length("content") > 0) & F.col("stream_id").isNotNull())
+        .select("stream_id", block_of("seq", block_rows).alias("block"), "seq", "content")
+        # Stated here so that every use of the blocks has the same filters and shares one shuffle.
+        .where("block is not null")
         .groupBy(*STREAM_BLOCK)
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("pieces"))
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "content"))).alias("pieces"))
         .withColumn("text", F.array_join(F.transform("pieces", lambda p: p["content"]), ""))
     )
 
@@ -184,7 +186,7 @@ def _pieces(blocks: DataFrame) -> DataFrame:
             "tags_before",
             "calls_before",
             "calls_total",
-            F.inline("segments"),
+            F.inline_outer("segments"),
         )
         .withColumn("opened_by", F.when(F.col("k") == 0, F.col("entry_tag")).otherwise(F.col("tag")))
         .withColumn(
@@ -246,7 +248,7 @@ def _calls(located: DataFrame, block_rows: int) -> DataFrame:
         .select("stream_id", "block", "k", "part.*")
         .groupBy("stream_id", "call_no")
         .agg(
-            F.array_sort(F.collect_list(F.struct("block", "k", "text"))).alias("texts"),
+            F.sort_array(F.collect_list(F.struct("block", "k", "text"))).alias("texts"),
             F.max("closed_at").alias("closed_at"),
         )
         .withColumn("body", strip(F.array_join(F.transform("texts", lambda t: t["text"]), "")))
