@@ -66,6 +66,7 @@ def _held_tags(blocks: DataFrame) -> DataFrame:
         *STREAM_BLOCK,
         F.coalesce(F.lag("held").over(ordered), F.lit("")).alias("carry"),
         F.lead("block").over(ordered).isNull().alias("is_last"),
+        "held",
     )
 
 
@@ -217,7 +218,7 @@ def _pieces(blocks: DataFrame) -> DataFrame:
 
 def _located_blocks(chunks: DataFrame, block_rows: int) -> DataFrame:
     blocks = text_blocks(chunks, block_rows)
-    carried = blocks.join(_held_tags(blocks), STREAM_BLOCK)
+    carried = blocks.join(_held_tags(blocks).drop("held"), STREAM_BLOCK)
     return carried.join(_block_states(_with_segments(carried)), STREAM_BLOCK)
 
 
@@ -305,6 +306,15 @@ def stream_calls(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return _call_rows(_calls(_located_blocks(chunks, block_rows), block_rows)).drop("part")
 
 
+def held_tails(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The started tag each stream ends on; it is given out as text when the stream ends."""
+    return (
+        _held_tags(text_blocks(chunks, block_rows))
+        .where("is_last and length(held) > 0")
+        .select("stream_id", F.col("held").alias("flushed"))
+    )
+
+
 def lost_tails(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Length of the text lost in a call that never closed, per stream that has one."""
     return (

@@ -184,6 +184,7 @@ def normalise_requests(raw: DataFrame) -> DataFrame:
             {
                 "messages": F.transform("messages", message),
                 "stop": stop_sequences(F.col("stop")),
+                "logit_bias": F.transform_keys("logit_bias", lambda k, _: k.try_cast("int")),
                 "tool_choice": F.when(
                     mode.isNotNull() | F.col("tool_choice").isNotNull(),
                     F.struct(mode.alias("mode"), named.alias("function_name")),
@@ -204,8 +205,8 @@ def _call_broken(c: Column) -> Column:
     return (
         c["id"].isNull()
         | ~c["type"].eqNullSafe("function")
-        | c["function.name"].isNull()
-        | c["function.arguments"].isNull()
+        | c["function"]["name"].isNull()
+        | c["function"]["arguments"].isNull()
     )
 
 
@@ -217,7 +218,7 @@ def request_errors(columns: set[str]) -> Column:
     if "tools" in columns:
         rules["tool_malformed"] = _any(
             F.col("tools"),
-            lambda t: ~t["type"].eqNullSafe("function") | t["function.name"].isNull() | t["function.parameters"].isNull(),
+            lambda t: ~t["type"].eqNullSafe("function") | t["function"]["name"].isNull() | t["function"]["parameters"].isNull(),
         )
     if "tool_choice" in columns:
         mode, named = F.col("tool_choice.mode"), F.col("tool_choice.function_name")
@@ -256,8 +257,8 @@ def message_errors() -> Column:
                 lambda p: p["type"].isNull()
                 | ~p["type"].isin(*CONTENT_PARTS)
                 | ((p["type"] == "text") & p["text"].isNull())
-                | ((p["type"] == "image_url") & p["image_url.url"].isNull())
-                | F.coalesce(~p["image_url.detail"].isin(*IMAGE_DETAILS), F.lit(False)),
+                | ((p["type"] == "image_url") & p["image_url"]["url"].isNull())
+                | F.coalesce(~p["image_url"]["detail"].isin(*IMAGE_DETAILS), F.lit(False)),
             ),
         ),
         "parts_not_allowed": _any(messages, lambda m: (m["role"] != "user") & m["parts"].isNotNull()),
