@@ -6,7 +6,7 @@ from parley.plans.registry import QUERIES, SQL, Query
 
 
 def _load() -> None:
-    from parley.plans import completion_queries, request_queries  # noqa: F401
+    from parley.plans import completion_queries, request_queries, stream_queries  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:

@@ -140,7 +140,7 @@ def _frame(rows: list[dict[str, Any]]) -> pd.DataFrame:
     return frame.where(frame.notna(), None)
 
 
-def _rewriter(timeout_ms: int):
+def _rewriter(timeout_ms: int | None):
     def rewrite(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         st = dict(zip(_STATE_NAMES, state.get if state.exists else _FRESH))
         waiting = {c["seq"]: c for c in json.loads(st["waiting"])}
@@ -181,19 +181,23 @@ def _rewriter(timeout_ms: int):
         else:
             st["waiting"] = json.dumps(list(waiting.values()))
             state.update(tuple(st[n] for n in _STATE_NAMES))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
 
     return rewrite
 
 
-def rewrite_live(chunks: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
-    """Rewrite a streaming DataFrame of flat chunks (see ``INPUT``) into output chunks."""
+def rewrite_live(chunks: DataFrame, timeout_ms: int | None = 600_000) -> DataFrame:
+    """Rewrite a streaming DataFrame of flat chunks (see ``INPUT``) into output chunks.
+
+    Without a timeout only ``done`` rows end a stream. That is the way for a
+    run over what is available now: a timeout would keep such a run going.
+    """
+    limit = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return (
         chunks.select(*INPUT)
         .groupBy("stream_id")
-        .applyInPandasWithState(
-            _rewriter(timeout_ms), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-        )
+        .applyInPandasWithState(_rewriter(timeout_ms), OUTPUT, STATE, "append", limit)
     )
 
 
