@@ -6,7 +6,13 @@ from parley.plans.registry import QUERIES, SQL, Query
 
 
 def _load() -> None:
-    from parley.plans import completion_queries, request_queries, stream_queries  # noqa: F401
+    from parley.plans import (  # noqa: F401
+        completion_queries,
+        embedding_queries,
+        request_queries,
+        stream_queries,
+        telemetry_queries,
+    )
 
 
 def all_queries() -> dict[str, Query]:
