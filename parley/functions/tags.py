@@ -149,5 +149,6 @@ def parse_calls(text: Column) -> Column:
 
 def leaked_tags(text: Column) -> Column:
     """How many of the four tags still show up in a text."""
-    t = F.coalesce(text, F.lit(""))
-    return sum((t.contains(tag).cast("int") for tag in TAGS), F.lit(0))
+    return bind(
+        F.coalesce(text, F.lit("")), lambda t: sum((t.contains(tag).cast("int") for tag in TAGS), F.lit(0))
+    )

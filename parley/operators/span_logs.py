@@ -10,6 +10,15 @@ from parley.functions.text import round_half_even
 from parley.operators.span_metrics import own_spans, span_kind
 
 
+# Names of the numbers a record may hold, in the order they are told.
+LOG_FIELDS = (
+    "max_tokens", "temperature", "input_messages", "duration_ms", "total_tokens", "total_tokens_per_second",
+    "output_content_length", "completion_tokens", "completion_tokens_per_second", "input_count",
+    "input_content_length", "output_count", "embeddings_per_second", "chunk_count", "avg_chunk_delay_ms",
+    "first_token_delay_ms", "avg_chunk_size", "avg_chunk_content_size", "chunks_with_content", "empty_chunks",
+)
+
+
 def _long(name: str) -> Column:
     return F.coalesce(name, F.lit(0)).cast("long")
 
@@ -18,19 +27,12 @@ def _two_digits(name: str) -> Column:
     return round_half_even(F.coalesce(name, F.lit(0.0)).cast("double"))
 
 
-def _message(template: str, *values: Column) -> Column:
-    pieces = template.split("{}")
-    cells = [F.lit(pieces[0])]
-    for value, piece in zip(values, pieces[1:]):
-        cells += [F.coalesce(value, F.lit("None")), F.lit(piece)]
-    return F.concat(*cells)
-
-
 def span_log_records(measured: DataFrame) -> DataFrame:
     """Two records per span: its start, and how it ended.
 
-    ``fields`` holds the numbers of the record as JSON; it depends on the kind
-    of span. All records come from one pass over the spans.
+    ``fields`` holds the numbers of the record; those that do not belong to the
+    phase and kind of span are null, and the message leaves them out. All
+    records come from one pass over the spans.
     """
     spans = own_spans(measured).withColumn("kind", span_kind(F.col("name")))
     streaming = F.coalesce("streaming", F.lit(False))
@@ -42,88 +44,61 @@ def span_log_records(measured: DataFrame) -> DataFrame:
         .otherwise(F.lit("unknown"))
     )
     failed = F.col("status_code").eqNullSafe("ERROR")
+    ends = {
+        **{n: (_two_digits(n), None) for n in ("duration_ms", "total_tokens_per_second")},
+        "total_tokens": (_long("total_tokens"), None),
+        **{n: (_long(n), chat) for n in ("output_content_length", "completion_tokens")},
+        "completion_tokens_per_second": (_two_digits("completion_tokens_per_second"), chat),
+        **{n: (_long(n), chat & streaming) for n in ("chunk_count", "chunks_with_content", "empty_chunks")},
+        "avg_chunk_delay_ms": (_two_digits("chunk_delay_ms"), chat & streaming),
+        **{
+            n: (_two_digits(n), chat & streaming)
+            for n in ("first_token_delay_ms", "avg_chunk_size", "avg_chunk_content_size")
+        },
+        **{n: (_long(n), embedding) for n in ("input_count", "output_count")},
+        "embeddings_per_second": (_two_digits("embeddings_per_second"), embedding),
+    }
+    starts = {
+        **{n: (_long(n), chat) for n in ("max_tokens", "input_messages")},
+        "temperature": (F.coalesce("temperature", F.lit(0.0)), chat),
+        "input_content_length": (_long("input_content_length"), chat | embedding),
+        "input_count": (_long("input_count"), embedding),
+    }
+    fractions = ("temperature", "_ms", "_per_second", "_size")
+    types = {n: "double" if n.endswith(fractions) else "long" for n in LOG_FIELDS}
 
-    starting = (
-        F.when(
-            chat,
-            F.to_json(
-                F.struct(
-                    _long("max_tokens").alias("max_tokens"),
-                    F.coalesce("temperature", F.lit(0.0)).alias("temperature"),
-                    _long("input_messages").alias("input_messages"),
-                    _long("input_content_length").alias("input_content_length"),
-                )
-            ),
-        )
-        .when(
-            embedding,
-            F.to_json(
-                F.struct(
-                    _long("input_count").alias("input_count"),
-                    _long("input_content_length").alias("input_content_length"),
-                )
-            ),
+    def fields(given: dict[str, tuple[Column, Column | None]]) -> Column:
+        cells = []
+        for n in LOG_FIELDS:
+            value, shown = given.get(n, (F.lit(None), None))
+            cells.append((value if shown is None else F.when(shown, value)).cast(types[n]).alias(n))
+        return F.struct(*cells)
+
+    def record(phase: str, level: str, ts: str, numbers: Column) -> Column:
+        return F.struct(
+            F.lit(phase).alias("phase"),
+            F.lit(level).alias("level"),
+            F.col(ts).alias("ts_ns"),
+            mode.alias("mode"),
+            numbers.alias("fields"),
         )
-        .otherwise(F.lit("{}"))
-    )
-    common = [
-        _two_digits("duration_ms").alias("duration_ms"),
-        _long("total_tokens").alias("total_tokens"),
-        _two_digits("total_tokens_per_second").alias("total_tokens_per_second"),
-    ]
-    spoken = [
-        _long("output_content_length").alias("output_content_length"),
-        _long("completion_tokens").alias("completion_tokens"),
-        _two_digits("completion_tokens_per_second").alias("completion_tokens_per_second"),
-    ]
-    chunked = [
-        _long("chunk_count").alias("chunk_count"),
-        _two_digits("chunk_delay_ms").alias("avg_chunk_delay_ms"),
-        _two_digits("first_token_delay_ms").alias("first_token_delay_ms"),
-        _two_digits("avg_chunk_size").alias("avg_chunk_size"),
-        _two_digits("avg_chunk_content_size").alias("avg_chunk_content_size"),
-        _long("chunks_with_content").alias("chunks_with_content"),
-        _long("empty_chunks").alias("empty_chunks"),
-    ]
-    vectors = [
-        _long("input_count").alias("input_count"),
-        _long("output_count").alias("output_count"),
-        _two_digits("embeddings_per_second").alias("embeddings_per_second"),
-    ]
-    completed = (
-        F.when(chat & streaming, F.to_json(F.struct(*common, *spoken, *chunked)))
-        .when(chat, F.to_json(F.struct(*common, *spoken)))
-        .when(embedding, F.to_json(F.struct(*common, *vectors)))
-        .otherwise(F.to_json(F.struct(*common)))
-    )
+
     records = F.array(
-        F.struct(
-            F.lit("starting").alias("phase"),
-            F.lit("info").alias("level"),
-            F.col("start_ns").alias("ts_ns"),
-            mode.alias("mode"),
-            starting.alias("fields"),
-            _message(LOG_STARTING, mode, starting).alias("message"),
-        ),
-        F.when(
-            failed,
-            F.struct(
-                F.lit("failed").alias("phase"),
-                F.lit("error").alias("level"),
-                F.col("end_ns").alias("ts_ns"),
-                mode.alias("mode"),
-                F.lit(None).cast("string").alias("fields"),
-                _message(LOG_FAILED, F.col("status_description")).alias("message"),
-            ),
-        ).otherwise(
-            F.struct(
-                F.lit("completed").alias("phase"),
-                F.lit("info").alias("level"),
-                F.col("end_ns").alias("ts_ns"),
-                mode.alias("mode"),
-                completed.alias("fields"),
-                _message(LOG_COMPLETED, mode, completed).alias("message"),
-            )
+        record("starting", "info", "start_ns", fields(starts)),
+        F.when(failed, record("failed", "error", "end_ns", fields({}))).otherwise(
+            record("completed", "info", "end_ns", fields(ends))
         ),
     )
-    return spans.select("span_id", F.inline(records))
+    numbers = F.to_json("fields")
+    message = (
+        F.when(F.col("phase") == "starting", F.format_string(_printf(LOG_STARTING), "mode", numbers))
+        .when(F.col("phase") == "completed", F.format_string(_printf(LOG_COMPLETED), "mode", numbers))
+        .otherwise(F.format_string(_printf(LOG_FAILED), F.coalesce("status_description", F.lit("None"))))
+    )
+    return spans.select("span_id", "status_description", F.inline(records)).select(
+        "span_id", "phase", "level", "ts_ns", "mode", "fields", message.alias("message")
+    )
+
+
+def _printf(template: str) -> str:
+    return template.replace("{}", "%s")

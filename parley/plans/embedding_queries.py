@@ -70,8 +70,8 @@ def l2_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENCODED_SQL = f"""tokens AS (
  SELECT doc_id, unnest(l[1:256]) AS t FROM (SELECT doc_id, {_WORDS} AS l FROM documents)),
 codes AS (SELECT doc_id, unicode(t) * 31 + unicode(right(t, 1)) * 7 + length(t) AS c FROM tokens),
-dims AS (SELECT unnest(range(1, 17)) AS d),
-means AS (SELECT doc_id, d, avg((c * d) % 97 / 97.0::DOUBLE - 0.5) AS x FROM codes, dims GROUP BY doc_id, d),
+means AS (SELECT doc_id, d, avg((c * d) % 97 / 97.0::DOUBLE - 0.5) AS x
+ FROM (SELECT doc_id, c, unnest(range(1, 17)) AS d FROM codes) GROUP BY doc_id, d),
 vectors AS (SELECT doc_id, d - 1 AS dim, CAST(CAST(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 1e-9) AS FLOAT) AS DOUBLE) AS v FROM means)"""
 
 

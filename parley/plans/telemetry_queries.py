@@ -212,18 +212,18 @@ def span_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = span_logs.span_log_records(measured(spark, sf_dir))
 
     def field(name: str):
-        return F.get_json_object("fields", f"$.{name}")
+        return F.col(f"fields.{name}")
 
     order = ("max_tokens", "temperature", "input_messages", "total_tokens", "output_content_length", "completion_tokens",
              "input_count", "input_content_length", "output_count", "chunk_count", "chunks_with_content", "empty_chunks")
     return records.select(
         "span_id", "phase", "level", "ts_ns", "mode",
-        F.concat_ws("|", *[field(n) for n in order]).alias("numbers"),
+        F.concat_ws("|", *[field(n).cast("string") for n in order]).alias("numbers"),
         F.when(F.col("phase") == "failed", F.col("message")).alias("failure"),
-        field("duration_ms").cast("double").alias("duration_ms"),
-        field("total_tokens_per_second").cast("double").alias("rate"),
-        field("first_token_delay_ms").cast("double").alias("first_token_delay_ms"),
-        field("embeddings_per_second").cast("double").alias("embed_rate"),
+        field("duration_ms").alias("duration_ms"),
+        field("total_tokens_per_second").alias("rate"),
+        field("first_token_delay_ms").alias("first_token_delay_ms"),
+        field("embeddings_per_second").alias("embed_rate"),
     )
 
 
