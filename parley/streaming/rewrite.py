@@ -4,7 +4,8 @@ Each stream is one keyed group; its state is a handful of values, so a stream
 may arrive over any number of micro-batches. Chunks are taken in the order of
 ``seq``: chunks that come early wait in the state, chunks seen before are
 skipped. A row with ``done`` ends the stream; a stream that stays silent for
-longer than the timeout is ended as well.
+longer than the timeout is ended as well, and the state of ended streams is
+dropped after the same time.
 """
 
 from __future__ import annotations
@@ -33,10 +34,10 @@ OUTPUT = (
 )
 STATE = (
     "open_tag string, held string, call_text string, calls long, skip_space boolean, "
-    "next_seq long, waiting string, tokens long, length long, outputs long"
+    "next_seq long, waiting string, tokens long, length long, outputs long, ended boolean"
 )
 _STATE_NAMES = [part.split()[0] for part in STATE.split(", ")]
-_FRESH = ("", "", "", 0, False, 0, "[]", 0, 0, 0)
+_FRESH = ("", "", "", 0, False, 0, "[]", 0, 0, 0, False)
 
 _TOKENS = re.compile(SCAN.replace("\\z", "\\Z"))
 _PARTIAL = frozenset(PARTIAL_TAGS)
@@ -145,44 +146,41 @@ def _rewriter(timeout_ms: int | None):
         st = dict(zip(_STATE_NAMES, state.get if state.exists else _FRESH))
         waiting = {c["seq"]: c for c in json.loads(st["waiting"])}
         rows: list[dict[str, Any]] = []
-        ended = False
 
         def take(chunk: dict[str, Any]) -> None:
-            nonlocal ended
             rows.extend(_count(st, _advance(st, chunk), chunk))
             st["next_seq"] = chunk["seq"] + 1
-            ended = ended or chunk["done"]
+            st["ended"] = st["ended"] or chunk["done"]
 
         if state.hasTimedOut:
-            for seq in sorted(waiting):
-                take(waiting[seq])
-            last = {"stream_id": key[0], "seq": st["next_seq"], "content": None,
-                    "finish_reason": None, "role": None, "has_delta": True, "done": True}
-            take(last)
+            if not st["ended"]:
+                for seq in sorted(waiting):
+                    take(waiting[seq])
+                take({"stream_id": key[0], "seq": st["next_seq"], "content": None, "finish_reason": None,
+                      "role": None, "has_delta": True, "done": True})
             state.remove()
             yield _frame(rows)
             return
 
         for batch in batches:
+            if st["ended"]:
+                continue
             batch = batch.sort_values("seq").astype(object)
             for chunk in batch.where(batch.notna(), None).to_dict("records"):
-                chunk = {**chunk, "seq": int(chunk["seq"]), "done": bool(chunk["done"]),
-                         "has_delta": bool(chunk["has_delta"])}
                 if chunk["seq"] >= st["next_seq"]:
-                    waiting[chunk["seq"]] = chunk
-                while st["next_seq"] in waiting:
+                    waiting[int(chunk["seq"])] = {**chunk, "seq": int(chunk["seq"]), "done": bool(chunk["done"]),
+                                                  "has_delta": bool(chunk["has_delta"])}
+                while st["next_seq"] in waiting and not st["ended"]:
                     take(waiting.pop(st["next_seq"]))
             if rows:
                 yield _frame(rows)
-                rows = []
+                rows.clear()
 
-        if ended:
-            state.remove()
-        else:
-            st["waiting"] = json.dumps(list(waiting.values()))
-            state.update(tuple(st[n] for n in _STATE_NAMES))
-            if timeout_ms is not None:
-                state.setTimeoutDuration(timeout_ms)
+        # An ended stream stays known for a while, so that chunks sent again are not taken for a new one.
+        st["waiting"] = "[]" if st["ended"] else json.dumps(list(waiting.values()))
+        state.update(tuple(st[n] for n in _STATE_NAMES))
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
 
     return rewrite
 

@@ -59,3 +59,59 @@ def merge(events):
         else:
             joined.append(e)
     return joined
+
+
+def rewrite(chunks):
+    """Output rows of a stream of (role, content, finish_reason): (seq, kind, text, role, finish_reason).
+
+    Written character by character from the rules of the live rewriting.
+    """
+    opened, held, skip, buf, calls, rows = None, "", False, "", 0, []
+
+    def emit(seq, role, text):
+        nonlocal skip, buf
+        if skip:
+            text = text.lstrip()
+        if text:
+            skip = False
+            if SPOKEN[opened] == "call":
+                buf += text
+            else:
+                rows.append([seq, SPOKEN[opened], text, role, None])
+
+    for seq, (role, text, finish) in enumerate(chunks):
+        if text is None:
+            rows.append([seq, "passthrough", None, role, "tool_calls" if finish and calls else finish])
+            continue
+        before, batch = len(rows), ""
+        for ch in text:
+            if not held and ch == "<":
+                emit(seq, role, batch)
+                batch, held = "", "<"
+            elif held:
+                held += ch
+                if held in TAGS:
+                    if held == "</tool_call>" and opened == "<tool_call>":
+                        body, buf = buf.strip(), ""
+                        try:
+                            call = json.loads(body)
+                            named = isinstance(call, dict) and call.get("name") is not None
+                            rows.append([seq, "tool_call" if named else "error", call["name"] if named else body,
+                                         None if named else role, None])
+                            calls += named
+                        except json.JSONDecodeError:
+                            rows.append([seq, "content", body, role, None])
+                    opened, held, skip = held, "", True
+                elif not any(t.startswith(held) for t in TAGS):
+                    batch, held = batch + held, ""
+            else:
+                batch += ch
+        emit(seq, role, batch)
+        if finish:
+            told = "tool_calls" if calls else finish
+            if len(rows) > before:
+                rows[-1][4] = told
+            else:
+                rows.append([seq, "passthrough", text, role, told])
+    emit(len(chunks), None, held)
+    return [tuple(r) for r in rows]
