@@ -31,7 +31,7 @@ def running_sums(
         "*",
         block_of(position, block_rows).alias("_block"),
         *[c.alias(f"_in_{name}") for name, c in sums.items()],
-    ).repartition(*keys, "_block")
+    )
     inside = Window.partitionBy(*keys, "_block").orderBy(position).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

@@ -117,7 +117,7 @@ def estimated_prompt_tokens(chars: Column) -> Column:
 
 
 def request_attributes(requests: DataFrame) -> DataFrame:
-    """What a chat span says about its request."""
+    """What a chat span says about its request, one row per request."""
     length = content_length(F.col("messages"))
     return requests.withColumns(
         {
@@ -129,6 +129,22 @@ def request_attributes(requests: DataFrame) -> DataFrame:
     )
 
 
+def merged_request_attributes(requests: DataFrame, key: str, scalars: list[str]) -> DataFrame:
+    """The same for requests whose messages go on over several rows: sums over the rows of a key."""
+    sized = requests.select(
+        key, *scalars, F.size("messages").alias("_n"), content_length(F.col("messages")).alias("_chars")
+    )
+    whole = sized.groupBy(key, *scalars).agg(
+        F.sum("_n").alias("input_messages"), F.sum("_chars").alias("input_content_length")
+    )
+    return whole.withColumns(
+        {
+            "max_tokens": F.coalesce(F.col("max_tokens"), F.lit(0)).cast("long"),
+            "prompt_tokens": F.when(F.col("stream"), estimated_prompt_tokens(F.col("input_content_length"))),
+        }
+    )
+
+
 def conversation_attributes(turns: DataFrame, key: str = "conv_id", text: str = "text") -> DataFrame:
     """The same numbers straight from a table of turns; sums combine before the shuffle."""
     return (
@@ -141,8 +157,33 @@ def conversation_attributes(turns: DataFrame, key: str = "conv_id", text: str =
     )
 
 
+def _is_null_value(content: Column) -> Column:
+    """True for a JSON null; a field that is not there at all is no value."""
+    return content.isNotNull() & (F.schema_of_variant(content) == "VOID")
+
+
+def _raw_errors() -> Column:
+    """Rules that can only be seen before normalising: a content that is not there, or of a wrong type."""
+
+    def shape(m: Column) -> Column:
+        kind = F.schema_of_variant(m["content"])
+        listed = (m["role"] == "user") & kind.startswith("ARRAY")
+        return ~(kind.isin("STRING", "VOID") | listed)
+
+    rules = {
+        "content_missing": _any(F.col("messages"), lambda m: (m["role"] != "assistant") & m["content"].isNull()),
+        "content_malformed": _any(F.col("messages"), lambda m: m["content"].isNotNull() & shape(m)),
+    }
+    return F.filter(
+        F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]), lambda e: e.isNotNull()
+    )
+
+
 def normalise_requests(raw: DataFrame) -> DataFrame:
-    """Typed requests from ``schemas.RAW_REQUEST`` rows, with every union resolved."""
+    """Typed requests from ``schemas.RAW_REQUEST`` rows, with every union resolved.
+
+    ``raw_errors`` keeps what validation could no longer see afterwards.
+    """
     part = "array<struct<type:string,text:string,image_url:variant>>"
 
     def message(m: Column) -> Column:
@@ -157,7 +198,7 @@ def normalise_requests(raw: DataFrame) -> DataFrame:
         )
         return F.struct(
             m["role"].alias("role"),
-            F.when((m["role"] == "assistant") & text.isNull() & parts.isNull(), F.lit("")).otherwise(text).alias("content"),
+            F.when((m["role"] == "assistant") & _is_null_value(m["content"]), F.lit("")).otherwise(text).alias("content"),
             F.transform(
                 parts,
                 lambda p: F.struct(
@@ -182,6 +223,7 @@ def normalise_requests(raw: DataFrame) -> DataFrame:
     return with_sampling_defaults(
         raw.withColumns(
             {
+                "raw_errors": _raw_errors(),
                 "messages": F.transform("messages", message),
                 "stop": stop_sequences(F.col("stop")),
                 "logit_bias": F.transform_keys("logit_bias", lambda k, _: k.try_cast("int")),
@@ -270,8 +312,12 @@ def message_errors() -> Column:
 
 def validate_requests(requests: DataFrame, full_messages: bool = False) -> DataFrame:
     """Add ``errors``; rows without errors are valid."""
-    errors = request_errors(set(requests.columns))
-    return requests.withColumn("errors", F.concat(errors, message_errors()) if full_messages else errors)
+    found = [request_errors(set(requests.columns))]
+    if full_messages:
+        found.append(message_errors())
+    if "raw_errors" in requests.columns:
+        found.append(F.col("raw_errors"))
+    return requests.withColumn("errors", F.concat(*found)).drop("raw_errors")
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

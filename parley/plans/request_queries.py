@@ -296,13 +296,13 @@ def input_content_length(spark: SparkSession, sf_dir: str) -> DataFrame:
      FROM conversations GROUP BY conv_id""",
 )
 def request_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = R.conversation_requests(table(spark, sf_dir, "conversations")).where("part = 0").select(
+    requests = R.conversation_requests(table(spark, sf_dir, "conversations")).select(
         "conv_id",
         "messages",
         F.expr("CASE WHEN conv_id % 2 <> 0 THEN 64 END").alias("max_tokens"),
         F.expr("conv_id % 3 = 0").alias("stream"),
     )
-    return R.request_attributes(requests).drop("messages", "stream")
+    return R.merged_request_attributes(requests, "conv_id", ["max_tokens", "stream"]).drop("stream")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.functions.text import strip
 from parley.operators.requests import input_texts, normalise_requests
 from parley.schemas import EMBEDDING_REQUEST, RAW_REQUEST
 
@@ -12,10 +13,15 @@ _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 
 def parse_json(lines: DataFrame, column: str, schema: str) -> DataFrame:
-    """Parse a text column; a line that is no such record keeps its text in ``_corrupt``."""
-    return lines.withColumn("_record", F.from_json(F.col(column), schema, _OPTIONS)).select(
-        *[c for c in lines.columns if c != column], "_record.*"
-    )
+    """Parse a text column; a line that is no such record keeps its text in ``_corrupt``.
+
+    The parser stops after the first value, so text behind it is looked for here.
+    """
+    parsed = lines.withColumn("_record", F.from_json(F.col(column), schema, _OPTIONS))
+    open_end = ~strip(F.col(column)).endswith("}")
+    return parsed.select(*[c for c in lines.columns if c != column], column, "_record.*").withColumn(
+        "_corrupt", F.when(open_end, F.col(column)).otherwise(F.col("_corrupt"))
+    ).drop(column)
 
 
 def readable(df: DataFrame) -> tuple[DataFrame, DataFrame]:

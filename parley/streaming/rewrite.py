@@ -37,6 +37,7 @@ STATE = (
     "next_seq long, waiting string, tokens long, length long, outputs long, ended boolean"
 )
 _STATE_NAMES = [part.split()[0] for part in STATE.split(", ")]
+_OUTPUT_NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
 _FRESH = ("", "", "", 0, False, 0, "[]", 0, 0, 0, False)
 
 _TOKENS = re.compile(SCAN.replace("\\z", "\\Z"))
@@ -136,9 +137,22 @@ def _count(st: dict[str, Any], out: list[dict[str, Any]], chunk: dict[str, Any])
 
 
 def _frame(rows: list[dict[str, Any]]) -> pd.DataFrame:
-    names = [part.split()[0] for part in OUTPUT.split(", ")]
-    frame = pd.DataFrame(rows, columns=names).astype(object)
-    return frame.where(frame.notna(), None)
+    return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in _OUTPUT_NAMES})
+
+
+def _chunks(batch: pd.DataFrame) -> Iterator[dict[str, Any]]:
+    """The rows of a batch in the order of ``seq``, nulls as None."""
+    columns = [batch[n].tolist() for n in INPUT]
+    for stream_id, seq, role, content, finish, has_delta, done in sorted(zip(*columns), key=lambda r: r[1]):
+        yield {
+            "stream_id": stream_id,
+            "seq": int(seq),
+            "role": role if isinstance(role, str) else None,
+            "content": content if isinstance(content, str) else None,
+            "finish_reason": finish if isinstance(finish, str) else None,
+            "has_delta": bool(has_delta),
+            "done": bool(done),
+        }
 
 
 def _rewriter(timeout_ms: int | None):
@@ -165,11 +179,9 @@ def _rewriter(timeout_ms: int | None):
         for batch in batches:
             if st["ended"]:
                 continue
-            batch = batch.sort_values("seq").astype(object)
-            for chunk in batch.where(batch.notna(), None).to_dict("records"):
+            for chunk in _chunks(batch):
                 if chunk["seq"] >= st["next_seq"]:
-                    waiting[int(chunk["seq"])] = {**chunk, "seq": int(chunk["seq"]), "done": bool(chunk["done"]),
-                                                  "has_delta": bool(chunk["has_delta"])}
+                    waiting[chunk["seq"]] = chunk
                 while st["next_seq"] in waiting and not st["ended"]:
                     take(waiting.pop(st["next_seq"]))
             if rows:

@@ -23,13 +23,14 @@ def test_requests_from_json(spark, tmp_path):
         {"request_id": "bad", "messages": [{"role": "robot", "content": "x"}, {"role": "tool", "content": "y"}],
          "tool_choice": "maybe", "response_format": {"type": "xml"}},
         {"request_id": "none"},
+        {"request_id": "gap", "messages": [{"role": "user"}, {"role": "assistant"}, {"role": "system", "content": [1]}]},
     ]
     path = tmp_path / "r.jsonl"
-    path.write_text("\n".join(json.dumps(x) for x in lines) + '\n{"messages": [\n')
+    path.write_text("\n".join(json.dumps(x) for x in lines) + '\n{"messages": [\n{"messages": []} x\n{"messages": [], "temperature": "hot"}\n')
     good, bad = read_requests(spark, str(path))
     checked = R.validate_requests(good, full_messages=True).cache()
     rows = {r.request_id: r for r in checked.collect()}
-    assert bad.count() == 1 and len(rows) == 6
+    assert bad.count() == 3 and len(rows) == 7
     plain = rows["plain"]
     assert (plain.temperature, plain.max_tokens, plain.stream, plain.top_k) == (0.2, None, False, 40)
     assert plain.tool_choice is None and plain.errors == []
@@ -44,8 +45,9 @@ def test_requests_from_json(spark, tmp_path):
     assert rows["notools"].function_call.mode == "auto" and rows["notools"].temperature == 1.0
     assert set(rows["bad"].errors) == {"role_unknown", "tool_choice_unknown", "response_format_unknown", "tool_call_id_missing"}
     assert rows["none"].errors == ["messages_missing"]
+    assert set(rows["gap"].errors) == {"part_malformed", "parts_not_allowed", "content_missing", "content_malformed"}
     valid, quarantine = R.split_valid(checked)
-    assert (valid.count(), quarantine.count()) == (4, 2)
+    assert (valid.count(), quarantine.count()) == (4, 3)
 
 
 def test_long_conversation_goes_on_in_parts(spark):
