@@ -67,3 +67,20 @@ def test_running_counters(spark, tmp_path):
     out = run(spark, tmp_path, [rows[:2], rows[2:]]).orderBy("out_no").collect()
     assert [(r.completion_tokens, r.output_length) for r in out] == [(1, 2), (2, 9), (2, 9)]
     assert out[-1].finish_reason == "stop"
+
+
+def test_worker_code_needs_no_package(tmp_path):
+    """What runs in Python workers can be loaded where this package is not installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from parley.operators.inference import arithmetic_encoder, echo_backend, onnx_encoder
+    from parley.streaming.rewrite import _rewriter
+
+    (tmp_path / "f.pkl").write_bytes(
+        cloudpickle.dumps([_rewriter(None), arithmetic_encoder(), echo_backend(), onnx_encoder("m", "t")])
+    )
+    code = "import pickle, sys; pickle.load(open('f.pkl', 'rb'))[1]()(__import__('numpy').array(['a b'])); assert 'parley' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60)
