@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from parley.functions.ids import stable_id
 from parley.functions.tags import parse_calls, split_reasoning
@@ -92,14 +93,40 @@ def rewrite_completions(completions: DataFrame, model_id: str | None = None) ->
     )
 
 
-def conform_completions(df: DataFrame) -> DataFrame:
-    """Bring records to the completion schema; what is optional and missing becomes null.
+def conform(value: Column, given: DataType, wanted: DataType) -> Column:
+    """A value brought to the wanted type by field name; fields it lacks become null."""
+    if isinstance(wanted, StructType) and isinstance(given, StructType):
+        fields = F.struct(
+            *[
+                (
+                    conform(value[f.name], given[f.name].dataType, f.dataType)
+                    if f.name in given.names
+                    else F.lit(None).cast(f.dataType)
+                ).alias(f.name)
+                for f in wanted
+            ]
+        )
+        return F.when(value.isNotNull(), fields)
+    if isinstance(wanted, ArrayType) and isinstance(given, ArrayType):
+        return F.transform(value, lambda v: conform(v, given.elementType, wanted.elementType))
+    if isinstance(wanted, StringType) and isinstance(given, (StructType, ArrayType, MapType)):
+        return F.to_json(value)
+    return value.cast(wanted)
 
-    The record goes through its JSON form, because that is how a structure with
-    fewer fields is read into one with more.
-    """
-    record = F.to_json(F.struct(*df.columns))
-    return df.select(F.from_json(record, COMPLETION).alias("c")).select("c.*")
+
+def conform_completions(df: DataFrame) -> DataFrame:
+    """Bring records to the completion schema; what is optional and missing becomes null."""
+    wanted = StructType.fromDDL(COMPLETION)
+    return df.select(
+        *[
+            (
+                conform(F.col(f.name), df.schema[f.name].dataType, f.dataType)
+                if f.name in df.columns
+                else F.lit(None).cast(f.dataType)
+            ).alias(f.name)
+            for f in wanted
+        ]
+    )
 
 
 def first_choice(choices: Column, *path: str) -> Column:

@@ -291,7 +291,7 @@ def _run_live(spark: SparkSession, sf_dir: str) -> DataFrame:
             }
         )
     )
-    chunks.unionByName(ends).repartition("stream_id").write.parquet(f"{folder}/in")
+    chunks.unionByName(ends).write.parquet(f"{folder}/in")
     schema = spark.read.parquet(f"{folder}/in").schema
     live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
     run = (

@@ -64,5 +64,12 @@ def test_conform(spark):
     sparse = spark.createDataFrame([(1,)], "x int").select(
         F.lit("r").alias("id"),
         F.expr("array(named_struct('index', 0, 'message', named_struct('role', 'assistant')))").alias("choices"))
-    row = C.conform_completions(sparse).first()
-    assert row.choices[0].message.tool_calls is None and row.usage is None
+    out = C.conform_completions(sparse)
+    assert out.schema.simpleString() == completion(spark, "x").schema.simpleString()
+    row = out.first()
+    assert row.choices[0].message.tool_calls is None and row.usage is None and row.choices[0].message.role == "assistant"
+    more = spark.range(1).select(
+        F.lit("r").alias("id"), F.lit("dropped").alias("extra"), F.lit(5).alias("created"),
+        F.expr("array(named_struct('finish_reason', 'stop', 'logprobs', named_struct('a', 1), 'message', null, 'index', 0L))").alias("choices"))
+    row = C.conform_completions(more).first()
+    assert (row.created, row.choices[0].logprobs, row.choices[0].message) == (5, '{"a":1}', None)
