@@ -14,7 +14,7 @@ def nested(spark):
     choices = f"array(named_struct('index', 0, 'delta', {text}, 'logprobs', string(null), 'finish_reason', CASE WHEN id % 10 = 9 THEN 'stop' END))"
     return spark.range(40).select(
         F.expr("concat('s', id div 10)").alias("stream_id"), F.expr("id % 10").alias("seq"),
-        F.lit(None).cast("timestamp").alias("ts"), F.lit("x").alias("id"), F.lit(W.CHUNK_BODY and "chat.completion.chunk").alias("object"),
+        F.lit(None).cast("timestamp").alias("ts"), F.lit("x").alias("id"), F.lit("chat.completion.chunk").alias("object"),
         F.lit(1).cast("long").alias("created"), F.lit("m").alias("model"), F.expr(choices).alias("choices"))
 
 
