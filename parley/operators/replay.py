@@ -111,12 +111,8 @@ def _with_segments(blocks: DataFrame) -> DataFrame:
             tag.alias("tag"),
             F.array_join(F.slice("tokens", cut + 1, after - cut - 1), "").alias("text"),
             F.when(
-                tag == CALL_CLOSE,
-                _seq_at(
-                    F.col("pieces"),
-                    F.length(F.array_join(F.slice("tokens", F.lit(1), cut), "")) - F.length("carry"),
-                ),
-            ).alias("seq"),
+                tag == CALL_CLOSE, F.length(F.array_join(F.slice("tokens", F.lit(1), cut), "")) - F.length("carry")
+            ).alias("offset"),
         )
 
     return cuts.withColumn("segments", F.transform("cuts", segment))
@@ -209,7 +205,7 @@ def _pieces(blocks: DataFrame) -> DataFrame:
             .otherwise(F.col("text"))
             .alias("text"),
             "closes_call",
-            "seq",
+            "offset",
             (F.col("calls_before") + F.sum(F.col("closes_call").cast("int")).over(so_far)).alias("call_no"),
             "calls_total",
         )
@@ -231,7 +227,7 @@ def _calls(located: DataFrame, block_rows: int) -> DataFrame:
             F.struct(
                 (F.col("call_no") - 1).cast("long").alias("call_no"),
                 F.lit("").alias("text"),
-                F.struct("block", "k", "segment", "seq").alias("closed_at"),
+                F.struct("block", "k", "segment", "offset").alias("closed_at"),
             ),
         ),
         F.when(
@@ -240,7 +236,7 @@ def _calls(located: DataFrame, block_rows: int) -> DataFrame:
             F.struct(
                 F.col("call_no").cast("long").alias("call_no"),
                 F.col("text"),
-                F.lit(None).cast("struct<block:bigint,k:int,segment:bigint,seq:bigint>").alias("closed_at"),
+                F.lit(None).cast("struct<block:bigint,k:int,segment:bigint,offset:int>").alias("closed_at"),
             ),
         ),
     )
@@ -254,7 +250,7 @@ def _calls(located: DataFrame, block_rows: int) -> DataFrame:
         )
         .withColumn("body", strip(F.array_join(F.transform("texts", lambda t: t["text"]), "")))
         .select("stream_id", "call_no", "closed_at.*", "body", call_record(F.col("body")).alias("call"))
-        .select("stream_id", "call_no", "block", "k", "segment", "seq", "body", "call.*")
+        .select("stream_id", "call_no", "block", "k", "segment", "offset", "body", "call.*")
     )
     return running_sums(closed, ["stream_id"], "call_no", {"valid": F.col("ok").cast("long")}, block_rows)
 
@@ -327,11 +323,18 @@ def lost_tails(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 def finish_reasons(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Finish reason of each finishing chunk, ``tool_calls`` once the stream made a call."""
-    first_call = (
+    first = (
         _calls(_located_blocks(chunks, block_rows), block_rows)
         .where("ok")
         .groupBy("stream_id")
-        .agg(F.min("seq").alias("first_call_seq"))
+        .agg(F.min(F.struct("block", "offset")).alias("at"))
+        .select("stream_id", "at.*")
+    )
+    # The chunk is looked up in the one block per stream that holds its first call.
+    first_call = (
+        text_blocks(chunks, block_rows)
+        .join(first, STREAM_BLOCK)
+        .select("stream_id", _seq_at(F.col("pieces"), F.col("offset")).alias("first_call_seq"))
     )
     return (
         chunks.where(F.length("finish_reason") > 0)
