@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import language_id, mixing
+from parley.llm import language_id, line_dedup, mixing, near_dedup, packing
 from parley.llm.common import read, remainder, settle
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,15 +23,34 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return told.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each line once; documents of which nothing is left go. ``n_chars`` follows the text."""
+    left = line_dedup.dedup_lines(docs).filter(F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.survivors(near_dedup.near_duplicates(docs)).select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     mixed = mixing.mix(docs).filter(F.col("mix.copies") > 0)
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies")))).select(*docs.columns)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2,048 tokens."""
+    return packing.pack(docs.select("doc_id", "text")).withColumn("ids_crc32", F.crc32("ids"))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", identify_languages),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_documents),
     ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 

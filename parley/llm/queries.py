@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.llm import fingerprints, html_text, language_id, mixing, topk
+from parley.llm import fingerprints, html_text, language_id, line_dedup, lm_scoring, mixing, near_dedup, packing, suffix_dedup, topk
 from parley.llm.common import read, remainder
 from parley.llm.sql import SQL
 
@@ -20,6 +20,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = near_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near.select("doc_id", "near.class_id", "near.keep")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
@@ -31,6 +36,24 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "repeats.*")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    spans = F.size("spans").cast("long").alias("n_spans")
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", remainder(F.col("doc_id"), 5) == 1).withColumn("trains", ~F.col("held_out"))
+    return lm_scoring.score(docs, "text", "trains")
+
+
 def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     words = fingerprints.lexicon(docs)
@@ -46,6 +69,11 @@ def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "lines.n_lines", "lines.n_kept", "text")
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
