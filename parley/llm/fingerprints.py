@@ -2,8 +2,8 @@
 
 The lexicon holds the terms whose inverse document frequency lies in a chosen
 band: they occur in at least ``least`` and at most ``most`` of all documents. Of a
-text, its distinct terms of the lexicon are sorted and hashed once for each of
-103 randomised parts of the lexicon. The parts have different sizes (of class j,
+text, its distinct terms of the lexicon are sorted (by their 64-bit hashes) and hashed once for each of
+48 randomised parts of the lexicon. The parts have different sizes (of class j,
 a part holds 2^-j of the terms): small parts stay the same under large edits,
 large parts tell similar texts apart. A part of which the text
 has no term gives ``-``.
@@ -14,10 +14,11 @@ none of whose terms is in the lexicon falls back to all its distinct terms, so
 that short or odd texts differ from one another; a text without any term gives
 only ``-``. Null texts count as empty. Equal texts have equal fingerprints.
 
-How the lexicon is looked up: terms fall into 2^21 slots by hash; 65,536 rows of 32
-bits say which slots hold a term of the band. That table has the same size for
-any corpus, so it is broadcast; a term outside the band that shares its slot with
-one inside is taken along, for every text alike.
+How the lexicon is looked up: terms fall into 2^20 slots by hash; a table of one byte
+for each slot says which hold a term of the band. It takes 1 MiB for any corpus
+and stands in the expression itself, so texts are read where they lie; a term
+outside the band that shares its slot with one inside is taken along, for every
+text alike.
 """
 
 from __future__ import annotations
@@ -26,84 +27,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.llm.common import words_in
-
-SLOTS, WORD_BITS = 1 << 21, 32
+SLOTS, WORD_BITS = 1 << 20, 32
 #: A class of parts takes the terms whose mark starts with a given row of bits: how many bits, and how many such parts.
-CLASSES = ((0, 1), (1, 2), (2, 4), (3, 8), (4, 8), (5, 16), (6, 16), (7, 16), (8, 16), (9, 16))
+CLASSES = ((3, 8), (5, 8), (7, 16), (9, 16))
 
 
 def terms_of(text: Column) -> Column:
-    return F.array_distinct(words_in(F.lower(text)))
+    spaced = F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     ")
+    return F.array_distinct(F.array_remove(F.split(spaced, " "), ""))
 
 
 def slot_of(term_hash: Column) -> Column:
     return F.pmod(term_hash, F.lit(SLOTS)).cast("int")
 
 
-def lexicon(docs: DataFrame, text: str = "text", least: float = 0.0005, most: float = 0.1) -> DataFrame:
-    """(word, bits): which of the slots hold a term of the band. Document frequencies are counted over all rows."""
+def lexicon(docs: DataFrame, text: str = "text", least: float = 0.0005, most: float = 0.1) -> bytes:
+    """The table of slots that hold a term of the band. Document frequencies are counted over all rows."""
     seen = docs.select(F.explode(terms_of(F.col(text))).alias("term"))
     counts = seen.groupBy(F.xxhash64("term").alias("term")).agg(F.count("*").alias("df"))
     rows = docs.count()
     kept = counts.filter((F.col("df") >= max(2.0, least * rows)) & (F.col("df") <= max(2.0, most * rows)))
     kept = kept.select(slot_of(F.col("term")).alias("slot"))
     mask = F.expr(f"shiftleft(1L, slot % {WORD_BITS})")
-    return kept.groupBy((F.col("slot") / WORD_BITS).cast("int").alias("word")).agg(F.bit_or(mask).alias("bits"))
-
-
-def with_fingerprints(rows: DataFrame, key: list[str], texts: dict[str, Column], words: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
-    """``rows``, identified by ``key``, with a fingerprint for each of ``texts`` and without the columns ``drop``.
-
-    Terms are looked up row by row against the broadcast table and gathered again
-    by ``key``; rows that are already dealt out by a part of the key stay where they are.
-    """
-    others = [c for c in rows.columns if c not in key and c not in drop]
-    terms = {f"_t{i}": terms_of(F.coalesce(c, F.lit(""))) for i, c in enumerate(texts.values())}
-    rows = rows.withColumns(terms)
-    carried = F.struct(*[F.col(f"`{c}`") for c in others], *[F.xxhash64(c).alias(f"_whole{c[2:]}") for c in terms])
-    kind = rows.select(carried.alias("c")).schema["c"].dataType.simpleString()
-    entries = [
-        term_entries(i, c, kind)
-        for i, c in enumerate(terms)
-    ]
-    itself = F.array(F.struct(F.lit(-1).alias("of"), F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("h"), carried.alias("row")))
-    flat = rows.select(*key, F.explode(F.concat(itself, *entries)).alias("e"))
-    flat = flat.select(*key, "e.of", "e.term", "e.row", slot_of(F.col("e.h")).alias("slot"))
-    flat = flat.withColumn("at", F.coalesce((F.col("slot") / WORD_BITS).cast("int"), F.lit(-1)))
-    always = words.sparkSession.range(1).select(F.lit(-1).alias("word"), F.lit(-1).cast("long").alias("bits"))
-    bit = F.expr(f"shiftright(bits, coalesce(slot, 0) % {WORD_BITS}) & 1")
-    found = flat.join(F.broadcast(words.unionByName(always)), F.col("at") == F.col("word")).filter(bit == 1)
-    gathered = found.groupBy(*key).agg(
-        F.first("row", ignorenulls=True).alias("row"),
-        *[F.collect_list(F.when(F.col("of") == i, F.col("term"))).alias(c) for i, c in enumerate(terms)],
-    )
-    prints = []
-    for i, name in enumerate(texts):
-        gathered = gathered.withColumn(f"_t{i}", F.transform(F.array_sort(f"_t{i}"), lambda t: F.struct(t.alias("term"), F.xxhash64(t, F.lit("part")).alias("mark"))))
+    packed = kept.groupBy((F.col("slot") / WORD_BITS).cast("int").alias("at")).agg(F.bit_or(mask).alias("bits"))
+    table = bytearray(SLOTS)
+    for row in packed.collect():  # at most 2^20 / 32 rows
+        for bit in range(WORD_BITS):
+            table[row["at"] * WORD_BITS + bit] = row["bits"] >> bit & 1
+    return bytes(table)
+
+
+def with_fingerprints(rows: DataFrame, texts: dict[str, Column], table: bytes) -> DataFrame:
+    """``rows`` with a fingerprint for each of ``texts``."""
+    columns, steps = rows.columns, 0
+
+    def step(value: Column) -> Column:
+        nonlocal rows, steps
+        steps += 1
+        rows = rows.withColumn(f"_step{steps}", value)
+        return F.col(f"_step{steps}")
+
+    for name, text in texts.items():
+        terms = step(terms_of(F.coalesce(text, F.lit(""))))
+        inside = F.filter(terms, lambda t: F.substring(F.lit(table), slot_of(F.xxhash64(t)) + 1, F.lit(1)) == F.lit(b"\x01"))
+        marked = step(F.array_sort(F.transform(inside, lambda t: F.xxhash64(t, F.lit("term")))))
         parts: list[Column] = []
+        source = marked
         for bits, many in CLASSES:
-            narrow = f"_t{i}_{bits}"
-            start = 64 - bits + many.bit_length() - 1  # all parts of a class start with the same zero bits
-            source = F.col(f"_t{i}" if bits <= 3 else f"_t{i}_{bits - 1}")
-            gathered = gathered.withColumn(narrow, source if start >= 64 else starting_with(source, start, 0))
+            if bits > 3:  # all parts of a class start with the same zero bits
+                source = step(starting_with(source, 64 - bits + many.bit_length() - 1, 0))
             for r in range(many):
-                own = starting_with(F.col(narrow), 64 - bits, r) if bits else F.col(narrow)
-                parts.append(F.when(F.size(own) > 0, short_hash(own["term"], len(parts))).otherwise("-"))
-        none = F.when(F.col(f"row._whole{i}") == F.xxhash64(F.array().cast("array<string>")), "-")
-        lone = [none.otherwise(short_hash(F.col(f"row._whole{i}"), k)) for k in range(len(parts))]
-        prints.append(F.when(F.size(f"_t{i}") > 0, F.concat_ws(",", *parts)).otherwise(F.concat_ws(",", *lone)).alias(name))
-    return gathered.select(*key, *[F.col(f"row.`{c}`").alias(c) for c in others], *prints)
+                own = starting_with(source, 64 - bits, r) if bits else source
+                parts.append(F.transform(F.array(own), part_hash(len(parts)))[0])
+        whole = F.xxhash64(terms)
+        lone = [short_hash(whole, k) for k in range(len(parts))]
+        nothing = F.array_repeat(F.lit("-"), len(parts))
+        made = F.when(F.size(marked) > 0, F.array(*parts)).when(F.size(terms) > 0, F.array(*lone)).otherwise(nothing)
+        columns = [*[c for c in columns if c != name], name]
+        rows = rows.withColumn(name, F.concat_ws(",", made))
+    return rows.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def term_entries(of: int, terms: str, row_type: str) -> Column:
-    none = F.lit(None).cast(row_type).alias("row")
-    return F.transform(F.col(terms), lambda t: F.struct(F.lit(of).alias("of"), t.alias("term"), F.xxhash64(t).alias("h"), none))
+def part_hash(salt: int):
+    return lambda own: F.when(F.size(own) > 0, short_hash(own, salt)).otherwise("-")
 
 
 def starting_with(marked: Column, shift: int, bits: int) -> Column:
-    """The terms whose mark, but for its last ``shift`` bits, is ``bits``."""
-    return F.filter(marked, lambda m: F.shiftrightunsigned(m["mark"], shift) == bits)
+    """The terms whose hash, but for its last ``shift`` bits, is ``bits``."""
+    return F.filter(marked, lambda m: F.shiftrightunsigned(m, shift) == bits)
 
 
 def short_hash(value: Column, salt: int) -> Column:

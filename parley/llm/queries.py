@@ -56,12 +56,11 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    words = fingerprints.lexicon(docs)
+    table = fingerprints.lexicon(docs)
     pairs = fingerprints.with_next(docs).withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text")))
     pairs = pairs.withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2(F.col("edited"), 256)})
-    rows = pairs.withColumns({"_own": F.col("text"), "_edited": F.col("edited")}).drop("text", "next_text", "edited")
-    texts = {"fingerprint": F.col("_own"), "edited_fingerprint": F.col("_edited")}
-    prints = fingerprints.with_fingerprints(rows, ["home", "place"], texts, words, drop=("_own", "_edited"))
+    texts = {"fingerprint": F.col("text"), "edited_fingerprint": F.col("edited")}
+    prints = fingerprints.with_fingerprints(pairs, texts, table).drop("text", "next_text", "edited")
     following = F.lead("fingerprint").over(W.partitionBy("home").orderBy("place"))
     prints = prints.withColumn("next_fingerprint", F.coalesce(following, F.col("fingerprint"))).filter(~F.col("guest"))
     near = lambda c: fingerprints.likeness(F.col("fingerprint"), F.col(c))

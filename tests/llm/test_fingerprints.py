@@ -48,10 +48,9 @@ def test_slices_do_not_change_who_is_next(spark):
 
 def test_prints_of_the_lexicon_by_hand(spark):
     docs = spark.createDataFrame([(i, f"common word{i % 5} only{i}") for i in range(30)], "doc_id long, text string")
-    words = fingerprints.lexicon(docs, least=0.1, most=0.5)
-    assert words.count() <= 5  # word0 to word4
-    rows = docs.withColumn("one", F.lit(1))
-    out = fingerprints.with_fingerprints(rows, ["doc_id", "one"], {"p": F.col("text")}, words)
+    table = fingerprints.lexicon(docs, least=0.1, most=0.5)
+    assert sum(table) <= 5  # word0 to word4
+    out = fingerprints.with_fingerprints(docs.withColumn("p", F.lit(1)), {"p": F.col("text")}, table)
     prints = {r["doc_id"]: r["p"] for r in out.collect()}
     assert all((prints[i] == prints[j]) == (i % 5 == j % 5) for i in prints for j in prints)
 
