@@ -75,14 +75,14 @@ M_ERRORS = "slm_errors_total"
 M_CHUNKS = "slm_chunks_total"
 M_EMBED_RATE = "slm_embeddings_per_second"
 METRIC_HELP = {
-    M_DURATION: "SLM completion duration in seconds",
-    M_TOKENS: "Total tokens processed",
-    M_COMPLETION_RATE: "Completion token generation rate (tokens/sec)",
-    M_TOTAL_RATE: "Total token throughput including prompt processing (tokens/sec)",
-    M_FIRST_TOKEN: "Time to first token in milliseconds (streaming)",
-    M_CHUNK_DELAY: "Average chunk delay in milliseconds (streaming)",
-    M_CHUNK_DURATION: "Individual chunk processing duration in milliseconds",
-    M_ERRORS: "Total SLM errors",
-    M_CHUNKS: "Number of chunks in streaming response",
-    M_EMBED_RATE: "Embeddings generated per second",
+    M_DURATION: "Seconds that a completion took",
+    M_TOKENS: "Tokens by kind",
+    M_COMPLETION_RATE: "Generated tokens for each second",
+    M_TOTAL_RATE: "All tokens, prompt included, for each second",
+    M_FIRST_TOKEN: "Milliseconds until the first chunk",
+    M_CHUNK_DELAY: "Milliseconds for each chunk on average",
+    M_CHUNK_DURATION: "Milliseconds between chunks",
+    M_ERRORS: "Failed spans",
+    M_CHUNKS: "Chunks of a stream",
+    M_EMBED_RATE: "Vectors for each second",
 }

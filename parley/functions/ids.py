@@ -12,7 +12,13 @@ def stable_id(prefix: str, *key: Column) -> Column:
     A random id would change when a lost executor makes a task run again; a
     hash of the row's own key does not.
     """
-    joined = F.concat_ws("|", *[k.cast("string") for k in key])
+
+    def part(k: Column) -> Column:
+        # With its length in front no value runs into the next; a null is no text at all.
+        text = k.cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
+
+    joined = F.concat(*map(part, key))
 
     def half(start: int) -> Column:
         return F.lpad(F.conv(F.substring(F.sha2(joined, 256), start, 12), 16, 36), 10, "0")

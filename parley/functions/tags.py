@@ -88,11 +88,17 @@ def split_reasoning(text: Column) -> Column:
 
 
 def valid_json(text: Column) -> Column:
-    """True for exactly one JSON value. Wrapped as a list so that a second value shows."""
+    """True for exactly one JSON value and nothing behind it.
+
+    The parser stops after the first value, so the text is put into a list and
+    into an object: whatever closes the one early leaves the other open.
+    """
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     return (
         F.try_variant_get(listed, "$[0]", "variant").isNotNull()
         & F.try_variant_get(listed, "$[1]", "variant").isNull()
+        & F.try_variant_get(named, "$.v", "variant").isNotNull()
     )
 
 

@@ -153,11 +153,12 @@ def flatten_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
-def completion_usage(completions: DataFrame) -> DataFrame:
-    """Token counts, output length and finish reason of each completion."""
+def completion_usage(completions: DataFrame, *keep: str) -> DataFrame:
+    """Token counts, output length and finish reason of each (rewritten) completion."""
     content = first_choice(F.col("choices"), "message", "content")
     return completions.select(
         "id",
+        *keep,
         *[
             F.when(F.col("usage").isNotNull(), F.coalesce(F.col(f"usage.{n}"), F.lit(0).cast("long"))).alias(n)
             for n in ("prompt_tokens", "completion_tokens", "total_tokens")

@@ -38,6 +38,11 @@ STREAM_BLOCK = ["stream_id", "block"]
 _EARLIER = (Window.unboundedPreceding, -1)
 
 
+def unusable_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks that no replay can place: without a stream or without a place in it. They belong into a quarantine table."""
+    return chunks.where(F.col("stream_id").isNull() | F.col("seq").isNull())
+
+
 def text_blocks(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(stream_id, block, pieces, text): the text of up to ``block_rows`` chunks."""
     return (
@@ -47,6 +52,8 @@ def text_blocks(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         .where("block is not null")
         .groupBy(*STREAM_BLOCK)
         .agg(F.sort_array(F.collect_list(F.struct("seq", "content"))).alias("pieces"))
+        # A chunk that was sent twice counts once.
+        .withColumn("pieces", F.filter("pieces", lambda p, i: (i == 0) | (p["seq"] != F.get("pieces", i - 1)["seq"])))
         .withColumn("text", F.array_join(F.transform("pieces", lambda p: p["content"]), ""))
     )
 
@@ -303,11 +310,22 @@ def stream_calls(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 
 def held_tails(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The started tag each stream ends on; it is given out as text when the stream ends."""
+    """The started tag each stream ends on, given out when the stream ends: as content, or as reasoning inside
+    a think block. Inside an open call it belongs to the call, which is lost."""
+    blocks = text_blocks(chunks, block_rows)
+    segmented = _with_segments(blocks.join(_held_tags(blocks), STREAM_BLOCK))
+    ends = segmented.where("is_last and length(held) > 0").select(
+        *STREAM_BLOCK, "held", F.get(F.array_compact(F.reverse(F.transform("segments", lambda s: s["tag"]))), F.lit(0)).alias("last_tag")
+    )
+    opened = F.coalesce("last_tag", "entry_tag")
     return (
-        _held_tags(text_blocks(chunks, block_rows))
-        .where("is_last and length(held) > 0")
-        .select("stream_id", F.col("held").alias("flushed"))
+        ends.join(_block_states(segmented).select(*STREAM_BLOCK, "entry_tag"), STREAM_BLOCK)
+        .where(~opened.eqNullSafe(CALL_OPEN))
+        .select(
+            "stream_id",
+            F.col("held").alias("flushed"),
+            F.when(opened == THINK_OPEN, F.lit("reasoning")).otherwise(F.lit("content")).alias("kind"),
+        )
     )
 
 
@@ -336,14 +354,16 @@ def finish_reasons(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
         .join(first, STREAM_BLOCK)
         .select("stream_id", _seq_at(F.col("pieces"), F.col("offset")).alias("first_call_seq"))
     )
+    # A chunk without a delta keeps the reason it came with.
+    has_delta = F.coalesce("has_delta", F.lit(True)) if "has_delta" in chunks.columns else F.lit(True)
     return (
         chunks.where(F.length("finish_reason") > 0)
-        .select("stream_id", "seq", "finish_reason")
+        .select("stream_id", "seq", "finish_reason", has_delta.alias("has_delta"))
         .join(first_call, "stream_id", "left")
         .select(
             "stream_id",
             "seq",
-            F.when(F.col("first_call_seq") <= F.col("seq"), F.lit("tool_calls"))
+            F.when((F.col("first_call_seq") <= F.col("seq")) & F.col("has_delta"), F.lit("tool_calls"))
             .otherwise(F.col("finish_reason"))
             .alias("finish_reason"),
         )

@@ -16,23 +16,19 @@ from parley.constants import (
     TOOL_CHOICE_MODES,
 )
 
-MESSAGES_PER_ROW = 4096
 
+def conversation_requests(turns: DataFrame) -> DataFrame:
+    """(conv_id, messages) from a table of turns: one row per conversation, messages in the order of ``turn``.
 
-def conversation_requests(turns: DataFrame, per_row: int = MESSAGES_PER_ROW) -> DataFrame:
-    """(conv_id, part, messages) from a table of turns, messages in the order of ``turn``.
-
-    A conversation is one row with ``part`` 0 as long as it has at most
-    ``per_row`` messages; a longer one goes on in further parts, so that no
-    conversation has to fit into one task.
+    This is the form for export, where a request is one record. Work on the
+    contents themselves goes over the table of turns (``conversation_attributes``),
+    so that a conversation of any length spreads over tasks.
     """
     return (
-        turns.withColumn("part", F.expr(f"turn div {int(per_row)}"))
-        .groupBy("conv_id", "part")
+        turns.groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("turns"))
         .select(
             "conv_id",
-            "part",
             F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias(
                 "messages"
             ),
@@ -69,11 +65,42 @@ def with_sampling_defaults(requests: DataFrame) -> DataFrame:
 
 
 def text_list(value: Column) -> Column:
-    """A variant that is one text or a list of texts, as a list."""
+    """A variant that is one text or a list of nothing but texts, as a list; null for anything else."""
     kind = F.schema_of_variant(value)
-    return F.when(kind == "STRING", F.array(F.try_variant_get(value, "$", "string"))).otherwise(
-        F.try_variant_get(value, "$", "array<string>")
-    )
+    listed = F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.try_variant_get(value, "$", "array<string>"))
+    whole = F.when(F.exists(listed, lambda t: t.isNull()), F.lit(None)).otherwise(listed)
+    return F.when(kind == "STRING", F.array(F.try_variant_get(value, "$", "string"))).otherwise(whole)
+
+
+def is_given(value: Column) -> Column:
+    """True where a variant is there and is no JSON null."""
+    return value.isNotNull() & (F.schema_of_variant(value) != "VOID")
+
+
+def bias_map(value: Column) -> Column:
+    """Token ids and their numbers from a variant; keys that are no plain whole numbers are left out."""
+    texts = F.try_variant_get(value, "$", "map<string,double>")
+    plain = F.map_filter(texts, lambda k, v: _plain_number(k) & v.isNotNull())
+    return F.transform_keys(plain, lambda k, _: k.cast("int"))
+
+
+def _plain_number(key: Column) -> Column:
+    # "05" and "5" would be one key, so only the plain form counts.
+    return F.coalesce(key.try_cast("int").cast("string") == key, F.lit(False))
+
+
+def _bias_broken(value: Column) -> Column:
+    texts = F.try_variant_get(value, "$", "map<string,double>")
+    odd = F.exists(F.map_entries(texts), lambda e: ~_plain_number(e["key"]) | e["value"].isNull())
+    return is_given(value) & (texts.isNull() | F.coalesce(odd, F.lit(False)))
+
+
+def embedding_errors(value: Column) -> Column:
+    """Names of the rules that an embedding ``input`` (a variant) breaks."""
+    missing = ~F.coalesce(is_given(value), F.lit(False))
+    malformed = ~missing & text_list(value).isNull()
+    rules = F.array(F.when(missing, F.lit("input_missing")), F.when(malformed, F.lit("input_malformed")))
+    return F.filter(rules, lambda e: e.isNotNull())
 
 
 def stop_sequences(stop: Column) -> Column:
@@ -129,22 +156,6 @@ def request_attributes(requests: DataFrame) -> DataFrame:
     )
 
 
-def merged_request_attributes(requests: DataFrame, key: str, scalars: list[str]) -> DataFrame:
-    """The same for requests whose messages go on over several rows: sums over the rows of a key."""
-    sized = requests.select(
-        key, *scalars, F.size("messages").alias("_n"), content_length(F.col("messages")).alias("_chars")
-    )
-    whole = sized.groupBy(key, *scalars).agg(
-        F.sum("_n").alias("input_messages"), F.sum("_chars").alias("input_content_length")
-    )
-    return whole.withColumns(
-        {
-            "max_tokens": F.coalesce(F.col("max_tokens"), F.lit(0)).cast("long"),
-            "prompt_tokens": F.when(F.col("stream"), estimated_prompt_tokens(F.col("input_content_length"))),
-        }
-    )
-
-
 def conversation_attributes(turns: DataFrame, key: str = "conv_id", text: str = "text") -> DataFrame:
     """The same numbers straight from a table of turns; sums combine before the shuffle."""
     return (
@@ -173,6 +184,8 @@ def _raw_errors() -> Column:
     rules = {
         "content_missing": _any(F.col("messages"), lambda m: (m["role"] != "assistant") & m["content"].isNull()),
         "content_malformed": _any(F.col("messages"), lambda m: m["content"].isNotNull() & shape(m)),
+        "stop_malformed": is_given(F.col("stop")) & text_list(F.col("stop")).isNull(),
+        "logit_bias_malformed": _bias_broken(F.col("logit_bias")),
     }
     return F.filter(
         F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]), lambda e: e.isNotNull()
@@ -226,7 +239,7 @@ def normalise_requests(raw: DataFrame) -> DataFrame:
                 "raw_errors": _raw_errors(),
                 "messages": F.transform("messages", message),
                 "stop": stop_sequences(F.col("stop")),
-                "logit_bias": F.transform_keys("logit_bias", lambda k, _: k.try_cast("int")),
+                "logit_bias": bias_map(F.col("logit_bias")),
                 "tool_choice": F.when(
                     mode.isNotNull() | F.col("tool_choice").isNotNull(),
                     F.struct(mode.alias("mode"), named.alias("function_name")),
@@ -285,14 +298,21 @@ def request_errors(columns: set[str]) -> Column:
     )
 
 
-def message_errors() -> Column:
-    """Rules that need the full message record (ids, names, parts, calls)."""
+def message_errors(fields: set[str]) -> Column:
+    """Rules on ids, names, parts and calls of messages, as far as the records have these fields."""
     messages = F.col("messages")
+    needs = {
+        "tool_call_id_missing": "tool_call_id",
+        "function_name_missing": "name",
+        "call_malformed": "tool_calls",
+        "part_malformed": "parts",
+        "parts_not_allowed": "parts",
+    }
     rules = {
-        "tool_call_id_missing": _any(messages, lambda m: (m["role"] == "tool") & m["tool_call_id"].isNull()),
-        "function_name_missing": _any(messages, lambda m: (m["role"] == "function") & m["name"].isNull()),
-        "call_malformed": _any(messages, lambda m: _any(m["tool_calls"], _call_broken)),
-        "part_malformed": _any(
+        "tool_call_id_missing": lambda: _any(messages, lambda m: (m["role"] == "tool") & m["tool_call_id"].isNull()),
+        "function_name_missing": lambda: _any(messages, lambda m: (m["role"] == "function") & m["name"].isNull()),
+        "call_malformed": lambda: _any(messages, lambda m: _any(m["tool_calls"], _call_broken)),
+        "part_malformed": lambda: _any(
             messages,
             lambda m: _any(
                 m["parts"],
@@ -303,18 +323,18 @@ def message_errors() -> Column:
                 | F.coalesce(~p["image_url"]["detail"].isin(*IMAGE_DETAILS), F.lit(False)),
             ),
         ),
-        "parts_not_allowed": _any(messages, lambda m: (m["role"] != "user") & m["parts"].isNotNull()),
+        "parts_not_allowed": lambda: _any(messages, lambda m: (m["role"] != "user") & m["parts"].isNotNull()),
     }
     return F.filter(
-        F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]), lambda e: e.isNotNull()
+        F.array(*[F.when(rules[n](), F.lit(n)) for n, field in needs.items() if field in fields]).cast("array<string>"),
+        lambda e: e.isNotNull(),
     )
 
 
-def validate_requests(requests: DataFrame, full_messages: bool = False) -> DataFrame:
-    """Add ``errors``; rows without errors are valid."""
-    found = [request_errors(set(requests.columns))]
-    if full_messages:
-        found.append(message_errors())
+def validate_requests(requests: DataFrame) -> DataFrame:
+    """Add ``errors``; rows without errors are valid. Every rule whose fields are there is checked."""
+    fields = set(requests.schema["messages"].dataType.elementType.fieldNames())
+    found = [request_errors(set(requests.columns)), message_errors(fields)]
     if "raw_errors" in requests.columns:
         found.append(F.col("raw_errors"))
     return requests.withColumn("errors", F.concat(*found)).drop("raw_errors")

@@ -7,36 +7,30 @@ from pyspark.sql import functions as F
 
 from parley.constants import SAMPLE_RATE
 
-SALTS = 64
-
 
 def within_ratio(trace_id: Column, rate: float = SAMPLE_RATE) -> Column:
-    """True for the traces whose low 64 bits lie below ``rate`` of the range.
+    """True for the traces whose low 64 bits lie below ``rate`` of the range; null without an id.
 
-    Ids are 32 hexadecimal digits, so the comparison of numbers is one of texts.
+    Ids are up to 32 hexadecimal digits; filled up with zeros in front, the
+    comparison of numbers is one of texts.
     """
     bound = round(rate * 2**64)
     if bound >= 2**64:
         return F.lit(True)
-    return F.lower(F.substring(trace_id, 17, 16)) < F.lit(f"{bound:016x}")
+    return F.lower(F.right(F.lpad(trace_id, 32, "0"), F.lit(16))) < F.lit(f"{bound:016x}")
 
 
-def sampled_spans(spans: DataFrame, rate: float = SAMPLE_RATE, salts: int = SALTS) -> DataFrame:
+def sampled_spans(spans: DataFrame, rate: float = SAMPLE_RATE) -> DataFrame:
     """Spans of sampled traces.
 
     The ratio is decided on each row. Only the rest has to look for a forced
-    span of its trace; a trace may hold any share of the spans, so these rows
-    are salted and the distinct forced ids are repeated for each salt.
+    span of its trace; a trace may hold any share of the spans, and the adaptive
+    planner splits the large side of that semi join. A span without a trace is a
+    trace of its own: it stays if it is forced.
     """
-    chosen = within_ratio(F.col("trace_id"), rate)
-    forced = (
-        spans.where(F.col("force_sample") & ~chosen)
-        .select("trace_id")
-        .distinct()
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    salted = F.pmod(F.xxhash64("span_id"), F.lit(salts)).cast("int")
-    rescued = (
-        spans.where(~chosen).withColumn("_salt", salted).join(forced, ["trace_id", "_salt"], "left_semi").drop("_salt")
-    )
-    return spans.where(chosen).unionByName(rescued.select(*spans.columns))
+    chosen = F.coalesce(within_ratio(F.col("trace_id"), rate), F.lit(False))
+    forced = F.coalesce(F.col("force_sample"), F.lit(False))
+    names = spans.where(forced & ~chosen).select("trace_id").distinct()
+    rescued = spans.where(~chosen & F.col("trace_id").isNotNull()).join(names, "trace_id", "left_semi")
+    alone = spans.where(~chosen & F.col("trace_id").isNull() & forced)
+    return spans.where(chosen).unionByName(rescued.select(*spans.columns)).unionByName(alone)

@@ -12,7 +12,7 @@ from parley.functions.ids import stable_id
 from parley.operators import completions as C
 from parley.operators import contracts
 from parley.operators.inference import echo_backend, generate_completions
-from parley.plans.derive import RAW_SQL, WS, raw_completions, table
+from parley.plans.derive import RAW_SQL, STRICT_JSON, WS, raw_completions, table
 from parley.plans.registry import query
 
 _CLEAN = f"""CASE WHEN len(thoughts) = 0 THEN content
@@ -30,7 +30,7 @@ def calls_sql(source: str) -> str:
  SELECT stream_id, unnest(range(len(l))) AS i, unnest(l) AS body FROM (
   SELECT stream_id, regexp_extract_all(content, '{T.CALL_BLOCK}', 1) AS l FROM {source})),
 kinds AS (
- SELECT *, CASE WHEN json_valid(body) THEN json_type(body) = 'OBJECT' ELSE false END AS is_object FROM bodies),
+ SELECT *, CASE WHEN {STRICT_JSON.format(b='body')} THEN json_type(body) = 'OBJECT' ELSE false END AS is_object FROM bodies),
 records AS (
  SELECT stream_id, i,
   CASE WHEN is_object THEN json_extract_string(body, '$.name') END AS name,
@@ -122,7 +122,8 @@ _BODY = """CASE event_id % 8
  WHEN 4 THEN '{"name": "f", "arguments": [1, "two", {"three": 3}]}'
  WHEN 5 THEN '{"arguments": 5}'
  WHEN 6 THEN '[1]'
- ELSE '{"name": "f"} x' END"""
+ ELSE CASE event_id % 5 WHEN 0 THEN '{"name": "f"} x' WHEN 1 THEN '{"name": "f"}] x' WHEN 2 THEN '{"name": "f"}} x'
+  WHEN 3 THEN '{"name": "f"} {"name": "g"}' ELSE '{"name": "f", "a": NaN}' END END"""
 
 
 @query(
@@ -130,7 +131,7 @@ _BODY = """CASE event_id % 8
     f"""SELECT event_id, CASE WHEN event_id % 8 < 5 THEN 'f' END AS name, CASE event_id % 8
       WHEN 0 THEN CAST(json_extract(props, '$') AS VARCHAR) WHEN 1 THEN '{{}}' WHEN 2 THEN 'null' WHEN 3 THEN 'as it is'
       WHEN 4 THEN '[1,"two",{{"three":3}}]' END AS arguments,
-     CASE WHEN json_valid({_BODY}) THEN true ELSE false END AS is_json, event_id % 8 < 5 AS ok FROM events""",
+     {STRICT_JSON.format(b='(' + _BODY + ')')} AS is_json, event_id % 8 < 5 AS ok FROM events""",
 )
 def tool_argument_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = table(spark, sf_dir, "events").select("event_id", F.expr(_BODY).alias("body"))
@@ -178,8 +179,10 @@ def nested_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ID_SQL = "concat('{prefix}_', lpad(to_base(CAST(concat('0x', substr(sha256({key}), 1, 12)) AS BIGINT), 36), 10, '0'), lpad(to_base(CAST(concat('0x', substr(sha256({key}), 13, 12)) AS BIGINT), 36), 10, '0'))"
 
 
-def id_sql(prefix: str, key: str) -> str:
-    return _ID_SQL.replace("{prefix}", prefix).replace("{key}", key)
+def id_sql(prefix: str, *keys: str) -> str:
+    """The key of an id is each value with its length in front, ``~`` for null."""
+    parts = [f"coalesce(length(CAST({k} AS VARCHAR)) || ':' || CAST({k} AS VARCHAR), '~')" for k in keys]
+    return _ID_SQL.replace("{prefix}", prefix).replace("{key}", " || ".join(parts))
 
 
 @query(
@@ -212,15 +215,17 @@ def nested_completion_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "completion_usage",
-    f"""WITH {RAW_SQL}
-    SELECT stream_id AS id, CASE WHEN conv_id % 7 <> 0 THEN conv_id END AS prompt_tokens,
+    f"""WITH {REWRITE_SQL}
+    SELECT stream_id AS source, CASE WHEN conv_id % 7 <> 0 THEN conv_id END AS prompt_tokens,
      CASE WHEN conv_id % 7 <> 0 THEN CASE WHEN turn > 1 THEN turn ELSE 0 END END AS completion_tokens,
      CASE WHEN conv_id % 7 <> 0 THEN conv_id + turn END AS total_tokens,
-     CASE WHEN (conv_id + turn) % 11 <> 0 THEN length(content) END AS output_content_length,
-     CASE WHEN (conv_id + turn) % 11 <> 0 THEN 'stop' END AS finish_reason FROM raw""",
+     CASE WHEN (conv_id + turn) % 11 <> 0 THEN length(coalesce(content, '')) END AS output_content_length,
+     CASE WHEN (conv_id + turn) % 11 <> 0 THEN finish_reason END AS finish_reason FROM rewritten""",
 )
 def completion_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.completion_usage(nested_completions(spark, sf_dir))
+    # Usage is told of what the client gets, so the rewriting comes first.
+    raw = nested_completions(spark, sf_dir).withColumn("source", F.col("id"))
+    return C.completion_usage(C.rewrite_completions(raw), "source").drop("id")
 
 
 @query(
@@ -277,7 +282,7 @@ def model_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "response_ids",
-    f"SELECT conv_id, turn, {id_sql('chatcmpl', chr(39) + chr(39) + ' || conv_id || ' + chr(39) + '|' + chr(39) + ' || turn')} AS id FROM conversations",
+    f"SELECT conv_id, turn, {id_sql('chatcmpl', 'conv_id', 'turn')} AS id FROM conversations",
 )
 def response_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(

@@ -30,13 +30,13 @@ RAW_CONTENT = f"""CASE {RAW_VARIANT}
       ', "city": "Zürich", "days": [1, 2.5, true]}}}}', chr(10), '</tool_call>')
  WHEN 6 THEN concat(text, '<tool_call>{{"name": "a", "arguments": {{}}}}</tool_call> and ',
       '<tool_call> {{"name": "b", "arguments": "raw text"}} </tool_call> tail')
- WHEN 7 THEN concat('<tool_call>{{"name" "broken"}}</tool_call>', text)
+ WHEN 7 THEN concat('<tool_call>{{"name"', CASE turn % 3 WHEN 0 THEN ' "broken"}}' WHEN 1 THEN ': "f"}}] {{"x": 1}}' ELSE ': "f", "name": "g"}}' END, '</tool_call>', text)
  WHEN 8 THEN concat('<think>plan <tool_call>{{"name": "inner"}}</tool_call></think>', text)
- WHEN 9 THEN concat('<think>', text)
+ WHEN 9 THEN concat('<think>', text, CASE WHEN turn % 2 = 0 THEN '</thi' ELSE '' END)
  WHEN 10 THEN concat(text, '</think> stray <thi')
  WHEN 11 THEN '<tool_call>{{"name": "nulls", "arguments": null}}</tool_call>'
  WHEN 12 THEN concat('<tool_call>{{"arguments": {{"a": 1}}}}</tool_call>', text)
- WHEN 13 THEN concat(text, '<tool_call>{{"name": "open"')
+ WHEN 13 THEN concat(text, '<tool_call>{{"name": "open"', CASE WHEN turn % 2 = 0 THEN '</to' ELSE '' END)
  WHEN 14 THEN concat('<<think>', text, '</think>')
  ELSE '' END"""
 
@@ -45,6 +45,10 @@ RAW_SQL = f"""raw AS (
  FROM conversations WHERE role = 'assistant')"""
 
 
+# JSON as the jobs take it: DuckDB lets doubled keys and NaN pass.
+STRICT_JSON = "CASE WHEN json_valid({b}) THEN len(json_keys({b})) = len(list_distinct(json_keys({b}))) AND NOT contains({b}, 'NaN') ELSE false END"
+
+
 def raw_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, stream_id, content): raw model output per assistant turn."""
     return (

@@ -11,8 +11,8 @@ from parley.operators.embeddings import embedding_attributes, indexed_inputs
 from parley.operators.span_metrics import not_excluded
 from parley.plans.derive import table
 from parley.plans.registry import query
-from parley.schemas import EMBEDDING_REQUEST, RAW_REQUEST
-from parley.sources.requests import parse_json, readable
+from parley.schemas import RAW_REQUEST
+from parley.sources.requests import embedding_requests, parse_json, readable
 
 # Every fifth conversation has assistant turns without content.
 _TURNS = "CASE WHEN conv_id % 5 = 0 AND role = 'assistant' THEN NULL ELSE text END"
@@ -25,14 +25,13 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "conversation_requests",
-    """SELECT conv_id, 0::BIGINT AS part, count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles,
+    """SELECT conv_id, count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles,
      md5(string_agg(text, chr(10) ORDER BY turn)) AS text_hash
      FROM conversations GROUP BY conv_id""",
 )
 def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.conversation_requests(table(spark, sf_dir, "conversations")).select(
         "conv_id",
-        "part",
         F.size("messages").cast("long").alias("n_messages"),
         F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
         F.md5(F.array_join(F.transform("messages", lambda m: m["content"]), "\n")).alias("text_hash"),
@@ -41,7 +40,7 @@ def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "assistant_content_default",
-    f"""SELECT conv_id, 0::BIGINT AS part,
+    f"""SELECT conv_id,
      sum(CASE WHEN role = 'assistant' AND t IS NULL THEN 1 ELSE 0 END)::BIGINT AS filled,
      sum(length(coalesce(t, '')))::BIGINT AS chars, 0::BIGINT AS still_null
      FROM (SELECT *, {_TURNS} AS t FROM conversations) GROUP BY conv_id""",
@@ -50,7 +49,6 @@ def assistant_content_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = _requests(spark, sf_dir).withColumn("messages", R.fill_assistant_content(F.col("messages")))
     return filled.select(
         "conv_id",
-        "part",
         F.size(F.filter("messages", lambda m: m["content"] == "")).cast("long").alias("filled"),
         R.content_length(F.col("messages")).alias("chars"),
         F.size(F.filter("messages", lambda m: m["content"].isNull())).cast("long").alias("still_null"),
@@ -103,8 +101,10 @@ def sampling_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN turn % 7 <> 6 AND conv_id % 6 = 5 THEN 'role_unknown' END,
       CASE WHEN conv_id % 4 = 3 THEN 'tool_malformed' END,
       CASE WHEN turn % 5 = 4 THEN 'tool_choice_unknown' END,
-      CASE WHEN conv_id % 9 = 8 THEN 'response_format_unknown' END) AS errors,
-     NOT (turn % 7 = 6 OR conv_id % 6 = 5 OR conv_id % 4 = 3 OR turn % 5 = 4 OR conv_id % 9 = 8) AS valid
+      CASE WHEN conv_id % 9 = 8 THEN 'response_format_unknown' END,
+      CASE WHEN turn % 7 <> 6 AND conv_id % 6 <> 5 AND conv_id % 10 = 2 AND turn % 2 = 1 THEN 'tool_call_id_missing' END,
+      CASE WHEN turn % 7 <> 6 AND conv_id % 11 = 1 THEN 'call_malformed' END) AS errors,
+     NOT (turn % 7 = 6 OR conv_id % 6 = 5 OR conv_id % 4 = 3 OR turn % 5 = 4 OR conv_id % 9 = 8 OR conv_id % 10 = 2 AND turn % 2 = 1 OR conv_id % 11 = 1) AS valid
      FROM conversations""",
 )
 def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +112,9 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id",
         "turn",
         F.expr(
-            "CASE WHEN turn % 7 <> 6 THEN array(named_struct('role', CASE WHEN conv_id % 6 = 5 THEN 'robot' ELSE role END,"
-            " 'content', text)) END"
+            "CASE WHEN turn % 7 <> 6 THEN array(named_struct('role', CASE WHEN conv_id % 6 = 5 THEN 'robot' WHEN conv_id % 10 = 2 THEN 'tool' ELSE role END,"
+            " 'content', text, 'tool_call_id', CASE WHEN turn % 2 = 0 THEN 'c' END, 'tool_calls', CASE WHEN conv_id % 11 < 2 THEN"
+            " array(named_struct('id', 'c', 'type', 'function', 'function', named_struct('name', CASE WHEN conv_id % 11 = 0 THEN 'f' END, 'arguments', '{}'))) END)) END"
         ).alias("messages"),
         F.expr(
             "array(named_struct('type', CASE WHEN conv_id % 4 = 3 THEN 'plugin' ELSE 'function' END, 'function',"
@@ -133,26 +134,32 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Requests as JSON lines; some lines are cut off, unions come in every form.
-_LINE = """CASE WHEN turn % 9 = 8 THEN '{{"messages": ['
- ELSE concat('{{"request_id": "', conv_id, '-', turn, '", "messages": [{{"role": "', role, '", "content": ',
-  CASE WHEN turn % 4 = 1 THEN 'null' WHEN turn % 4 = 2 THEN '[{{"type": "text", "text": "part"}}]' ELSE '"whole"' END, '}}], "stop": ',
-  CASE WHEN conv_id % 3 = 0 THEN '"END"' WHEN conv_id % 3 = 1 THEN '["A", "B"]' ELSE 'null' END,
-  CASE WHEN conv_id % 2 = 0 THEN ', "tools": [{{"type": "function", "function": {{"name": "f", "parameters": {{}}}}}}]' ELSE '' END,
-  CASE WHEN turn % 5 = 0 THEN ', "tool_choice": {{"type": "function", "function": {{"name": "f"}}}}' WHEN turn % 5 = 1 THEN ', "tool_choice": "required"' ELSE '' END,
-  CASE WHEN turn % 2 = 0 THEN ', "temperature": 0.75' ELSE '' END, '}}') END""".format()
+# Requests as JSON lines with the real texts; some lines are cut off or go on, unions come in every form.
+_QUOTED = "substring(to_json(named_struct('t', text)), 6, length(to_json(named_struct('t', text))) - 6)"
+_LINE = f"""CASE WHEN turn % 9 = 8 THEN '{{{{"messages": [' WHEN turn % 9 = 7 THEN '{{{{"messages": []}}}} }}}}'
+ ELSE concat('{{{{"request_id": "', conv_id, '-', turn, '", "messages": [{{{{"role": "', role, '", "content": ',
+  CASE WHEN turn % 4 = 1 THEN 'null' WHEN turn % 4 = 2 THEN concat('[{{{{"type": "text", "text": ', {_QUOTED}, '}}}}]') ELSE {_QUOTED} END, '}}}}], "stop": ',
+  CASE WHEN conv_id % 5 = 0 THEN '"END"' WHEN conv_id % 5 = 1 THEN '["A", "B"]' WHEN conv_id % 5 = 2 THEN '5' WHEN conv_id % 5 = 3 THEN '["A", true]' ELSE 'null' END,
+  CASE WHEN conv_id % 7 = 0 THEN ', "logit_bias": {{{{"abc": 1}}}}' WHEN conv_id % 7 = 1 THEN ', "logit_bias": {{{{"5": 1, "05": 2}}}}'
+   WHEN conv_id % 7 = 2 THEN ', "logit_bias": {{{{"5": 1.5}}}}' ELSE '' END,
+  CASE WHEN conv_id % 2 = 0 THEN ', "tools": [{{{{"type": "function", "function": {{{{"name": "f", "parameters": {{{{}}}}}}}}}}}}]' ELSE '' END,
+  CASE WHEN turn % 5 = 0 THEN ', "tool_choice": {{{{"type": "function", "function": {{{{"name": "f"}}}}}}}}' WHEN turn % 5 = 1 THEN ', "tool_choice": "required"' ELSE '' END,
+  CASE WHEN turn % 2 = 0 THEN ', "temperature": 0.75' ELSE '' END, '}}}}') END""".format()
 
 
 @query(
     "request_json_ingest",
-    """SELECT conv_id, turn, turn % 9 = 8 AS unreadable,
-      CASE WHEN turn % 9 <> 8 THEN concat(conv_id, '-', turn) END AS request_id,
-      CASE WHEN turn % 9 <> 8 THEN CAST(CASE WHEN turn % 2 = 0 THEN 0.75 ELSE 0.2 END AS DOUBLE) END AS temperature,
-      CASE WHEN turn % 9 <> 8 THEN CASE turn % 4 WHEN 1 THEN CASE WHEN role = 'assistant' THEN '' END WHEN 2 THEN NULL ELSE 'whole' END END AS content,
-      CASE WHEN turn % 9 <> 8 AND turn % 4 = 2 THEN 'part' END AS part_text,
-      CASE WHEN turn % 9 <> 8 THEN CASE conv_id % 3 WHEN 0 THEN 'END' WHEN 1 THEN 'A,B' END END AS stop,
-      CASE WHEN turn % 9 <> 8 THEN CASE WHEN turn % 5 = 0 THEN NULL WHEN turn % 5 = 1 THEN 'required' WHEN conv_id % 2 = 0 THEN 'auto' END END AS choice_mode,
-      CASE WHEN turn % 9 <> 8 AND turn % 5 = 0 THEN 'f' END AS choice_function
+    """SELECT conv_id, turn, turn % 9 >= 7 AS unreadable,
+      CASE WHEN turn % 9 < 7 THEN concat(conv_id, '-', turn) END AS request_id,
+      CASE WHEN turn % 9 < 7 THEN CAST(CASE WHEN turn % 2 = 0 THEN 0.75 ELSE 0.2 END AS DOUBLE) END AS temperature,
+      CASE WHEN turn % 9 < 7 THEN CASE turn % 4 WHEN 1 THEN CASE WHEN role = 'assistant' THEN '' END WHEN 2 THEN NULL ELSE text END END AS content,
+      CASE WHEN turn % 9 < 7 AND turn % 4 = 2 THEN text END AS part_text,
+      CASE WHEN turn % 9 < 7 THEN CASE conv_id % 5 WHEN 0 THEN 'END' WHEN 1 THEN 'A,B' END END AS stop,
+      CASE WHEN turn % 9 < 7 AND conv_id % 7 IN (1, 2) THEN CASE WHEN conv_id % 7 = 1 THEN 1.0 ELSE 1.5 END END::DOUBLE AS bias_of_5,
+      CASE WHEN turn % 9 < 7 THEN concat_ws(',', CASE WHEN turn % 4 = 2 AND role <> 'user' THEN 'content_malformed' END,
+       CASE WHEN conv_id % 5 IN (2, 3) THEN 'stop_malformed' END, CASE WHEN conv_id % 7 IN (0, 1) THEN 'logit_bias_malformed' END) END AS errors,
+      CASE WHEN turn % 9 < 7 THEN CASE WHEN turn % 5 = 0 THEN NULL WHEN turn % 5 = 1 THEN 'required' WHEN conv_id % 2 = 0 THEN 'auto' END END AS choice_mode,
+      CASE WHEN turn % 9 < 7 AND turn % 5 = 0 THEN 'f' END AS choice_function
      FROM conversations""",
 )
 def request_json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +176,8 @@ def request_json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         first["content"].alias("content"),
         F.get(first["parts"], F.lit(0))["text"].alias("part_text"),
         F.array_join("stop", ",").alias("stop"),
+        F.try_element_at("logit_bias", F.lit(5)).alias("bias_of_5"),
+        F.array_join("raw_errors", ",").alias("errors"),
         F.col("tool_choice.mode").alias("choice_mode"),
         F.col("tool_choice.function_name").alias("choice_function"),
     )
@@ -204,21 +213,22 @@ def _embedding_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "embedding_request_ingest",
-    """SELECT doc_id, turned.i AS index, turned.t AS text FROM (
+    """SELECT doc_id, CAST(turned.i AS BIGINT) AS index, turned.t AS text, NULL AS errors FROM (
       SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS t FROM (
-       SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN [source] ELSE [lang, source] END AS l FROM documents)) AS turned""",
+       SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN [text] ELSE [lang, text] END AS l FROM documents WHERE doc_id % 6 < 2)) AS turned
+     UNION ALL SELECT doc_id, NULL, NULL, CASE doc_id % 6 WHEN 3 THEN 'input_missing' WHEN 5 THEN 'unreadable' ELSE 'input_malformed' END
+     FROM documents WHERE doc_id % 6 >= 2""",
 )
 def embedding_request_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.expr(
-        "CASE WHEN doc_id % 2 = 0 THEN to_json(named_struct('request_id', string(doc_id), 'input', source))"
-        " ELSE to_json(named_struct('request_id', string(doc_id), 'input', array(lang, source))) END"
+        "CASE doc_id % 6 WHEN 0 THEN to_json(named_struct('input', text)) WHEN 1 THEN to_json(named_struct('input', array(lang, text)))"
+        " WHEN 2 THEN '{\"input\": 5}' WHEN 3 THEN '{\"model\": \"m\"}' WHEN 4 THEN '{\"input\": [1, \"a\", null]}'"
+        " ELSE concat(to_json(named_struct('input', text)), ' x') END"
     )
     lines = table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
-    good, _ = readable(parse_json(lines, "line", EMBEDDING_REQUEST))
-    texts = good.withColumn("input", R.input_texts(F.col("input")))
-    return texts.select("doc_id", F.posexplode("input").alias("index", "text")).withColumn(
-        "index", F.col("index").cast("long")
-    )
+    good, bad = embedding_requests(lines, "line")
+    texts = good.select("doc_id", F.posexplode("input").alias("index", "text")).withColumn("index", F.col("index").cast("long"))
+    return texts.unionByName(bad.select("doc_id", F.array_join("errors", ",").alias("errors")), allowMissingColumns=True)
 
 
 @query(
@@ -291,7 +301,7 @@ def input_content_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "request_attributes",
     """SELECT conv_id, count(*) AS input_messages, sum(length(text))::BIGINT AS input_content_length,
-     CASE WHEN conv_id % 2 = 0 THEN 0 ELSE 64 END::BIGINT AS max_tokens,
+     CASE WHEN conv_id % 2 = 0 THEN 0 ELSE 64 END::BIGINT AS max_tokens, CASE WHEN conv_id % 5 = 0 THEN 0.5 END::DOUBLE AS temperature,
      CASE WHEN conv_id % 3 = 0 THEN greatest(1, CAST(floor(sum(length(text)) / 4.0) AS BIGINT)) END AS prompt_tokens
      FROM conversations GROUP BY conv_id""",
 )
@@ -300,9 +310,10 @@ def request_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id",
         "messages",
         F.expr("CASE WHEN conv_id % 2 <> 0 THEN 64 END").alias("max_tokens"),
+        F.expr("CASE WHEN conv_id % 5 = 0 THEN 0.5 END").cast("double").alias("temperature"),
         F.expr("conv_id % 3 = 0").alias("stream"),
     )
-    return R.merged_request_attributes(requests, "conv_id", ["max_tokens", "stream"]).drop("stream")
+    return R.request_attributes(requests).drop("stream", "messages")
 
 
 @query(

@@ -9,7 +9,7 @@ from parley.functions import tags as T
 from parley.operators import contracts, replay, usage
 from parley.operators.requests import conversation_attributes
 from parley.plans.completion_queries import id_sql
-from parley.plans.derive import CHUNKS_SQL, WS, chunk_streams, table
+from parley.plans.derive import CHUNKS_SQL, STRICT_JSON, WS, chunk_streams, table
 from parley.plans.registry import query
 from parley.session import shared_folder
 from parley.sources import chunks as W
@@ -44,8 +44,8 @@ closed AS (
  SELECT n.stream_id, n.segment, n.end_chars, n.call_no - 1 AS call_no, trim(coalesce(t, ''), '{WS}') AS body
  FROM numbered n LEFT JOIN inner_text x ON x.stream_id = n.stream_id AND x.call_no = n.call_no - 1 WHERE n.closes),
 judged AS (
- SELECT *, json_valid(body) AS is_json,
-  CASE WHEN json_valid(body) THEN CASE WHEN json_type(body) = 'OBJECT' THEN json_extract_string(body, '$.name') END END AS name FROM closed),
+ SELECT *, {STRICT_JSON.format(b='body')} AS is_json,
+  CASE WHEN {STRICT_JSON.format(b='body')} THEN CASE WHEN json_type(body) = 'OBJECT' THEN json_extract_string(body, '$.name') END END AS name FROM closed),
 calls AS (
  SELECT *, name IS NOT NULL AS ok,
   sum(CASE WHEN name IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY call_no) - 1 AS call_index,
@@ -82,7 +82,7 @@ def stream_replay_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_tool_calls",
-    f"""WITH {REPLAY_SQL} SELECT stream_id, call_index::BIGINT AS call_index, {id_sql('call', "concat(stream_id, '|', call_index)")} AS call_id,
+    f"""WITH {REPLAY_SQL} SELECT stream_id, call_index::BIGINT AS call_index, {id_sql('call', 'stream_id', 'call_index')} AS call_id,
      name, arguments FROM replayed WHERE kind = 'tool_call'""",
 )
 def stream_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +107,12 @@ def finish_reason_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_flush",
-    f"""WITH {REPLAY_SQL} SELECT stream_id, tok AS flushed FROM toks
-     WHERE tok IN ({', '.join(f"'{p}'" for p in T.PARTIAL_TAGS)}) QUALIFY i = max(i) OVER (PARTITION BY stream_id)
-     AND i = (SELECT max(i) FROM toks t2 WHERE t2.stream_id = toks.stream_id)""",
+    f"""WITH {REPLAY_SQL}, ends AS (
+      SELECT stream_id, arg_max(tok, i) AS tok,
+       coalesce(arg_max(tok, i) FILTER (tok IN ('<think>', '</think>', '<tool_call>', '</tool_call>')), '') AS opened FROM toks GROUP BY stream_id)
+     SELECT stream_id, tok AS flushed, CASE WHEN opened = '<think>' THEN 'reasoning' ELSE 'content' END AS kind FROM ends
+     WHERE opened <> '<tool_call>' AND (starts_with('<think>', tok) OR starts_with('</think>', tok) OR starts_with('<tool_call>', tok)
+      OR starts_with('</tool_call>', tok)) AND tok NOT IN ('<think>', '</think>', '<tool_call>', '</tool_call>')""",
 )
 def stream_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.held_tails(chunk_streams(spark, sf_dir))

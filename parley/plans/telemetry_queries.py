@@ -230,14 +230,10 @@ def span_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "trace_sample",
     f"""WITH {SPANS_SQL} SELECT span_id, trace_id, force_sample FROM spans WHERE substr(trace_id, 17, 16) < '{round(0.1 * 2**64):016x}'
-     OR trace_id IN (SELECT trace_id FROM spans WHERE force_sample AND event_id % 7 = 0)""",
+     OR trace_id IN (SELECT trace_id FROM spans WHERE force_sample)""",
 )
 def trace_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Fewer forced spans than the table has, so that not every trace is one with a failure.
-    given = spans(spark, sf_dir).withColumns(
-        {"_shown": F.col("force_sample"), "force_sample": F.expr("force_sample and event_id % 7 = 0")}
-    )
-    return sampling.sampled_spans(given).select("span_id", "trace_id", F.col("_shown").alias("force_sample"))
+    return sampling.sampled_spans(spans(spark, sf_dir)).select("span_id", "trace_id", "force_sample")
 
 
 @query(
@@ -256,9 +252,9 @@ def trace_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
      l AS (SELECT *, concat('model="', model, '"', coalesce(',streaming="' || streaming || '"', ''), coalesce(',status="' || status || '"', ''),
       coalesce(',token_type="' || token_type || '"', '')) AS labels FROM h)
      SELECT metric, concat(metric, '_bucket{{', labels, ',le="', CASE WHEN le = 'inf'::DOUBLE THEN '+Inf' ELSE CAST(le AS VARCHAR) END, '"}} ', bucket_count) AS line FROM l
-     UNION ALL SELECT metric, concat(metric, '_count{{', labels, '}} ', count) FROM l WHERE le = 'inf'::DOUBLE""",
+     UNION ALL SELECT metric, concat(metric, '_count{{', labels, '}} ', count) FROM l WHERE le = 'inf'::DOUBLE
+     UNION ALL SELECT metric, concat(metric, '_sum{{', labels, '}} ', CAST(sum AS DECIMAL(38, 3))) FROM l WHERE le = 'inf'::DOUBLE""",
 )
 def metric_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = instruments.histograms(instruments.observations(measured(spark, sf_dir)))
-    # Lines of sums are left out here: the text of a sum depends on the order of adding.
-    return sinks.exposition_lines(rows).where("line not like concat(metric, '_sum%')")
+    return sinks.exposition_lines(rows)

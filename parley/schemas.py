@@ -27,7 +27,7 @@ RAW_REQUEST = (
     "request_id string, model string, stream boolean, max_tokens int, temperature double, top_p double, "
     "top_k int, min_p double, typical_p double, presence_penalty double, frequency_penalty double, "
     "repeat_penalty double, tfs_z double, mirostat_mode int, mirostat_tau double, mirostat_eta double, "
-    "seed int, stop variant, logit_bias map<string,double>, logprobs boolean, top_logprobs int, "
+    "seed int, stop variant, logit_bias variant, logprobs boolean, top_logprobs int, "
     f"messages array<{_RAW_MESSAGE}>, "
     "tools array<struct<type:string,function:struct<name:string,description:string,parameters:string>>>, "
     "tool_choice variant, functions array<struct<name:string,description:string,parameters:string>>, "

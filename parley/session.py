@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 CLUSTER_CONF = {
@@ -27,15 +25,13 @@ def build_session(app: str = "parley", master: str | None = None, **conf: str) -
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder that all executors share.
 
     Stream checkpoints and written intermediate tables have to outlive an
-    executor, so they go where ``spark.checkpoint.dir`` points. Only a session
-    without that setting (a test on one machine) falls back to a local folder.
+    executor, so they go where ``spark.checkpoint.dir`` points, or below the
+    warehouse where it is unset.
     """
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="parley-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -32,7 +32,10 @@ def _escaped(label: Column) -> Column:
 
 
 def exposition_lines(histograms: DataFrame) -> DataFrame:
-    """(metric, line) in the text format of metric scrapers, for histogram rows."""
+    """(metric, line) in the text format of metric scrapers, for histogram rows.
+
+    Sums have three decimals, so that the order of adding does not change their text.
+    """
     infinite = F.col("le") == float("inf")
     bucket = F.concat(
         F.col("metric"), F.lit("_bucket"),
@@ -40,7 +43,7 @@ def exposition_lines(histograms: DataFrame) -> DataFrame:
         F.lit(" "), F.col("bucket_count").cast("string"),
     )
     count = F.concat(F.col("metric"), F.lit("_count"), _labels(), F.lit(" "), F.col("count").cast("string"))
-    total = F.concat(F.col("metric"), F.lit("_sum"), _labels(), F.lit(" "), _number(F.col("sum")))
+    total = F.concat(F.col("metric"), F.lit("_sum"), _labels(), F.lit(" "), F.col("sum").cast("decimal(38,3)").cast("string"))
     lines = F.array_compact(F.array(bucket, F.when(infinite, count), F.when(infinite, total)))
     return histograms.select("metric", F.explode(lines).alias("line"))
 
@@ -72,8 +75,11 @@ def with_headers(lines: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 
 def write_exposition(lines: DataFrame, path: str) -> None:
-    """One text file; its size depends on metrics and label sets, not on the number of spans."""
-    lines.coalesce(1).sortWithinPartitions("metric", "rank", "line").select(F.col("line").alias("value")).write.text(path)
+    """One text file; its size depends on metrics and label sets, not on the number of spans.
+
+    The lines are computed in parallel and only then brought together.
+    """
+    lines.repartition(1).sortWithinPartitions("metric", "rank", "line").select(F.col("line").alias("value")).write.text(path)
 
 
 def write_span_logs(records: DataFrame, path: str) -> None:

@@ -4,8 +4,8 @@ Each stream is one keyed group; its state is a handful of values, so a stream
 may arrive over any number of micro-batches. Chunks are taken in the order of
 ``seq``: chunks that come early wait in the state, chunks seen before are
 skipped. A row with ``done`` ends the stream; a stream that stays silent for
-longer than the timeout is ended as well, and the state of ended streams is
-dropped after the same time.
+longer than the timeout is ended as well. An ended stream stays known for one
+more timeout, then its state is dropped.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parley.constants import CALL_CLOSE, CALL_OPEN, CHUNK_OBJECT, TAGS, THINK_OPEN
 from parley.functions.ids import stable_id
-from parley.functions.tags import PARTIAL_TAGS, SCAN
+from parley.functions.tags import PARTIAL_TAGS, SCAN, call_record
 from parley.schemas import CHUNK_CHOICE
 
 # What the stateful step reads, writes and keeps.
 INPUT = ("stream_id", "seq", "role", "content", "finish_reason", "has_delta", "done")
 OUTPUT = (
     "stream_id string, seq long, out_no long, kind string, role string, content string, "
-    "reasoning_content string, call_index long, call_name string, call_arguments string, "
+    "reasoning_content string, call_index long, call_body string, "
     "finish_reason string, completion_tokens long, output_length long"
 )
 STATE = (
@@ -42,81 +42,72 @@ _FRESH = ("", "", "", 0, False, 0, "[]", 0, 0, 0, False)
 
 _TOKENS = re.compile(SCAN.replace("\\z", "\\Z"))
 _PARTIAL = frozenset(PARTIAL_TAGS)
+_FIELD_OF = {"content": "content", "error": "content", "passthrough": "content", "reasoning": "reasoning_content", "tool_call": "call_body"}
 
 
-def _row(kind: str, role: Any = None, **fields: Any) -> dict[str, Any]:
-    return {"kind": kind, "role": role, **fields}
+def _unique(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
+    record = dict(pairs)
+    if len(record) < len(pairs):
+        raise ValueError("a key occurs twice")
+    return record
 
 
-def _speak(st: dict[str, Any], text: str, role: Any) -> list[dict[str, Any]]:
-    """Output for a stretch of text in the current state."""
-    if st["skip_space"]:
-        text = text.lstrip()
-    if not text:
-        return []
-    st["skip_space"] = False
-    if st["open_tag"] == CALL_OPEN:
-        st["call_text"] += text
-        return []
-    if st["open_tag"] == THINK_OPEN:
-        return [_row("reasoning", role, reasoning_content=text)]
-    return [_row("content", role, content=text)]
+def _reject(constant: str) -> None:
+    raise ValueError(f"{constant} is no JSON")
 
 
-def _close_call(st: dict[str, Any], role: Any) -> dict[str, Any]:
-    body, st["call_text"] = st["call_text"].strip(), ""
+def _kind_of_call(body: str) -> str:
+    """The rule of ``functions.tags.call_record``: a call is one JSON object with a name; other JSON is an error, the rest was text."""
     try:
-        call = json.loads(body)
-    except json.JSONDecodeError:
-        return _row("content", role, content=body)
-    if not isinstance(call, dict) or call.get("name") is None:
-        return _row("error", role, content=body)
-    arguments = call.get("arguments", {})
-    if not isinstance(arguments, str):
-        arguments = json.dumps(arguments, ensure_ascii=False, separators=(",", ":"))
-    name = call["name"] if isinstance(call["name"], str) else json.dumps(call["name"])
-    st["calls"] += 1
-    return _row("tool_call", call_index=st["calls"] - 1, call_name=name, call_arguments=arguments)
-
-
-def _consume(st: dict[str, Any], text: str, role: Any) -> list[dict[str, Any]]:
-    """Outputs of one chunk's text. A new output starts at every started tag."""
-    tokens = _TOKENS.findall(st["held"] + text)
-    st["held"] = tokens.pop() if tokens and tokens[-1] in _PARTIAL else ""
-    out: list[dict[str, Any]] = []
-    pending = ""
-    for token in tokens:
-        if token.startswith("<"):
-            out += _speak(st, pending, role)
-            pending = ""
-        if token not in TAGS:
-            pending += token
-            continue
-        if token == CALL_CLOSE and st["open_tag"] == CALL_OPEN:
-            out.append(_close_call(st, role))
-        st["open_tag"], st["skip_space"] = token, True
-    return out + _speak(st, pending, role)
+        record = json.loads(body, object_pairs_hook=_unique, parse_constant=_reject)
+    except ValueError:
+        return "content"
+    return "tool_call" if isinstance(record, dict) and record.get("name") is not None else "error"
+
+
+def _stretches(tokens: list[str]) -> list[tuple[str, str]]:
+    """(tag or '', text): a stretch starts at each token that begins with ``<``."""
+    starts = [i for i, t in enumerate(tokens) if i == 0 or t[0] == "<"]
+    texts = [tokens[a:b] for a, b in zip(starts, [*starts[1:], len(tokens)])]
+    return [(t[0], "".join(t[1:])) if t[0] in TAGS else ("", "".join(t)) for t in texts]
+
+
+def _told(st: dict[str, Any], tag: str, text: str) -> list[tuple[str, str]]:
+    """(kind, text) that one stretch adds, with the state moved on behind it."""
+    out = []
+    if tag:
+        if (st["open_tag"], tag) == (CALL_OPEN, CALL_CLOSE):
+            body, st["call_text"] = st["call_text"].strip(), ""
+            out.append((_kind_of_call(body), body))
+        st["open_tag"], st["skip_space"] = tag, True
+    seen = text.lstrip() if st["skip_space"] else text
+    st["skip_space"] = st["skip_space"] and not seen
+    if st["open_tag"] == CALL_OPEN:
+        st["call_text"] += seen
+    else:
+        out.append(("reasoning" if st["open_tag"] == THINK_OPEN else "content", seen))
+    return [(kind, said) for kind, said in out if said]
 
 
 def _advance(st: dict[str, Any], chunk: dict[str, Any]) -> list[dict[str, Any]]:
-    """Outputs of one chunk, in order."""
-    text, finish, role = chunk["content"], chunk["finish_reason"] or None, chunk["role"]
-    if chunk["done"]:
-        held, st["held"] = st["held"], ""
-        return _speak(st, held, role)
-    if text is None:
-        if finish and st["calls"] and chunk["has_delta"]:
-            finish = "tool_calls"
-        return [_row("passthrough", role, finish_reason=finish)]
-    out = _consume(st, text, role)
-    if finish:
-        finish = "tool_calls" if st["calls"] else finish
-        if out:
-            out[-1]["finish_reason"] = finish
-        else:
-            # A finishing chunk that says nothing is handed on as it came.
-            out.append(_row("passthrough", role, content=text, finish_reason=finish))
-    return out
+    """Output rows of one chunk, in order."""
+    text, role = chunk["content"], chunk["role"]
+    tokens = [st["held"]] if chunk["done"] and st["held"] else _TOKENS.findall(st["held"] + text) if text else []
+    if tokens or chunk["done"]:
+        still_open = not chunk["done"] and tokens[-1] in _PARTIAL
+        st["held"] = tokens.pop() if still_open else ""
+    rows = []
+    for kind, said in (told for stretch in _stretches(tokens) for told in _told(st, *stretch)):
+        is_call = kind == "tool_call"
+        rows.append({"kind": kind, "role": None if is_call else role, _FIELD_OF[kind]: said, "call_index": st["calls"] if is_call else None})
+        st["calls"] += is_call
+    finish = chunk["finish_reason"] or None
+    if not rows and not chunk["done"] and (text is None or finish):
+        # A chunk without text, or a finishing one that says nothing, is handed on as it came.
+        rows.append({"kind": "passthrough", "role": role, "content": text})
+    if finish and rows:
+        rows[-1]["finish_reason"] = "tool_calls" if st["calls"] and (text is not None or chunk["has_delta"]) else finish
+    return rows
 
 
 def _count(st: dict[str, Any], out: list[dict[str, Any]], chunk: dict[str, Any]) -> Iterator[dict[str, Any]]:
@@ -167,12 +158,17 @@ def _rewriter(timeout_ms: int | None):
             st["ended"] = st["ended"] or chunk["done"]
 
         if state.hasTimedOut:
-            if not st["ended"]:
-                for seq in sorted(waiting):
-                    take(waiting[seq])
-                take({"stream_id": key[0], "seq": st["next_seq"], "content": None, "finish_reason": None,
-                      "role": None, "has_delta": True, "done": True})
-            state.remove()
+            if st["ended"]:
+                state.remove()
+                return
+            for seq in sorted(waiting):
+                take(waiting[seq])
+            take({"stream_id": key[0], "seq": st["next_seq"], "content": None, "finish_reason": None,
+                  "role": None, "has_delta": True, "done": True})
+            # Its end stays known for one more timeout, so that a late chunk does not begin the stream anew.
+            st["ended"], st["waiting"] = True, "[]"
+            state.update(tuple(st[n] for n in _STATE_NAMES))
+            state.setTimeoutDuration(timeout_ms)
             yield _frame(rows)
             return
 
@@ -204,11 +200,16 @@ def rewrite_live(chunks: DataFrame, timeout_ms: int | None = 600_000) -> DataFra
     run over what is available now: a timeout would keep such a run going.
     """
     limit = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return (
+    told = (
         chunks.select(*INPUT)
         .groupBy("stream_id")
         .applyInPandasWithState(_rewriter(timeout_ms), OUTPUT, STATE, "append", limit)
     )
+    # Name and arguments of calls are read by the same expression as in the recorded replay.
+    call = call_record(F.col("call_body"))
+    named = [c for c in _OUTPUT_NAMES if c != "call_body"]
+    place = named.index("call_index") + 1
+    return told.select(*named[:place], call["name"].alias("call_name"), call["arguments"].alias("call_arguments"), *named[place:])
 
 
 def as_chunks(outputs: DataFrame, created: Column, model: Column) -> DataFrame:

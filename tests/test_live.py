@@ -62,7 +62,7 @@ def test_live_equals_brute_force_over_micro_batches(spark, tmp_path):
 
 
 def test_running_counters(spark, tmp_path):
-    rows = [("a", 0, "assistant", "Hi", None, True, False), ("a", 1, None, " there!", None, True, False),
+    rows = [("a", 0, "assistant", "Ho", None, True, False), ("a", 1, None, " there.", None, True, False),
             ("a", 2, None, "", "stop", True, False), ("a", 3, None, None, None, True, True)]
     out = run(spark, tmp_path, [rows[:2], rows[2:]]).orderBy("out_no").collect()
     assert [(r.completion_tokens, r.output_length) for r in out] == [(1, 2), (2, 9), (2, 9)]

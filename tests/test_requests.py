@@ -28,7 +28,7 @@ def test_requests_from_json(spark, tmp_path):
     path = tmp_path / "r.jsonl"
     path.write_text("\n".join(json.dumps(x) for x in lines) + '\n{"messages": [\n{"messages": []} x\n{"messages": [], "temperature": "hot"}\n')
     good, bad = read_requests(spark, str(path))
-    checked = R.validate_requests(good, full_messages=True).cache()
+    checked = R.validate_requests(good).cache()
     rows = {r.request_id: r for r in checked.collect()}
     assert bad.count() == 3 and len(rows) == 7
     plain = rows["plain"]
@@ -50,12 +50,32 @@ def test_requests_from_json(spark, tmp_path):
     assert (valid.count(), quarantine.count()) == (4, 3)
 
 
-def test_long_conversation_goes_on_in_parts(spark):
-    turns = spark.range(50).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"),
+def test_a_conversation_is_one_row_whatever_its_turns(spark):
+    turns = spark.range(50).select(F.lit(1).alias("conv_id"), (F.col("id") * 300).alias("turn"), F.lit("user").alias("role"),
                                    F.col("id").cast("string").alias("text"))
-    parts = R.conversation_requests(turns, per_row=8).orderBy("part").collect()
-    assert [p.part for p in parts] == list(range(7))
-    assert [m.content for p in parts for m in p.messages] == [str(i) for i in range(50)]
+    row = R.conversation_requests(turns).collect()
+    assert len(row) == 1 and [m.content for m in row[0].messages] == [str(i) for i in range(50)]
+
+
+def test_no_request_ends_the_job(spark, tmp_path):
+    lines = ['{"request_id": "a", "messages": [], "logit_bias": {"abc": 1}}', '{"request_id": "b", "messages": [], "logit_bias": {"5": 1, "05": 2}}',
+             '{"request_id": "c", "messages": [], "stop": {"x": 1}}', '{"request_id": "d", "messages": [], "stop": [1, true]}',
+             '{"request_id": "e", "messages": [], "stop": ["x", null]}', '{"request_id": "f", "messages": [], "logit_bias": {"7": 2}, "stop": []}',
+             '{"messages": []} }', '{"messages": []} {"a": 1}', '{"messages": [], "messages": []}']
+    (tmp_path / "r.jsonl").write_text("\n".join(lines))
+    good, bad = read_requests(spark, str(tmp_path / "r.jsonl"))
+    errors = {r.request_id: r.errors for r in R.validate_requests(good).collect()}
+    assert bad.count() == 3
+    assert errors == {"a": ["logit_bias_malformed"], "b": ["logit_bias_malformed"], "c": ["stop_malformed"], "d": ["stop_malformed"],
+                      "e": ["stop_malformed"], "f": []}
+
+
+def test_embedding_inputs_do_not_vanish(spark, tmp_path):
+    lines = ['{"input": "x"}', '{"input": []}', '{"input": 5}', '{"model": "m"}', '{"input": null}', '{"input": ["a", null]}', '{"input": [1, "a"]}', "{", '{"input": "x"} y']
+    (tmp_path / "e.jsonl").write_text("\n".join(lines))
+    good, bad = read_embedding_requests(spark, str(tmp_path / "e.jsonl"))
+    assert sorted(r.input for r in good.collect()) == [[], ["x"]]
+    assert sorted(r.errors[0] for r in bad.collect()) == ["input_malformed"] * 3 + ["input_missing"] * 2 + ["unreadable"] * 2
 
 
 def test_attributes(spark):

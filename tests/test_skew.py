@@ -38,7 +38,7 @@ def test_hot_key_running_sum(spark):
         assert got[i] == total
 
 
-def test_hot_conversation_splits(spark):
+def test_hot_conversation_is_one_request(spark):
     turns = spark.range(10_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("text"))
     parts = conversation_requests(turns).select(F.size("messages").alias("n")).collect()
-    assert sorted(r.n for r in parts) == [10_000 - 2 * 4096, 4096, 4096]
+    assert [r.n for r in parts] == [10_000]
