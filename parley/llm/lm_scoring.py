@@ -229,15 +229,20 @@ def score(docs: DataFrame, text: str, is_training: str) -> DataFrame:
             scorer = _SCORERS[id(sums)] = Scorer(parameters, sums)
         end_base = math.log10(known.texts + 0.5) - known.base_of_all
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
+            ends, words, times = [0], [], []
             for value in batch.column(batch.num_columns - 1).to_pylist():
                 classes, contexts, numbers, rare = known.read(words_of(value))
                 scored = scorer.log10(*before(contexts), classes) + float(known.inner[numbers].sum())
                 facts = (len(classes), len(numbers) + (known.texts > 0), float(known.base[numbers].sum()) + end_base, scored)
                 for column, fact in zip(out, facts):
                     column.append(fact)
-                out[4].append([{"word": w, "g": ending_of(w), "times": n} for w, n in rare.items()])
-            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.list_(word))]
+                ends.append(len(rare))
+                words += rare
+                times += rare.values()
+            fields = [pa.array(words, pa.binary()), pa.array(map(ending_of, words), pa.int32()), pa.array(times, pa.int32())]
+            rare_words = pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.StructArray.from_arrays(fields, fields=list(word)))
+            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), rare_words]
             names = [*batch.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "rare"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=names)
 

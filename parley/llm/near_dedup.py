@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,26 +36,32 @@ P = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Weights:
-    """Hash and inverse document frequency of words."""
+    """Hash and inverse document frequency of words; words seen before are known by a number."""
 
     def __init__(self, head: dict[bytes, float], tail: float, most_known: int = 600_000):
         self.head, self.tail, self.most_known = head, tail, most_known
-        self.known: dict[bytes, tuple[int, float]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.hashes, self.idf = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12)
+
+    def add(self, word: bytes) -> int:
+        n = self.number[word] = len(self.number)
+        if n >= len(self.hashes):
+            self.hashes, self.idf = np.concatenate([self.hashes, np.zeros(n, np.uint64)]), np.concatenate([self.idf, np.zeros(n)])
+        self.hashes[n], self.idf[n] = xxhash.xxh64_intdigest(word), self.head.get(word, self.tail)
+        return n
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        known = self.known
-        if len(known) > self.most_known:
-            known.clear()
-        out = []
-        for w in words:
-            hit = known.get(w)
-            if hit is None:
-                hit = known[w] = (xxhash.xxh64_intdigest(w), self.head.get(w, self.tail))
-            out.append(hit)
-        if not out:
-            return np.zeros(0, np.uint64), np.zeros(0)
-        hashes, idf = zip(*out)
-        return np.array(hashes, np.uint64), np.array(idf)
+        if len(self.number) > self.most_known:
+            self.clear()
+        number = self.number
+        at = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(at < 0).tolist():
+            known = number.get(words[i])
+            at[i] = self.add(words[i]) if known is None else known
+        return self.hashes[at], self.idf[at]
 
 
 def weighted_shingles(text: str | None, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
