@@ -1,10 +1,13 @@
 """Links between similar things: buckets, verified pairs, classes.
 
 An item is known by a 64-bit id. Items that share a bucket are candidates. A bucket
-is never expanded into all pairs. Every member is first compared with three
-representatives of its bucket; linked items form classes. What is left is exact:
-members outside their bucket's largest class are compared with the members of
-other classes, so that no pair of different classes in one bucket stays unseen.
+is never expanded into all pairs. Every member is first compared with two
+representatives of its bucket, one of them the member that shares most buckets
+with others; linked items form classes. What is left is exact: members outside
+their bucket's largest class are compared with the members of other classes, so
+that no pair of different classes in one bucket stays unseen. Distances (1 less
+the Jaccard similarity, weighted or not) keep the triangle inequality: pairs whose
+distances to the representative differ by more than a link may have are left out.
 """
 
 from __future__ import annotations
@@ -63,52 +66,70 @@ def classes(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
 
 
-Verify = Callable[[list, list, list, list], list[bool]]
+#: (ids a, texts a, ids b, texts b) -> similarity of each pair
+Compare = Callable[[list, list, list, list], list[float]]
 
 
-def verified(pairs: DataFrame, payload: DataFrame, verify: Verify) -> DataFrame:
-    """The pairs (a, b) for which ``verify(ids a, texts a, ids b, texts b)`` holds. ``payload``: (id, text), one row for each id."""
+def compared(pairs: DataFrame, payload: DataFrame, compare: Compare) -> DataFrame:
+    """The pairs (a, b) with their ``similarity``. ``payload``: (id, text), one row for each id. Pairs of one b come one after the other."""
     left = payload.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = payload.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     met = pairs.join(left, "a").join(right, "b").select("a", "text_a", "b", "text_b")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, ta, b, tb = (batch.column(i).to_pylist() for i in range(4))
-            ok = verify(a, ta, b, tb)
-            yield pa.RecordBatch.from_pydict(
-                {"a": pa.array([x for x, o in zip(a, ok) if o], pa.int64()), "b": pa.array([x for x, o in zip(b, ok) if o], pa.int64())}
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(compare(a, ta, b, tb), pa.float64())], names=["a", "b", "similarity"]
             )
 
-    return met.mapInArrow(check, "a long, b long")
+    return met.mapInArrow(run, "a long, b long, similarity double")
 
 
-def find_links(members: DataFrame, texts: Callable[[DataFrame], DataFrame], verify: Verify) -> DataFrame:
-    """Links (a, b), a > b, between items that share a bucket and pass ``verify``.
+def cached(of: Callable, most: int = 1000) -> Callable:
+    """``of(text)`` remembered by id; for use inside a task."""
+    ready: dict = {}
+
+    def get(i: int, text: str):
+        if i not in ready:
+            if len(ready) >= most:
+                ready.clear()
+            ready[i] = of(text)
+        return ready[i]
+
+    return get
+
+
+def find_links(members: DataFrame, texts: Callable[[DataFrame], DataFrame], compare: Compare, least: float) -> DataFrame:
+    """Links (a, b) between items that share a bucket and are at least ``least`` similar.
 
     ``members``: (bucket, id), distinct and cheap to read twice. ``texts(ids)`` gives (id, text) of the ids asked for.
     """
-    turn = F.xxhash64("id", F.lit(7))
-    heads = members.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("id").alias("r0"), F.max("id").alias("r1"), F.min_by("id", turn).alias("r2")
-    ).filter("n > 1")
+    heads = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = checkpointed(members.join(heads, "bucket"))
-    needed = shared.select("id").distinct()
-    payload = settle(texts(checkpointed(needed)))
-    star = shared.select("id", F.explode(F.array("r0", "r1", "r2")).alias("rep")).filter("id <> rep")
-    star = star.select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
-    first = checkpointed(verified(star, payload, verify))
+    known = checkpointed(shared.groupBy("id").agg(F.sum("n").alias("met")))
+    payload = settle(texts(known.select("id")))
+    reps = shared.join(known, "id").groupBy("bucket").agg(
+        F.max_by("id", F.struct("met", "id")).alias("centre"), F.min_by("id", F.xxhash64("id", F.lit(7))).alias("other")
+    )
+    shared = checkpointed(shared.select("bucket", "id").join(reps, "bucket"))
+    star = shared.select(F.col("id").alias("a"), F.explode(F.array("centre", "other")).alias("b")).filter("a <> b").distinct()
+    star = checkpointed(compared(star, payload, compare))
+    first = star.filter(F.col("similarity") >= least).select("a", "b")
 
     labels = classes(first)
-    held = shared.select("bucket", "id").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    held = checkpointed(held)
+    held = shared.select("bucket", "id", "centre").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = held.groupBy("bucket", "root").count()
     main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-    mixed = held.join(main, "bucket")
-    loose = mixed.filter(F.col("root") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("root").alias("xr"))
-    others = mixed.select("bucket", F.col("id").alias("y"), F.col("root").alias("yr"), "main")
-    # A pair of two loose members is met from both sides and kept once.
-    rest = loose.join(others, "bucket").filter((F.col("xr") != F.col("yr")) & ((F.col("yr") == F.col("main")) | (F.col("x") > F.col("y"))))
-    rest = rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    rest = checkpointed(rest.join(star, ["a", "b"], "left_anti"))
-    return first.unionByName(checkpointed(verified(rest, payload, verify)))
+    near = star.select(F.col("a").alias("id"), F.col("b").alias("centre"), "similarity")
+    mixed = held.join(main.drop("kinds"), "bucket").join(near, ["id", "centre"], "left")
+    mixed = checkpointed(mixed.withColumn("similarity", F.coalesce("similarity", F.lit(1.0))))  # else it is the centre itself
+    loose = mixed.filter(F.col("root") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("root").alias("xr"), F.col("similarity").alias("xs"))
+    others = mixed.select("bucket", F.col("id").alias("y"), F.col("root").alias("yr"), F.col("similarity").alias("ys"), "main")
+    # A pair of two loose members is met from both sides and kept once; the centre has been compared with all.
+    once = (F.col("yr") == F.col("main")) | (F.col("x") > F.col("y"))
+    reach = F.abs(F.col("xs") - F.col("ys")) <= 1 - least + 1e-9
+    uncompared = (F.col("xs") < 1) & (F.col("ys") < 1)
+    rest = loose.join(others, "bucket").filter((F.col("xr") != F.col("yr")) & once & reach & uncompared)
+    rest = checkpointed(rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    return first.unionByName(checkpointed(compared(rest, payload, compare).filter(F.col("similarity") >= least).select("a", "b")))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import checkpointed, settle
-from parley.llm.linking import classes, find_links, sieve, sifted
+from parley.llm.linking import cached, classes, find_links, sieve, sifted
 from parley.llm.vocabulary import most_frequent, word_counts, words_of
 
 HEAD, SHINGLE, ROWS, BANDS, MIN_SIMILARITY = 65_536, 5, 3, 11, 0.8
@@ -164,19 +164,11 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
         rows = docs.select(text_id.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
         return sifted(rows, sieve(ids)).join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
 
-    def verify(a: list, text_a: list, b: list, text_b: list) -> list[bool]:
-        ready: dict = {}
+    def compare(a: list, text_a: list, b: list, text_b: list) -> list[float]:
+        of = cached(lambda text: weighted_shingles(text, weights), 256)
+        return [similarity(of(i, x), of(j, y)) for i, x, j, y in zip(a, text_a, b, text_b)]
 
-        def of(i: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-            if i not in ready:
-                if len(ready) > 256:
-                    ready.clear()
-                ready[i] = weighted_shingles(text, weights)
-            return ready[i]
-
-        return [similarity(of(i, x), of(j, y)) >= min_similarity for i, x, j, y in zip(a, text_a, b, text_b)]
-
-    roots = classes(find_links(members, texts_of, verify))
+    roots = classes(find_links(members, texts_of, compare, min_similarity))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_id.alias("text_id"))
     known = docs.select("doc_id", text_id.alias("id")).groupBy("id").agg(F.min("doc_id").alias("first_id"))
     known = checkpointed(known.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
