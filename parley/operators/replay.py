@@ -17,13 +17,20 @@ Only the first grouping and the pieces of calls move text.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.constants import CALL_CLOSE, CALL_OPEN, THINK_OPEN
+from parley.constants import CALL_CLOSE, CALL_OPEN, TAGS, THINK_OPEN
 from parley.functions.ids import stable_id
 from parley.functions.tags import (
     PARTIAL_TAGS,
+    SCAN,
     call_record,
     held_back,
     is_tag,
@@ -370,6 +377,109 @@ def finish_reasons(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
     )
 
 
+def _spoken(located: DataFrame) -> DataFrame:
+    """(stream_id, seq, block, at, kind, text): spoken text by the chunk that holds the last character of each token.
+
+    A new row starts at each ``<`` token and at each chunk end. ``at`` is the place
+    in the block; ``seq`` is null for a started tag that the stream ends on.
+    """
+    scan, partial = re.compile(SCAN.replace("\\z", "\\Z")), frozenset(PARTIAL_TAGS)
+    tags, call_open, think_open = frozenset(TAGS), CALL_OPEN, THINK_OPEN
+
+    def rows_of(pieces: list, text: str, carry: str, is_last: bool, opened: str | None, skip: bool) -> Iterator[tuple]:
+        ends = list(accumulate(len(p["content"]) for p in pieces))
+        tokens = scan.findall(carry + text)
+        held = tokens.pop() if tokens and tokens[-1] in partial else ""
+        place = -len(carry)
+        row: tuple | None = None
+        for token in [*tokens, *([held] if held and is_last else [])]:
+            start, place = place, place + len(token)
+            opens = token[0] == "<"
+            if opens and row:
+                yield row
+                row = None
+            if token in tags:
+                opened, skip = token, True
+                continue
+            while start < place:
+                k = bisect_left(ends, place if opens else start + 1)
+                stop = place if opens else min(place, ends[k])
+                part = token[len(token) - (place - start) : len(token) - (place - stop)]
+                at, start = start, stop
+                part = part.lstrip() if skip else part
+                if part and opened != call_open:
+                    seq = None if place == len(text) and held and token is held else pieces[k]["seq"]
+                    kind = "reasoning" if opened == think_open else "content"
+                    if row and row[0] == seq:
+                        row = (*row[:3], row[3] + part)
+                    else:
+                        if row:
+                            yield row
+                        row = (seq, at, kind, part)
+                skip = skip and not part
+        if row:
+            yield row
+
+    def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stream, block, *rest = (c.to_pylist() for c in batch.columns)
+            made = [(s, b, *row) for s, b, *block_of_text in zip(stream, block, *rest) for row in rows_of(*block_of_text)]
+            columns = list(zip(*made)) or [[]] * 6
+            kinds = (batch.schema.types[0], pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            names = ["stream_id", "block", "seq", "at", "kind", "text"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    blocks = located.select(*STREAM_BLOCK, "pieces", "text", "carry", "is_last", "entry_tag", "skip_space")
+    kind = located.schema["stream_id"].dataType.simpleString()
+    return blocks.mapInArrow(speak, f"stream_id {kind}, block long, seq long, at long, kind string, text string")
+
+
+def output_chunks(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """What each chunk of a recorded stream turns into: 0 to n rows (stream_id, seq, part, kind, text, role,
+    finish_reason, call_index, name, arguments), the same as the live rewriting gives.
+
+    ``chunks``: stream_id, seq, role, content, finish_reason. Blocks only deal out the
+    work; the rows do not depend on their size. A chunk without content, and a
+    finishing one that says nothing, is handed on (kind ``passthrough``). What a
+    stream still holds at its end comes behind its last chunk.
+    """
+    located = _located_blocks(chunks, block_rows)
+    calls = _calls(located, block_rows)
+    in_chunk = calls.join(text_blocks(chunks, block_rows).select(*STREAM_BLOCK, "pieces"), STREAM_BLOCK)
+    kind = F.when(F.col("ok"), F.lit("tool_call")).when(F.col("is_json"), F.lit("error")).otherwise(F.lit("content"))
+    called = in_chunk.select(
+        "stream_id", "block", _seq_at(F.col("pieces"), F.col("offset")).alias("seq"), F.col("offset").cast("long").alias("at"),
+        kind.alias("kind"), F.when(~F.col("ok"), F.col("body")).alias("text"),
+        F.when(F.col("ok"), F.col("valid") - 1).alias("call_index"), "name", "arguments",
+    ).where("kind = 'tool_call' or length(text) > 0")
+    said = _spoken(located).unionByName(called, allowMissingColumns=True)
+    has_delta = F.coalesce("has_delta", F.lit(True)) if "has_delta" in chunks.columns else F.lit(True)
+    given = (
+        chunks.where(F.col("stream_id").isNotNull() & F.col("seq").isNotNull())
+        .select("stream_id", "seq", "role", "content", F.nullif("finish_reason", F.lit("")).alias("finish_reason"), has_delta.alias("has_delta"))
+        .groupBy("stream_id", "seq")
+        .agg(F.min(F.struct("content", "role", "finish_reason", "has_delta")).alias("c"))
+        .select("stream_id", "seq", "c.*")
+    )
+    first_call = called.where("kind = 'tool_call'").groupBy("stream_id").agg(F.min("seq").alias("first_call_seq"))
+    rows = given.join(said.where("seq is not null"), ["stream_id", "seq"], "left").join(first_call, "stream_id", "left")
+    rows = rows.where("kind is not null or content is null or finish_reason is not null")
+    of_chunk = Window.partitionBy("stream_id", "seq")
+    after_call = (F.col("first_call_seq") <= F.col("seq")) & (F.col("has_delta") | F.col("content").isNotNull())
+    reason = F.when(F.col("finish_reason").isNotNull() & after_call, F.lit("tool_calls")).otherwise(F.col("finish_reason"))
+    rows = rows.withColumn("part", F.row_number().over(of_chunk.orderBy("block", "at")) - 1).withColumn(
+        "finish_reason", F.when(F.col("part") == F.count("*").over(of_chunk) - 1, reason)
+    )
+    last = given.groupBy("stream_id").agg(F.max("seq").alias("last_seq"))
+    flushed = said.where("seq is null").join(last, "stream_id").select("stream_id", (F.col("last_seq") + 1).alias("seq"), F.lit(0).alias("part"), "kind", "text")
+    told = rows.select(
+        "stream_id", "seq", "part", F.coalesce("kind", F.lit("passthrough")).alias("kind"),
+        F.when(F.col("kind").isNull(), F.col("content")).otherwise(F.col("text")).alias("text"),
+        F.when(~F.col("kind").eqNullSafe("tool_call"), F.col("role")).alias("role"), "finish_reason", "call_index", "name", "arguments",
+    )
+    return told.unionByName(flushed, allowMissingColumns=True)
+
+
 def passthrough_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks that say nothing themselves: no content at all, or empty content that finishes."""
     return chunks.where(

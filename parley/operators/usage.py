@@ -13,8 +13,14 @@ def _said() -> Column:
     return F.length(F.coalesce(F.col("content"), F.lit("")))
 
 
+def as_spoken(outputs: DataFrame) -> DataFrame:
+    """Output chunks (``replay.output_chunks``) as rows with content and reasoning_content, for the functions below."""
+    content = F.when(F.col("kind").isin("content", "error", "passthrough"), F.col("text"))
+    return outputs.withColumns({"content": content, "reasoning_content": F.when(F.col("kind") == "reasoning", F.col("text"))})
+
+
 def stream_usage(chunks: DataFrame, prompt_tokens: DataFrame | None = None) -> DataFrame:
-    """Per stream: only chunks with content count, one token each.
+    """Per stream: only output chunks with content count, one token each.
 
     ``prompt_tokens`` (stream_id, prompt_tokens) adds the estimate of the request.
     """
@@ -38,17 +44,10 @@ def stream_usage(chunks: DataFrame, prompt_tokens: DataFrame | None = None) -> D
 
 
 def running_usage(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The counters as they stand after each chunk."""
-    return running_sums(
-        chunks,
-        ["stream_id"],
-        "seq",
-        {
-            "completion_tokens": (_said() > 0).cast("long"),
-            "output_content_length": _said().cast("long"),
-        },
-        block_rows,
-    )
+    """The counters as they stand when all output of each chunk is out."""
+    each = chunks.groupBy("stream_id", "seq").agg(F.count_if(_said() > 0).alias("_tokens"), F.sum(_said()).cast("long").alias("_chars"))
+    sums = {"completion_tokens": F.col("_tokens"), "output_content_length": F.col("_chars")}
+    return running_sums(each, ["stream_id"], "seq", sums, block_rows)
 
 
 def wire_size(record: Column) -> Column:

@@ -66,6 +66,43 @@ _TOTALS = """SELECT stream_id, coalesce(sum(length(text)) FILTER (kind = 'conten
  count(*) FILTER (kind = 'tool_call') AS tool_calls, count(*) FILTER (kind = 'error') AS bad_calls
  FROM replayed GROUP BY stream_id"""
 
+#: Output rows of each chunk: characters by the chunk they stand in (pieces of seven), a token that begins with '<' by its last character.
+OUTPUT_SQL = f"""{REPLAY_SQL}, sized AS (SELECT stream_id, max(seq) AS last_seq FROM chunks GROUP BY stream_id),
+units AS (
+ SELECT stream_id, i, segment, tok, chars - length(tok) AS start, chars AS stop, starts_with(tok, '<') AS opens,
+  i = max(i) OVER (PARTITION BY stream_id) AND (starts_with('<think>', tok) OR starts_with('</think>', tok) OR starts_with('<tool_call>', tok)
+   OR starts_with('</tool_call>', tok)) AS held FROM placed WHERE NOT is_tag),
+letters AS (
+ SELECT *, CASE WHEN opens THEN tok ELSE substr(tok, (pos - start)::BIGINT, 1) END AS ch FROM (
+  SELECT *, unnest(CASE WHEN opens THEN [stop] ELSE range((start + 1)::BIGINT, (stop + 1)::BIGINT) END) AS pos FROM units)),
+seen AS (
+ SELECT l.*, s.tag, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY l.stream_id, l.segment ORDER BY pos) AS row_no,
+  l.segment = 0 OR bool_or(length(trim(ch, '{WS}')) > 0) OVER (PARTITION BY l.stream_id, l.segment ORDER BY pos) AS shown,
+  CASE WHEN held THEN z.last_seq + 1 ELSE (pos - 1) // 7 + 1 END AS seq
+ FROM letters l JOIN segs s ON s.stream_id = l.stream_id AND s.segment = l.segment JOIN sized z ON z.stream_id = l.stream_id),
+out_rows AS (
+ SELECT stream_id, seq::BIGINT AS seq, min(pos) AS pos, CASE WHEN any_value(tag) = '<think>' THEN 'reasoning' ELSE 'content' END AS kind,
+  string_agg(ch, '' ORDER BY pos) AS text, NULL::BIGINT AS call_index, NULL AS name, NULL AS arguments
+ FROM seen WHERE shown AND coalesce(tag, '') <> '<tool_call>' GROUP BY stream_id, seq, segment, row_no
+ UNION ALL SELECT stream_id, (end_chars - 1) // 7 + 1, end_chars, CASE WHEN ok THEN 'tool_call' WHEN is_json THEN 'error' ELSE 'content' END,
+  CASE WHEN NOT ok THEN body END, CASE WHEN ok THEN call_index END, name, arguments FROM calls WHERE ok OR length(body) > 0
+ UNION ALL SELECT stream_id, seq, 0, 'passthrough', NULL, NULL, NULL, NULL FROM chunks WHERE content IS NULL),
+outputs AS (
+ SELECT o.stream_id, o.seq, (row_number() OVER (PARTITION BY o.stream_id, o.seq ORDER BY pos) - 1)::INTEGER AS part, kind, text,
+  CASE WHEN kind <> 'tool_call' THEN c.role END AS role,
+  CASE WHEN c.finish_reason IS NOT NULL THEN CASE WHEN o.stream_id IN (SELECT stream_id FROM calls WHERE ok) THEN 'tool_calls' ELSE 'stop' END END AS finish_reason,
+  o.call_index::BIGINT AS call_index, o.name, o.arguments, CASE WHEN kind IN ('content', 'error') THEN text END AS content
+ FROM out_rows o LEFT JOIN chunks c ON c.stream_id = o.stream_id AND c.seq = o.seq)"""
+
+
+@query("replay_output_chunks", f"WITH {OUTPUT_SQL} SELECT * EXCLUDE (content) FROM outputs")
+def replay_output_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.output_chunks(chunk_streams(spark, sf_dir))
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.as_spoken(replay.output_chunks(chunk_streams(spark, sf_dir)))
+
 
 @query(
     "stream_replay",
@@ -164,11 +201,11 @@ def stream_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_usage",
-    f"""WITH {CHUNKS_SQL} SELECT stream_id, count(*) FILTER (length(content) > 0) AS completion_tokens,
+    f"""WITH {OUTPUT_SQL} SELECT stream_id, count(*) FILTER (length(content) > 0) AS completion_tokens,
      sum(length(coalesce(content, '')))::BIGINT AS output_content_length, count(*) FILTER (length(content) > 0) AS chunk_count,
-     0::BIGINT AS reasoning_chunks, count(*) AS chunk_events,
+     count(*) FILTER (kind = 'reasoning') AS reasoning_chunks, count(*) AS chunk_events,
      any_value(p.prompt_tokens) AS prompt_tokens, any_value(p.prompt_tokens) + count(*) FILTER (length(content) > 0) AS total_tokens
-     FROM chunks JOIN (SELECT conv_id, greatest(1, CAST(floor(sum(length(text)) / 4.0) AS BIGINT)) AS prompt_tokens FROM conversations GROUP BY conv_id) p
+     FROM outputs JOIN (SELECT conv_id, greatest(1, CAST(floor(sum(length(text)) / 4.0) AS BIGINT)) AS prompt_tokens FROM conversations GROUP BY conv_id) p
      ON p.conv_id = CAST(string_split(stream_id, '-')[1] AS BIGINT) GROUP BY stream_id""",
 )
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,29 +214,30 @@ def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.expr("concat(conv_id, '-', turn)").alias("stream_id")
     )
     estimates = turns.join(prompts, "conv_id").select("stream_id", "prompt_tokens")
-    return usage.stream_usage(chunk_streams(spark, sf_dir), estimates)
+    return usage.stream_usage(_spoken(spark, sf_dir), estimates)
 
 
 @query(
     "running_usage",
-    f"""WITH {CHUNKS_SQL} SELECT stream_id, seq,
-     sum(CASE WHEN length(content) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY seq)::BIGINT AS completion_tokens,
-     sum(length(coalesce(content, ''))) OVER (PARTITION BY stream_id ORDER BY seq)::BIGINT AS output_content_length FROM chunks""",
+    f"""WITH {OUTPUT_SQL}, each AS (SELECT stream_id, seq, count(*) FILTER (length(content) > 0) AS n, sum(length(coalesce(content, ''))) AS c
+      FROM outputs GROUP BY stream_id, seq)
+     SELECT stream_id, seq, sum(n) OVER (PARTITION BY stream_id ORDER BY seq)::BIGINT AS completion_tokens,
+     sum(c) OVER (PARTITION BY stream_id ORDER BY seq)::BIGINT AS output_content_length FROM each""",
 )
 def running_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.running_usage(chunk_streams(spark, sf_dir)).select(
+    return usage.running_usage(_spoken(spark, sf_dir)).select(
         "stream_id", "seq", "completion_tokens", "output_content_length"
     )
 
 
 @query(
     "chunk_event_rows",
-    f"""WITH {CHUNKS_SQL} SELECT stream_id AS span_id, seq, 'slm.chunk_generated' AS name, seq * 20000000 AS ts_ns,
-     length(coalesce(content, '')) + 90 AS chunk_size, length(coalesce(content, '')) AS chunk_content_size, finish_reason FROM chunks""",
+    f"""WITH {OUTPUT_SQL} SELECT stream_id AS span_id, seq, 'slm.chunk_generated' AS name, seq * 20000000 AS ts_ns,
+     length(coalesce(content, '')) + 90 AS chunk_size, length(coalesce(content, '')) AS chunk_content_size, finish_reason FROM outputs""",
 )
 def chunk_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = (F.length(F.coalesce("content", F.lit(""))) + 90).cast("long")
-    return usage.chunk_events(chunk_streams(spark, sf_dir), F.col("stream_id"), F.col("seq") * 20_000_000, size)
+    return usage.chunk_events(_spoken(spark, sf_dir), F.col("stream_id"), F.col("seq") * 20_000_000, size)
 
 
 @query(

@@ -5,6 +5,7 @@ from brute import rewrite
 from pyspark.sql import functions as F
 from test_replay import soup
 
+from parley.operators.replay import output_chunks
 from parley.streaming.rewrite import as_chunks, rewrite_live
 
 SCHEMA = "stream_id string, seq long, role string, content string, finish_reason string, has_delta boolean, done boolean"
@@ -49,8 +50,16 @@ def test_live_equals_brute_force_over_micro_batches(spark, tmp_path):
     for r in sorted(out.collect(), key=lambda r: (r.stream_id, r.out_no)):
         text = r.call_name if r.kind == "tool_call" else r.content if r.content is not None else r.reasoning_content
         got.setdefault(r.stream_id, []).append((r.seq, r.kind, text, r.role, r.finish_reason))
+    recorded = spark.createDataFrame([r for r in rows if not r[6]], SCHEMA)
+    replayed = {}
+    for size in (1, 7, 4096):
+        for r in sorted(output_chunks(recorded, size).collect(), key=lambda r: (r.stream_id, r.seq, r.part)):
+            replayed.setdefault((size, r.stream_id), []).append((r.seq, r.kind, r.name if r.kind == "tool_call" else r.text, r.role, r.finish_reason))
     for key, chunks in streams.items():
-        assert got.get(key, []) == rewrite(chunks), (key, chunks)
+        want = rewrite(chunks)
+        assert got.get(key, []) == want, (key, chunks)
+        for size in (1, 7, 4096):
+            assert replayed.get((size, key), []) == want, (size, key, chunks)
     nested = as_chunks(out, F.lit(0), F.lit("m"))
     assert nested.select("stream_id").distinct().count() == nested.select("id").distinct().count()
     calls = out.where("kind = 'tool_call'").select("stream_id", "call_index").collect()
