@@ -131,7 +131,7 @@ def bands_of(samples: np.ndarray) -> np.ndarray:
 
 def learn_weights(texts: DataFrame) -> Weights:
     """Document frequencies over all rows; ``HEAD`` of them come back, the rest share one."""
-    counts = word_counts(texts, once_per_text=True)
+    counts = settle(word_counts(texts, once_per_text=True))
     head = most_frequent(counts, HEAD)
     rows = texts.count()
     idf = {w: math.log(1 + rows / n) for w, n in head}

@@ -40,5 +40,19 @@ def word_counts(texts: DataFrame, once_per_text: bool = False) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
-    """The ``size`` words of the highest count, ties by code; a bounded table whatever the corpus."""
-    return [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    """The most frequent words by falling count, ties by code: as many whole steps of counts as make at most ``size`` words.
+
+    A step is a sixteenth of a doubling, so few rows tell where to stop, and no
+    task sends more than its share of the result.
+    """
+    stepped = counts.withColumn("step", F.floor(F.log2("n") * 16))
+    total, least = 0, None
+    for row in sorted(stepped.groupBy("step").count().collect(), key=lambda r: -r["step"]):  # at most 16 * 63 rows
+        total += row["count"]
+        if total > size:
+            break
+        least = row["step"]
+    if least is None:
+        return []
+    found = [(bytes(r["word"]), r["n"]) for r in stepped.filter(F.col("step") >= least).collect()]
+    return sorted(found, key=lambda x: (-x[1], x[0]))
