@@ -17,8 +17,6 @@ may be cut anywhere; every id lies in exactly one piece.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,35 +24,55 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import parts_for
 from parley.llm.near_dedup import learn_weights
-from parley.llm.tokens import default_path, tokens_at
+from parley.llm.tokens import MOST_PIECES, Tokens, as_text, default_path, tokens_at
 from parley.llm.vocabulary import words_of
 
 WINDOW, END, SHARD_BYTES = 2048, 1, 8_000_000
 K1, B, QUERY_WORDS = 1.2, 0.75, 8
 
 
+class Words:
+    """Numbers of the words of a shard. Pieces of tokens stand for their words, so a text need not be cut twice."""
+
+    def __init__(self, head: dict[bytes, float], tail: float):
+        self.head, self.tail, self.number = head, tail, {}
+
+    def of_text(self, text: str) -> list[int]:
+        return [self.number.setdefault(w, len(self.number)) for w in words_of(text)]
+
+    def of_pieces(self, texts: list[list[int] | np.ndarray], tokens: Tokens) -> list[np.ndarray]:
+        arrays = [t for t in texts if isinstance(t, np.ndarray)]
+        seen = np.unique(np.concatenate([np.zeros(0, np.int64), *arrays]))
+        wanted, table = set(seen.tolist()), np.zeros(len(tokens.number) + 1, np.int64)
+        for piece, n in tokens.number.items():
+            if n in wanted:
+                table[n] = self.number.setdefault(as_text(piece).strip().lower().encode("utf-8", "surrogatepass"), len(self.number))
+        blank = self.number.get(b"", -1)
+        made = [table[t] if isinstance(t, np.ndarray) else np.array(t, np.int64) for t in texts]
+        return [t[t != blank] for t in made]
+
+    def idf(self) -> np.ndarray:
+        return np.fromiter((self.head.get(w, self.tail) for w in self.number), np.float64, len(self.number))
+
+
 class Index:
     """An inverted index of one shard."""
 
-    def __init__(self, texts: list[list[bytes]], head: dict[bytes, float], tail: float, mean_length: float):
-        number: dict[bytes, int] = {}
-        documents, words, times = [], [], []
-        for i, text in enumerate(texts):
-            counts = Counter(text)
-            documents.append(np.full(len(counts), i, np.int32))
-            words.append(np.fromiter((number.setdefault(w, len(number)) for w in counts), np.int64, len(counts)))
-            times.append(np.fromiter(counts.values(), np.float32, len(counts)))
-        self.starts = np.concatenate([[0], np.cumsum([len(d) for d in documents])])
-        document, word, tf = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (documents, words, times))
-        idf = np.fromiter((head.get(w, tail) for w in number), np.float32, len(number))
-        length = np.fromiter(map(len, texts), np.float32, len(texts))
+    def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean_length: float):
+        """``texts``: the numbers of the words of each document; ``idf``: by number."""
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        n_words = max(1, len(idf))
+        pairs = np.repeat(np.arange(len(texts)), length) * n_words + np.concatenate([np.zeros(0, np.int64), *texts])
+        pairs, tf = np.unique(pairs, return_counts=True)
+        document, word = pairs // n_words, pairs % n_words
+        self.starts = np.searchsorted(document, np.arange(len(texts) + 1))
         norm = K1 * (1 - B + B * length / max(1.0, mean_length))
-        self.weight = idf[word] * tf * (K1 + 1) / (tf + norm[document]) if len(word) else np.zeros(0, np.float32)
+        self.weight = (idf[word] * tf * (K1 + 1) / (tf + norm[document])).astype(np.float32) if len(word) else np.zeros(0, np.float32)
         self.word = word
         order = np.argsort(word, kind="stable")
         self.posting, self.posting_weight = document[order], self.weight[order]
-        self.ends = np.cumsum(np.bincount(word, minlength=len(number)))
-        self.begins = self.ends - np.bincount(word, minlength=len(number))
+        self.ends = np.cumsum(np.bincount(word, minlength=n_words))
+        self.begins = self.ends - np.bincount(word, minlength=n_words)
         self.n = len(texts)
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
@@ -130,9 +148,16 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, shard_b
         shard = table.column("shard")[0].as_py() if table.num_rows else 0
         texts = [t or "" for t in table.column("text").to_pylist()]
         ids = []
-        for i in range(0, len(texts), 64):
-            ids += [np.append(x, np.uint32(END)) for x in tokens.of(texts[i : i + 64])]
-        index = Index([words_of(t) for t in texts], *known.value)
+        if len(tokens.number) > MOST_PIECES:
+            tokens.clear()
+        words = Words(*known.value[:2])
+        numbers = []
+        for i in range(0, len(texts), 256):
+            for text, (own, pieces) in zip(texts[i : i + 256], tokens.of(texts[i : i + 256])):
+                ids.append(np.append(own, np.uint32(END)))
+                numbers.append(words.of_text(text) if pieces is None else pieces)
+        numbers = words.of_pieces(numbers, tokens)
+        index = Index(numbers, words.idf(), known.value[2])
         order = arrange(list(map(len, ids)), index, window)
         del index
         pieces = sequences([len(ids[d]) for d in order], window)

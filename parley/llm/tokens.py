@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
 #: White space that the rule may join across pieces: three in a row, or two at the end.
 JOINED = re.compile(r"\s\s(?:\s|\Z)")
 NEWLINE = "\x01"
-MOST_PIECES = 400_000
+MOST_PIECES = 500_000
 
 
 def default_path() -> str:
@@ -38,58 +39,59 @@ class Tokens:
         self.ids, self.ends, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
 
     def add(self, pieces: list[str], texts: list[str]) -> None:
-        """Remember the ids of pieces, each tokenized as the text given for it."""
-        done = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, done), np.int64, len(done))
-        first = len(self.number)
-        need, total = first + len(done), self.size + int(lengths.sum())
+        """Remember the ids of new pieces, each tokenized as the text given for it, all in one call."""
+        made = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        lengths = np.bincount(np.array(made.word_ids, np.int64), minlength=len(texts)) if made.ids else np.zeros(len(texts), np.int64)
+        first, need, total = len(self.number), len(self.number) + len(texts), self.size + len(made.ids)
         if need > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros(max(need, len(self.ends)), np.int64)])
         if total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
         self.ends[first:need] = self.size + np.cumsum(lengths)
-        self.ids[self.size : total] = np.fromiter((i for d in done for i in d), np.uint32, total - self.size)
+        self.ids[self.size : total] = made.ids
         self.size = total
         self.number.update(zip(pieces, range(first, need)))
 
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        if len(self.number) > MOST_PIECES:
-            self.clear()
-        cut, new = [], {}
-        for text in texts:
-            if not text or NEWLINE in text or JOINED.search(text):
-                cut.append(None)
-                continue
-            first, *pieces = text.replace("\n", " " + NEWLINE).split(" ")
-            cut.append((first, pieces))
-            if first and "\0" + first not in self.number:
-                new["\0" + first] = first
-            for p in set(pieces):
-                if p not in self.number:
-                    new[p] = "\n" + p[1:] if p.startswith(NEWLINE) else " " + p
-        if new:
-            self.add(list(new), list(new.values()))
-        out = []
-        for text, parts in zip(texts, cut):
-            if parts is None:
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        """The number of each piece; new ones are tokenized."""
+        at = np.fromiter(map(self.number.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            pieces = list(dict.fromkeys(keys[i] for i in new.tolist()))
+            self.add(pieces, list(map(as_text, pieces)))
+            at[new] = [self.number[keys[i]] for i in new.tolist()]
+        return at
+
+    def of(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        """Ids of each text, and the numbers of its pieces (None for a text that was tokenized as a whole)."""
+        out: list = [None] * len(texts)
+        keys, sizes, cut = [], [], []
+        for i, text in enumerate(texts):
+            if not text or NEWLINE in text or "\0" in text or JOINED.search(text):
                 whole = self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
-                out.append(np.array(whole, np.uint32))
+                out[i] = np.array(whole, np.uint32), None
                 continue
-            first, pieces = parts
-            number = self.number
-            at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-            if first:
-                at = np.concatenate([[number["\0" + first]], at])
-            stop = self.ends[at]
-            start = np.where(at > 0, self.ends[at - 1], 0)
+            pieces = text.replace("\n", " " + NEWLINE).split(" ")
+            pieces[0] = "\0" + pieces[0]  # nothing stands before the first piece
+            keys += pieces if len(pieces[0]) > 1 else pieces[1:]
+            cut.append(i)
+            sizes.append(len(keys))
+        at = self.numbers(keys)
+        for i, a, b in zip(cut, [0, *sizes], sizes):
+            own = at[a:b]
+            stop = self.ends[own]
+            start = np.where(own > 0, self.ends[own - 1], 0)
             lengths = stop - start
-            total = int(lengths.sum())
             shift = np.repeat(start - (np.cumsum(lengths) - lengths), lengths)
-            out.append(self.ids[np.arange(total) + shift])
+            out[i] = self.ids[np.arange(int(lengths.sum())) + shift], own
         return out
 
 
+def as_text(piece: str) -> str:
+    """What a piece stands for: the first of a text is marked by a zero byte, one after a newline by its mark, any other follows a space."""
+    return piece[1:] if piece.startswith("\0") else "\n" + piece[1:] if piece.startswith(NEWLINE) else " " + piece
+
+
 _READY: dict[str, Tokens] = {}
 
 

@@ -15,7 +15,7 @@ def test_tokens_are_those_of_the_tokenizer():
            "l'eau d'été it's don't", "a b   c", "12 34abc!? *** ###", "é" * 50, "<|endoftext|> x", "ab\r\ncd", "a \n\n b", " x", "ends with space "]
     odd += [text(rng, g) for g in ("en", "fr", "de")]
     odd += ["".join(rng.choice(" \n\t ab,'") for _ in range(12)) for _ in range(500)]
-    for x, ids in zip(odd, t.of(odd)):
+    for x, (ids, _) in zip(odd, t.of(odd)):
         assert ids.tolist() == t.tokenizer.encode(x, add_special_tokens=False).ids, repr(x)
 
 
@@ -45,12 +45,17 @@ def test_every_id_lies_in_one_piece_without_padding(spark):
         assert at == 256 or at & (at - 1) == 0 and at < 256
 
 
+def indexed(texts, head, tail, mean_length):
+    words = packing.Words(head, tail)
+    numbers = [np.array(words.of_text(b" ".join(t).decode()), np.int64) for t in texts]
+    return packing.Index(numbers, words.idf(), mean_length)
+
+
 def test_a_seed_draws_its_like():
     rng = random.Random(10)
     topics = [[f"t{k}w{i}".encode() for i in range(30)] for k in range(6)]
     texts = [rng.choices(topics[i % 6], k=40) for i in range(60)]
-    head = {w: 3.0 for topic in topics for w in topic}
-    index = packing.Index(texts, head, 3.0, 40)
+    index = indexed(texts, {w: 3.0 for topic in topics for w in topic}, 3.0, 40)
     order = packing.arrange([20] * 60, index, window=200)
     assert sorted(order) == list(range(60))
     same = sum(a % 6 == b % 6 for a, b in zip(order, order[1:]))
@@ -61,7 +66,7 @@ def test_neighbours_against_all_scores():
     rng = random.Random(11)
     texts = [[b"w%d" % rng.randint(0, 40) for _ in range(rng.randint(0, 30))] for _ in range(50)]
     head = {b"w%d" % i: 1 + i / 10 for i in range(40)}
-    index = packing.Index(texts, head, 5.0, 15)
+    index = indexed(texts, head, 5.0, 15)
     norm = [packing.K1 * (1 - packing.B + packing.B * len(t) / 15) for t in texts]
     weight = lambda w, i: head.get(w, 5.0) * texts[i].count(w) * (packing.K1 + 1) / (texts[i].count(w) + norm[i])
     for seed in range(50):
