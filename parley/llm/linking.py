@@ -1,9 +1,9 @@
 """Links between similar things: buckets, verified pairs, classes.
 
 An item is known by a 64-bit id. Items that share a bucket are candidates. A bucket
-is never expanded into all pairs. Every member is first compared with two
-representatives of its bucket, one of them the member that shares most buckets
-with others; linked items form classes. What is left is exact: members outside
+is never expanded into all pairs. Every member is first compared with a few
+representatives of its bucket, those that share most buckets with others; linked
+items form classes. What is left is exact: members outside
 their bucket's largest class are compared with the members of other classes, so
 that no pair of different classes in one bucket stays unseen. Distances (1 less
 the Jaccard similarity, weighted or not) keep the triangle inequality: pairs whose
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from parley.llm.common import checkpointed, settle
 
 SLOTS, WORD_BITS = 1 << 24, 64
+REPRESENTATIVES = 6
 
 
 def sieve(ids: DataFrame, column: str = "id") -> DataFrame:
@@ -109,11 +110,12 @@ def find_links(members: DataFrame, texts: Callable[[DataFrame], DataFrame], comp
     shared = checkpointed(members.join(heads, "bucket"))
     known = checkpointed(shared.groupBy("id").agg(F.sum("n").alias("met")))
     payload = settle(texts(known.select("id")))
-    reps = shared.join(known, "id").groupBy("bucket").agg(
-        F.max_by("id", F.struct("met", "id")).alias("centre"), F.min_by("id", F.xxhash64("id", F.lit(7))).alias("other")
-    )
+    # Of each of REPRESENTATIVES hash classes the member that meets most others; the state of a bucket stays small.
+    kind, order = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(REPRESENTATIVES)), F.struct("met", "id")
+    others = [F.max_by("id", F.when(kind == i, order)) for i in range(REPRESENTATIVES)]
+    reps = shared.join(known, "id").groupBy("bucket").agg(F.max_by("id", order).alias("centre"), F.array_compact(F.array(*others)).alias("reps"))
     shared = checkpointed(shared.select("bucket", "id").join(reps, "bucket"))
-    star = shared.select(F.col("id").alias("a"), F.explode(F.array("centre", "other")).alias("b")).filter("a <> b").distinct()
+    star = shared.select(F.col("id").alias("a"), F.explode("reps").alias("b")).filter("a <> b").distinct()
     star = checkpointed(compared(star, payload, compare))
     first = star.filter(F.col("similarity") >= least).select("a", "b")
 
