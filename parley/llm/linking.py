@@ -25,21 +25,21 @@ REPRESENTATIVES = 6
 
 
 def sieve(ids: DataFrame, column: str = "id") -> DataFrame:
-    """(word, bits): 2^24 bits, at most 262,144 rows whatever the number of ids, set where an id falls."""
+    """(_sieve_word, _sieve_bits): 2^24 bits, at most 262,144 rows whatever the number of ids, set where an id falls."""
     slot = F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int")
     rows = ids.select(slot.alias("slot"))
     mask = F.expr(f"shiftleft(1L, slot % {WORD_BITS})")
-    return rows.groupBy((F.col("slot") / WORD_BITS).cast("int").alias("word")).agg(F.bit_or(mask).alias("bits"))
+    return rows.groupBy((F.col("slot") / WORD_BITS).cast("int").alias("_sieve_word")).agg(F.bit_or(mask).alias("_sieve_bits"))
 
 
 def sifted(rows: DataFrame, words: DataFrame, column: str = "id", flag: str | None = None) -> DataFrame:
     """The rows whose id may be among those of the sieve; with ``flag``, all rows and that as a column. Nothing is shuffled."""
     slot = F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int")
-    rows = rows.withColumn("_slot", slot).withColumn("_word", (F.col("_slot") / WORD_BITS).cast("int"))
-    hit = F.coalesce(F.expr(f"(shiftright(bits, _slot % {WORD_BITS}) & 1) = 1"), F.lit(False))
-    met = rows.join(F.broadcast(words), F.col("_word") == F.col("word"), "left")
+    rows = rows.withColumn("_sieve_slot", slot).withColumn("_sieve_at", (F.col("_sieve_slot") / WORD_BITS).cast("int"))
+    hit = F.coalesce(F.expr(f"(shiftright(_sieve_bits, _sieve_slot % {WORD_BITS}) & 1) = 1"), F.lit(False))
+    met = rows.join(F.broadcast(words), F.col("_sieve_at") == F.col("_sieve_word"), "left")
     met = met.withColumn(flag, hit) if flag else met.filter(hit)
-    return met.drop("_slot", "_word", "word", "bits")
+    return met.drop("_sieve_slot", "_sieve_at", "_sieve_word", "_sieve_bits")
 
 
 def classes(links: DataFrame) -> DataFrame:

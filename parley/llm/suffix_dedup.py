@@ -187,9 +187,10 @@ def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> tuple[list[int
 
 
 def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int = LENGTH, most_left: int = LENGTH - ANCHOR) -> list[tuple[int, int, int]]:
-    """(member, least shift, largest shift): windows of ``length`` that start ``shift`` bytes before the anchor and have a partner.
+    """(member, least shift, largest shift) of the windows of ``length`` that start ``shift`` bytes before the anchor and have a partner.
 
-    ``lefts`` are read backwards from the anchor, ``rights`` forwards with it.
+    ``lefts`` are read backwards from the anchor, ``rights`` forwards with it. All
+    windows take in the anchor, so those of a member cover one span of bytes.
     """
     n = len(lefts)
     if n == 2:
@@ -205,7 +206,7 @@ def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int = LENG
     r_class, l_class = np.empty(n, np.int64), np.empty(n, np.int64)
     # A string may agree with others in its order only as far as it is long enough itself.
     sizes = np.fromiter(map(len, rights), np.int64, n), np.fromiter(map(len, lefts), np.int64, n)
-    out = []
+    least, largest = np.full(n, most_left + 1), np.full(n, -1)
     for low, behind in zip(turns, [*turns[1:], most_left + 1]):
         if r_prefix[1:].max(initial=0) < length - low or (low and l_prefix[1:].max(initial=0) < low):
             continue
@@ -214,9 +215,10 @@ def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int = LENG
         both = r_class * (n + 2) + l_class
         long_enough = (sizes[0] >= length - low) & (sizes[1] >= low)
         _, inverse, count = np.unique(both[long_enough], return_inverse=True, return_counts=True)
-        for i in np.flatnonzero(long_enough)[count[inverse] > 1].tolist():
-            out.append((i, low, behind - 1))
-    return out
+        found = np.flatnonzero(long_enough)[count[inverse] > 1]
+        least[found] = np.minimum(least[found], low)
+        largest[found] = behind - 1
+    return [(i, int(least[i]), int(largest[i])) for i in np.flatnonzero(largest >= 0).tolist()]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -339,10 +341,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wi
     texts = docs.select(text_key(text).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     spans = checkpointed(repeated_spans(texts, length, wide))
     columns = [c for c in docs.columns if c != "repeats"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], text_key(text).alias("_key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_bytes"))
-    rows = sifted(rows, sieve(spans, "key"), "_key", flag="_maybe")
-    touched = rows.filter("_maybe").join(spans, F.col("_key") == F.col("key"), "left").drop("key", "_key", "_maybe")
-    clean = rows.filter("not _maybe").drop("_key", "_maybe").withColumn("spans", F.lit(None).cast("array<struct<start: bigint, stop: bigint>>"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc")
+    rows = docs.select(whole, text_key(text).alias("of"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("bytes"))
+    rows = sifted(rows, sieve(spans, "key"), "of", flag="maybe")
+    touched = rows.filter("maybe").join(spans, F.col("of") == F.col("key"), "left").select("doc", "bytes", "spans")
+    none = F.lit(None).cast("array<struct<start: bigint, stop: bigint>>").alias("spans")
+    clean = rows.filter("not maybe").select("doc", "bytes", none)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,6 +361,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wi
             kind = pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary())])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, kind)], names=[*batch.schema.names[:-2], "repeats"])
 
-    both = touched.unionByName(clean)
+    both = touched.unionByName(clean).select(*[F.col(f"doc.`{c}`").alias(c) for c in columns], "bytes", "spans")
     kinds = ", ".join(f"`{c}` {t}" for c, t in both.dtypes[:-2])
     return both.mapInArrow(remove, f"{kinds}, repeats struct<n_bytes: long, spans: array<struct<start: long, stop: long>>, kept: binary>")
