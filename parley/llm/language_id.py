@@ -147,7 +147,8 @@ def learn(labelled: DataFrame, per_language: int = 400) -> Model:
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = rows.groupBy("lang").count()  # a row for each language
     chosen = rows.withColumn("draw", F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1 << 30)))
-    chosen = chosen.join(counts.withColumnRenamed("lang", "of"), F.col("lang") == F.col("of"))
+    # A row for each language the model will tell apart, so no larger than the model; texts stay where they are.
+    chosen = chosen.join(F.broadcast(counts.withColumnRenamed("lang", "of")), F.col("lang") == F.col("of"))
     chosen = chosen.filter(F.col("draw") < F.lit(float(per_language) * (1 << 30)) / F.col("count")).select("lang", "text", "draw")
 
     def train(frame: pd.DataFrame) -> pd.DataFrame:
