@@ -244,8 +244,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, wide: int = WIDE) ->
         for batch in batches:
             out: list[list] = [[], [], []]
             size = 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes, places = anchors_of((text or "").encode("utf-8", "surrogatepass"), length, anchor)
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes, places = anchors_of((text.as_py() or "").encode("utf-8", "surrogatepass"), length, anchor)
                 if len(places):
                     for column, values in zip(out, (hashes, np.full(len(places), key), places)):
                         column.append(values)
@@ -264,16 +264,19 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, wide: int = WIDE) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # Places stay in Arrow until their text is at hand; a batch may hold very many.
+            lists, keys, texts = batch.column(2), batch.column(0), batch.column(1)
+            ends, places = lists.offsets.to_pylist(), lists.values
             rows: list[list] = [[], [], [], [], [], []]
-            for key, text, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                data = text.encode("utf-8", "surrogatepass")
-                for p in own:
-                    x = p["place"]
-                    for column, value in zip(rows, (p["anchor"], key, x, p["n"], data[max(0, x - most_left) : x], data[x : x + length])):
+            for i in range(batch.num_rows):
+                data = texts[i].as_py().encode("utf-8", "surrogatepass")
+                own = places.slice(ends[i], ends[i + 1] - ends[i])
+                for anchor_hash, x, n in zip(*(own.field(f).to_pylist() for f in ("anchor", "place", "n"))):
+                    for column, value in zip(rows, (anchor_hash, keys[i].as_py(), x, n, data[max(0, x - most_left) : x], data[x : x + length])):
                         column.append(value)
-                if len(rows[0]) > 20_000:
-                    yield batch_of(rows)
-                    rows = [[], [], [], [], [], []]
+                    if len(rows[0]) >= 4096:
+                        yield batch_of(rows)
+                        rows = [[], [], [], [], [], []]
             if rows[0]:
                 yield batch_of(rows)
 
@@ -298,11 +301,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, wide: int = WIDE) ->
 
         now = None
         for batch in batches:
-            for anchor_hash, *row in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5))):
-                if anchor_hash != now:
-                    close()
-                    now = anchor_hash
-                group.append(tuple(row))
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                for anchor_hash, *row in zip(*(part.column(i).to_pylist() for i in (0, 1, 2, 4, 5))):
+                    if anchor_hash != now:
+                        close()
+                        now = anchor_hash
+                    group.append(tuple(row))
             if len(found[0]) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["key", "start", "stop"])
                 found = [[], [], []]
@@ -351,9 +356,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wi
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for value, own in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                data = value.encode("utf-8", "surrogatepass")
-                gone = merged([(s["start"], s["stop"]) for s in own or []])
+            for value, own in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+                data = value.as_py().encode("utf-8", "surrogatepass")
+                gone = merged([(s["start"], s["stop"]) for s in own.as_py() or []])
                 edges = [0, *(x for span in gone for x in span), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])) if gone else data
                 out.append({"n_bytes": len(data), "spans": [{"start": a, "stop": b} for a, b in gone], "kept": kept})
