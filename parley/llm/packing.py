@@ -146,6 +146,7 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, shard_b
     def fill(table: pa.Table) -> pa.Table:
         tokens = tokens_at(path or default_path())
         shard = table.column("shard")[0].as_py() if table.num_rows else 0
+        table = table.sort_by("doc_id")  # the same order in every run
         texts = [t or "" for t in table.column("text").to_pylist()]
         ids = []
         if len(tokens.number) > MOST_PIECES:
