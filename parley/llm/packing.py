@@ -1,6 +1,11 @@
 """Lexical retrieval packing: similar documents share a training sequence.
 
-Documents are dealt out to shards of bounded size by a hash of id and text. A shard
+Documents are dealt out to shards of bounded size by content: each has a key of
+``DRAWS`` words, drawn in proportion to inverse document frequency and alike for
+like texts (MinHash), and a shard is a range of keys. Copies lie next to each
+other; documents that share few words mostly do not, and a seed finds only what
+lies in its shard (README has measured shares). Behind the words a key has a hash of
+id and text and the number of a repeated row, so no group is bound to one shard. A shard
 is an inverted index with BM25 weights; inverse document frequencies are those of
 the whole corpus. The first document of a window is its seed: the index returns
 the unused documents that are most like it, and these fill the window one after
@@ -17,17 +22,24 @@ may be cut anywhere; every id lies in exactly one piece.
 
 from __future__ import annotations
 
+import sys
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import parts_for
+from parley.llm.common import checkpointed
+from parley.llm.linking import sieve, sifted
 from parley.llm.near_dedup import learn_weights
 from parley.llm.tokens import MOST_PIECES, Tokens, as_text, default_path, tokens_at
 from parley.llm.vocabulary import words_of
 
-WINDOW, END, SHARD_BYTES = 2048, 1, 8_000_000
+WINDOW, END, SHARD_BYTES, SHARD_ROWS = 2048, 1, 8_000_000, 20_000
+DRAWS, BOUND_SAMPLES = 3, 64
 K1, B, QUERY_WORDS = 1.2, 0.75, 8
 
 
@@ -135,12 +147,86 @@ def sequences(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int,
     return out
 
 
+class Keys:
+    """Keys of content: the words of the least random value, an exponential variate over the word's weight. Words outside the head,
+    most of which no other document has, are drawn only where a text has no others."""
+
+    def __init__(self, head: dict[bytes, float]):
+        self.number = {w: n for n, w in enumerate(head)}
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, head), np.uint64, len(head))
+        self.values = self.draws(list(head)) / np.fromiter(head.values(), np.float64, len(head))[:, None]
+
+    @staticmethod
+    def draws(words: list[bytes]) -> np.ndarray:
+        even = np.array([[xxhash.xxh64_intdigest(w, k + 1) for k in range(DRAWS)] for w in words], np.float64).reshape(-1, DRAWS)
+        return -np.log((even + 1) / 2.0**64)
+
+    def of(self, text: str | None) -> bytes:
+        words = set(words_of(text))
+        if not words:
+            return bytes(8 * DRAWS)
+        at = [n for n in map(self.number.get, words) if n is not None]
+        if at:
+            return self.hashes[np.array(at)[self.values[at].argmin(0)]].astype(">u8").tobytes()
+        others = list(words)
+        least = self.draws(others).argmin(0)
+        return b"".join(xxhash.xxh64_digest(others[i]) for i in least)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text, row (a hash of both) and again: 0, or the number of a row that occurs more than once. The same in every run."""
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    again = checkpointed(rows.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("row").alias("id")))
+    if again.isEmpty():
+        return rows.withColumn("again", F.lit(0))
+    rows = sifted(rows, sieve(again), "row", flag="_again")
+    groups = rows.filter("_again").groupBy("doc_id", "text", "row").agg(F.count("*").alias("n"))
+    each = groups.select("doc_id", "text", "row", F.explode(F.expr("sequence(0, cast(n - 1 as int))")).alias("again"))
+    return rows.filter("not _again").select("doc_id", "text", "row", F.lit(0).alias("again")).unionByName(each)
+
+
+def dealt(docs: DataFrame, head: dict[bytes, float], shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """doc_id, text and shard: ranges of the keys of content, of about ``shard_bytes`` or ``shard_rows`` each. A sample of the
+    keys, in proportion to size, gives the bounds; a few dozen for each shard come back, whatever the size of its documents."""
+    known = docs.sparkSession.sparkContext.broadcast(head)
+    rows = numbered(docs)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+        keys = Keys(known.value)
+        for batch in batches:
+            texts, row, again = (batch.column(c).to_pylist() for c in ("text", "row", "again"))
+            yield batch, [keys.of(t) + (r + (1 << 63)).to_bytes(8, "big") + n.to_bytes(4, "big") for t, r, n in zip(texts, row, again)]
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, keys in keyed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("times")], names=["key", "times"])
+
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) / F.lit(shard_bytes) + F.lit(1 / shard_rows)
+    even = F.pmod(F.xxhash64("row", "again"), F.lit(1 << 20)) / F.lit(1 << 20)
+    times = F.floor(size * BOUND_SAMPLES + even).cast("int")
+    drawn = rows.withColumn("times", times).filter("times > 0").mapInArrow(sample, "key binary, times int").collect()
+    drawn = sorted((bytes(r["key"]), r["times"]) for r in drawn)
+    bounds, held = [], 0
+    for key, n in drawn:
+        if held >= BOUND_SAMPLES:
+            bounds.append(key)
+            held = 0
+        held += n
+    ranges = docs.sparkSession.sparkContext.broadcast(bounds)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, keys in keyed(batches):
+            shard = pa.array([bisect_right(ranges.value, k) for k in keys], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), shard], names=["doc_id", "text", "shard"])
+
+    return rows.mapInArrow(deal, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, shard int")
+
+
 def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, text of ``docs`` -> a row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
     weights = learn_weights(docs.select("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     total, rows = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
-    shards = max(parts_for(total, shard_bytes), parts_for(rows, 20_000))
     known = docs.sparkSession.sparkContext.broadcast((weights.head, weights.tail, total / max(1, rows) / 6))
 
     def fill(table: pa.Table) -> pa.Table:
@@ -172,7 +258,6 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, shard_b
             "sequence_id": (np.int64(shard) << 32) + sequence, "offset": offset, "ids": pa.array(data, pa.binary()),
         })
 
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard")
     kind = docs.schema["doc_id"].dataType.simpleString()
     kinds = f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return docs.select("doc_id", "text", shard).groupBy("shard").applyInArrow(fill, kinds)
+    return dealt(docs.select("doc_id", "text"), weights.head, shard_bytes).groupBy("shard").applyInArrow(fill, kinds)

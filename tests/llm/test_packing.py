@@ -1,9 +1,10 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from parley.llm import packing, tokens
+from parley.llm.near_dedup import learn_weights
 
 from .helpers import corpus, mixed_rows, text
 
@@ -81,6 +82,39 @@ def test_neighbours_against_all_scores():
             assert all(want[a] >= want[b] - 1e-3 for a, b in zip(got, got[1:]))
 
 
+def shards_of(docs, **bounds):
+    weights = learn_weights(docs.select("text"))
+    return packing.dealt(docs.select("doc_id", "text"), weights.head, **bounds).collect()
+
+
+def test_like_documents_share_a_shard(spark):
+    rng = random.Random(12)
+    rows, group = [], {}
+    for k in range(120):  # three exact copies and three near copies of each text
+        words = text(rng, rng.choice(["en", "de", "fr"]), 60).split()
+        for c in range(6):
+            own = words if c < 3 else [*words[:-1], f"x{k}y{c}"]
+            group[len(rows)] = k
+            rows.append((len(rows), " ".join(own), "en", "s"))
+    rng.shuffle(rows)
+    size = sum(len(r[1]) for r in rows)
+    got = shards_of(corpus(spark, rows), shard_bytes=size // 20)
+    assert len({r["shard"] for r in got}) > 12 and len(got) == len(rows)
+    where = defaultdict(list)
+    for r in got:
+        where[group[r["doc_id"]]].append(r["shard"])
+    pairs = [a == b for s in where.values() for i, a in enumerate(s) for b in s[:i]]
+    assert sum(pairs) > 0.75 * len(pairs)  # by a hash of id and text: one in twenty
+
+
+def test_repeated_rows_are_split(spark):
+    rows = [(None, None, None, None)] * 3000 + [(7, "one two", "en", "s")] * 3000 + [(i, f"w{i}", "en", "s") for i in range(100)]
+    got = shards_of(corpus(spark, rows), shard_rows=500)
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r[0], r[1]) for r in rows)
+    sizes = Counter(r["shard"] for r in got)
+    assert len(sizes) > 8 and max(sizes.values()) < 1200
+
+
 def test_empty_table(spark):
     assert packing.pack(corpus(spark, [])).count() == 0
     assert zlib.crc32(np.array([1], "<u4").tobytes()) == packing.pack(corpus(spark, [(1, None, None, None)])).selectExpr("crc32(ids) AS c").first()["c"]
