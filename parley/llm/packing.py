@@ -40,7 +40,8 @@ from parley.llm.vocabulary import words_of
 
 WINDOW, END, SHARD_BYTES, SHARD_ROWS = 2048, 1, 8_000_000, 20_000
 DRAWS, BOUND_SAMPLES = 3, 64
-K1, B, QUERY_WORDS = 1.2, 0.75, 8
+K1, B = 1.2, 0.75
+QUERY_WORDS = sys.maxsize  # a seed asks by all its words
 
 
 class Words:
@@ -88,16 +89,14 @@ class Index:
         self.n = len(texts)
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents by falling likeness to the seed, asked by its words of the highest weight that other documents have too."""
+        """Unused documents by falling likeness to the seed, asked by all its words that other documents have too."""
         own = slice(self.starts[seed], self.starts[seed + 1])
-        words, weight = self.word[own], self.weight[own]
-        shared = (self.ends[words] - self.begins[words]) > 1
-        words, weight = words[shared], weight[shared]
+        words = self.word[own]
+        words = words[(self.ends[words] - self.begins[words]) > 1]
         if not len(words):
             return np.zeros(0, np.int64)
-        if len(words) > QUERY_WORDS:
-            words = words[np.argpartition(-weight, QUERY_WORDS)[:QUERY_WORDS]]
-        at = np.concatenate([np.arange(self.begins[w], self.ends[w]) for w in words])
+        begins, lengths = self.begins[words], self.ends[words] - self.begins[words]
+        at = np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
         score = np.bincount(self.posting[at], self.posting_weight[at], self.n)
         score[used] = 0
         found = np.flatnonzero(score)

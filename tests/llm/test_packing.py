@@ -82,6 +82,24 @@ def test_neighbours_against_all_scores():
             assert all(want[a] >= want[b] - 1e-3 for a, b in zip(got, got[1:]))
 
 
+def test_long_seeds_are_asked_by_all_their_words():
+    rng = random.Random(13)
+    texts = [[b"w%d" % rng.randint(0, 400) for _ in range(rng.randint(40, 300))] for _ in range(60)]
+    texts += [[b"w%d" % i for i in range(100)], [b"w0", b"only"]]
+    head = {b"w%d" % i: 0.5 + i / 100 for i in range(400)}
+    index = indexed(texts, head, 5.0, 150)
+    for seed in range(len(texts)):
+        used = np.zeros(len(texts), bool)
+        used[seed] = True
+        want = {}
+        for i, t in enumerate(texts):
+            norm = packing.K1 * (1 - packing.B + packing.B * len(t) / 150)
+            want[i] = sum(head.get(w, 5.0) * t.count(w) * (packing.K1 + 1) / (t.count(w) + norm) for w in set(texts[seed]))
+        got = index.neighbours(seed, used).tolist()
+        assert set(got) == {i for i, s in want.items() if s > 0 and i != seed}
+        assert all(want[a] >= want[b] - 1e-3 for a, b in zip(got, got[1:]))
+
+
 def shards_of(docs, **bounds):
     weights = learn_weights(docs.select("text"))
     return packing.dealt(docs.select("doc_id", "text"), weights.head, **bounds).collect()
