@@ -182,8 +182,6 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     parts = list(items(page or ""))
-    if marks(parts) == 1 and any(inside and not outside and not name and text.strip() for name, text, _, outside, inside in parts):
-        parts = [(name, text, link, outside or not inside, inside) for name, text, link, outside, inside in parts]
     scores = []
     for name, text, link, outside, _ in parts:
         kind, times = kind_of(name, text, link, outside)

@@ -71,3 +71,11 @@ def test_null_rows_and_empty_table(spark):
     got = sorted((r["page_id"] or 0, r["url"] or "", r["text"], r["n_chars"]) for r in html_text.extract(pages).collect())
     assert got == [(0, "u", "x y z", 5), (1, "", "", 0), (1, "", "", 0)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_a_teaser_does_not_hide_the_story():
+    story = "".join(f"<p>{' '.join(f'story{k}x{i}' for i in range(30))}</p>" for k in range(5))
+    for mark in ("article", "main"):
+        page = f"<html><body><nav><a>Home</a></nav><div>{story}</div><ul><li><a>x</a></li></ul><{mark}><h2>Teaser</h2><p>Read more</p></{mark}></body></html>"
+        got = html_text.main_text(page, WEIGHTS)
+        assert all(f"story{k}x{i}" in got for k in range(5) for i in range(30))
