@@ -7,7 +7,10 @@ inside which words and tags count as content. One linear scan finds the
 contiguous stretch of the highest sum, the content region. What a reader would
 not call article inside that region (menus, headers, footers, sidebars, notices,
 adverts, forms, comments) is known by its element or by its class, id or role
-and left out, as are scripts, styles and comments in the source.
+and left out, as are scripts, styles and comments in the source. Names and forms
+are evidence for small elements only: one that holds more than half of the page's
+plain words, in blocks of its own (a wrapper, or a page-wide form), is not left out for its name, and
+inside an article neither is one of ``AMBIGUOUS`` names that has running text.
 
 Null html is an empty page. A page without any words has an empty text. Character
 references are decoded before white space is turned into one space. Blocks follow
@@ -35,7 +38,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that are never article text.
 OUTSIDE = frozenset(
-    "head title script style noscript template nav footer aside form button select textarea input iframe object svg canvas dialog menu "
+    "head title script style noscript template nav footer aside button select textarea input iframe object svg canvas dialog menu "
     "audio video datalist noembed noframes xmp map".split()
 )
 #: Words in a class, id or role that name something other than the article.
@@ -45,6 +48,10 @@ NAMES = frozenset(
     "pagination pager sidebar sidebars aside complementary contentinfo footer header masthead toolbar share sharing social related recommended "
     "recommendations comment comments commentlist disqus respond reply replies discussion widget widgets skip toc search form legal copyright".split()
 )
+#: Of these, those that a section of an article may have by its topic.
+AMBIGUOUS = frozenset("notice notices alert social share sharing related discussion respond reply replies search form legal copyright skip sponsor promotion consent gdpr".split())
+#: Plain words that make an element of such a name running text, if it has no more in links.
+RUNNING = 20
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^>]*>", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 LABEL = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -54,31 +61,66 @@ PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 WORD_RANGE, TAG_RANGE, LEFT_OUT = (0.1, 4.0), (-2.0, -0.1), -0.02
 
 
-def names_other(tag: str, name: str, inside_article: bool = False) -> bool:
-    """Whether an element's class, id or role says that it is not the article; a header inside an article may hold its title."""
+def names_other(tag: str, name: str, inside_article: bool = False) -> set[str]:
+    """Words of an element's class, id or role that say that it is not the article; a header inside an article may hold its title."""
+    found: set[str] = set()
     if name in ("html", "body", "article", "main"):
-        return False
+        return found
     for groups in LABEL.findall(tag):
         for label in "".join(groups).split():
             parts = [p.lower() for p in PIECES.findall(label)]
             if parts and parts[0] in ("has", "with", "no", "without", "not"):
                 continue
-            if any(p in NAMES and not (inside_article and p == "header") for p in parts):
-                return True
-    return False
+            found.update(p for p in parts if p in NAMES and not (inside_article and p == "header"))
+    return found
+
+
+class Named:
+    """Elements with a name or form that speaks against them, by the order in which they open."""
+
+    def __init__(self):
+        self.words = [0, 0, 0]  # of the page so far: plain ones, those in links; and its blocks
+        self.open: list[tuple[int, int, int, bool]] = []  # words and blocks before, and whether the names are ambiguous inside an article
+        self.held: dict[int, tuple[int, int, int]] = {}
+
+    def begin(self, ambiguous: bool) -> int:
+        self.open.append((*self.words, ambiguous))
+        return len(self.open) - 1
 
+    def end(self, k: int) -> None:
+        plain, links, blocks, _ = self.open[k]
+        self.held[k] = self.words[0] - plain, self.words[1] - links, self.words[2] - blocks
 
-def items(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
+    def spared(self) -> frozenset[int]:
+        """Those that are not left out: they hold most plain words of the page, or are running text of an article."""
+        return frozenset(
+            k
+            for k, (plain, links, blocks) in self.held.items()
+            if blocks and (2 * plain > self.words[0] or self.open[k][3] and plain >= max(RUNNING, links))
+        )
+
+
+def items(page: str) -> list[tuple[str, str, bool, bool, bool]]:
     """(tag name or '' for text, text or '/' for an end tag, inside a link, outside the article by its element, inside article or main)."""
+    named = Named()
+    parts = list(read_items(page, named, frozenset()))
+    spared = named.spared()
+    return list(read_items(page, Named(), spared)) if spared else parts
+
+
+def read_items(page: str, named: Named, spared: frozenset[int]) -> Iterator[tuple[str, str, bool, bool, bool]]:
     at, n = 0, len(page)
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are left out
-    out = links = marked = 0
+    stack: list[tuple[str, bool, bool, int]] = []  # open elements, whether they are left out, whether by their kind, number among the named or -1
+    out = links = marked = never = 0
 
     def drop(to: int) -> None:
-        nonlocal out, links, marked
+        nonlocal out, links, marked, never
         while len(stack) > to:
-            name, left_out = stack.pop()
+            name, left_out, by_kind, number = stack.pop()
             out -= left_out
+            never -= by_kind
+            if number >= 0:
+                named.end(number)
             links -= name == "a"
             marked -= name in ("article", "main")
 
@@ -86,9 +128,11 @@ def items(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
         m = TOKEN.search(page, at)
         stop = m.start() if m else n
         if stop > at:
+            if not never:
+                named.words[links > 0] += len(page[at:stop].split())
             yield "", page[at:stop], links > 0, out > 0, marked > 0
         if not m:
-            return
+            break
         at, tag = m.end(), m.group()
         if tag[1] in "!?":
             continue
@@ -110,14 +154,19 @@ def items(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
                 if stack[i][0] in BLOCKS:
                     break
         if name == "body":
-            for i, (open_name, _) in enumerate(stack):
+            for i, (open_name, *_) in enumerate(stack):
                 if open_name == "head":
                     drop(i)
                     break
         if name == "li" and stack and stack[-1][0] == "li":
             drop(len(stack) - 1)
         inside_article = marked > 0 or any(s[0] in ("article", "main") for s in stack)
-        left_out = name in OUTSIDE or (name == "header" and not inside_article) or names_other(tag, name, inside_article)
+        by_kind = name in OUTSIDE or (name == "header" and not inside_article)
+        words = set() if by_kind or name in VOID else names_other(tag, name, inside_article)
+        number = named.begin(inside_article and name != "form" and words <= AMBIGUOUS) if words or name == "form" else -1
+        if number < 0:
+            named.words[2] += name in BLOCKS
+        left_out = by_kind or number >= 0 and number not in spared
         yield name, "", links > 0, out > 0, marked > 0
         if name in VOID or tag.endswith("/>") and name not in BLOCKS and name not in RAW:
             continue
@@ -128,10 +177,12 @@ def items(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
                 yield "", page[at:stop], False, True, marked > 0
             at = page.find(">", stop) + 1 if end and page.find(">", stop) >= 0 else n
             continue
-        stack.append((name, left_out))
+        stack.append((name, left_out, by_kind, number))
         out += left_out
+        never += by_kind
         links += name == "a"
         marked += name in ("article", "main")
+    drop(0)
 
 
 def kind_of(name: str, text: str, link: bool, outside: bool) -> tuple[str, int]:

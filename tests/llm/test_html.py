@@ -79,3 +79,23 @@ def test_a_teaser_does_not_hide_the_story():
         page = f"<html><body><nav><a>Home</a></nav><div>{story}</div><ul><li><a>x</a></li></ul><{mark}><h2>Teaser</h2><p>Read more</p></{mark}></body></html>"
         got = html_text.main_text(page, WEIGHTS)
         assert all(f"story{k}x{i}" in got for k in range(5) for i in range(30))
+
+
+STORY = "".join(f"<p>{' '.join(f'story{k}x{i}' for i in range(30))}</p>" for k in range(5))
+
+
+@pytest.mark.parametrize("wrapper", ['div class="layout-with-sidebar"', 'div class="row sidebar-right"', 'div id="social-science"', "form", 'form id="search-form"'])
+@pytest.mark.parametrize("mark", ["article", "div"])
+def test_wrappers_are_not_left_out_for_their_names(wrapper, mark):
+    side = '<div class="sidebar">small side box</div><form><button>Go</button>Your mail</form>'
+    page = f"<html><body><{wrapper}><nav><a>Home</a></nav>{side}<{mark}>{STORY}</{mark}>{side}</{wrapper.split()[0]}></body></html>"
+    got = html_text.main_text(page, WEIGHTS)
+    assert all(f"story{k}x{i}" in got for k in range(5) for i in range(30)) and "side" not in got and "mail" not in got
+
+
+def test_sections_of_an_article_are_kept():
+    extra = " ".join(f"more{i}" for i in range(40))
+    for label in ('id="discussion"', 'class="legal"'):
+        page = f'<html><body><article>{STORY}<section {label}><h2>Part</h2><p>{extra}</p></section><div class="share">Share this</div><p>The end.</p></article></body></html>'
+        got = html_text.main_text(page, WEIGHTS)
+        assert extra in got and "The end." in got and "Share this" not in got
