@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.llm import fingerprints, hard_negatives, html_text, language_id, line_dedup, lm_scoring, mixing, near_dedup, packing, suffix_dedup, topk
+from parley.llm import chat_format, fingerprints, hard_negatives, html_text, language_id, line_dedup, lm_scoring, mixing, near_dedup, packing, suffix_dedup, topk
 from parley.llm.common import read, remainder
 from parley.llm.sql import SQL
 
@@ -84,6 +84,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, rows.filter(F.col("vec_id") % 100 == 0))
 
 
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return chat_format.digests(chat_format.windows(turns.unionByName(extra)))
+
+
 def llm_queries() -> dict[str, Query]:
     own = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
     return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0])))

@@ -74,4 +74,49 @@ WITH ready AS (
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
 """
 
-SQL = {"op1_source_mixing": MIXING, "op10_exact_top_k": TOP_K, "op11_hard_negatives": HARD_NEGATIVES}
+CHAT = r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 3 AS cost,
+    14 + length(role) + length(text) + length(concat(role, text)) - length(replace(concat(role, text), '\', ''))
+      + length(role) - length(replace(role, ':', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7
+      + (length(role) - length(replace(role, '</turn>', ''))) // 7
+      + coalesce(list_sum(list_transform(regexp_extract_all(text, '#+'), lambda x: length(x) - 1)), 0)
+      + coalesce(list_sum(list_transform(regexp_extract_all(role, '#+'), lambda x: length(x) - 1)), 0) AS size
+  FROM given
+), summed AS (
+  SELECT *, sum(cost) OVER up AS upto, sum(cost) OVER up - cost AS before,
+    first_value(role = 'system') OVER up AS opens, first_value(cost) OVER up AS first_cost, first_value(size) OVER up AS first_size
+  FROM turns WINDOW up AS (PARTITION BY conv_id ORDER BY i)
+), roomy AS (
+  SELECT *, opens AND i > 0 AS kept, 1024 - CASE WHEN opens AND i > 0 THEN first_cost ELSE 0 END AS room FROM summed
+), reached AS (
+  SELECT s.conv_id, s.i, any_value(s.room) AS room, any_value(s.kept) AS kept, any_value(s.first_size) AS first_size,
+    min(h.i) AS old, min(h.before) AS old_before
+  FROM roomy s JOIN summed h ON h.conv_id = s.conv_id AND (h.i = s.i OR h.i < s.i AND h.i >= CASE WHEN s.opens THEN 1 ELSE 0 END
+    AND s.before - h.before <= greatest(0, least(256, s.room - s.cost)))
+  GROUP BY s.conv_id, s.i
+), spans AS (
+  SELECT r.conv_id, r.i, r.kept, r.first_size, r.old, greatest(r.i + 1, max(n.i + 1) FILTER (n.upto - r.old_before <= r.room)) AS stop
+  FROM reached r JOIN summed n ON n.conv_id = r.conv_id AND n.i >= r.i
+  GROUP BY ALL
+), cuts AS (
+  SELECT conv_id, 0::BIGINT AS i FROM turns GROUP BY conv_id
+  UNION ALL SELECT s.conv_id, s.stop FROM cuts c JOIN spans s ON s.conv_id = c.conv_id AND s.i = c.i
+), written AS (
+  SELECT s.conv_id, s.i, CASE WHEN any_value(s.kept) THEN any_value(s.first_size) ELSE 0 END + sum(t.size) AS chars
+  FROM cuts c JOIN spans s ON s.conv_id = c.conv_id AND s.i = c.i JOIN turns t ON t.conv_id = s.conv_id AND t.i >= s.old AND t.i < s.stop
+  GROUP BY s.conv_id, s.i
+)
+SELECT t.conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  any_value(w.chars)::BIGINT AS formatted_chars
+FROM turns t JOIN (SELECT conv_id, sum(chars) AS chars FROM written GROUP BY conv_id) w ON w.conv_id = t.conv_id
+GROUP BY t.conv_id
+"""
+
+SQL = {"op1_source_mixing": MIXING, "op10_exact_top_k": TOP_K, "op11_hard_negatives": HARD_NEGATIVES, "op12_chat_formatting": CHAT}
