@@ -102,7 +102,7 @@ WITH RECURSIVE given AS (
 ), spans AS (
   SELECT r.conv_id, r.i, r.kept, r.first_size, r.old, greatest(r.i + 1, max(n.i + 1) FILTER (n.upto - r.old_before <= r.room)) AS stop
   FROM reached r JOIN summed n ON n.conv_id = r.conv_id AND n.i >= r.i
-  GROUP BY ALL
+  GROUP BY r.conv_id, r.i, r.kept, r.first_size, r.old
 ), cuts AS (
   SELECT conv_id, 0::BIGINT AS i FROM turns GROUP BY conv_id
   UNION ALL SELECT s.conv_id, s.stop FROM cuts c JOIN spans s ON s.conv_id = c.conv_id AND s.i = c.i
