@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.llm import chat_format, fingerprints, hard_negatives, html_text, language_id, line_dedup, lm_scoring, mixing, near_dedup, packing, suffix_dedup, topk
+from parley.llm import chat_format, fingerprints, hard_negatives, html_text, language_id, line_dedup, lm_scoring, mixing, near_dedup, packing, prefix_trie, suffix_dedup, topk
 from parley.llm.common import read, remainder
 from parley.llm.sql import SQL
 
@@ -91,6 +91,16 @@ def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.windows(turns.unionByName(extra)))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.hashed(read(spark, sf_dir, "conversations"))
+    convs = turns.select("conv_id").distinct()
+    taken = convs.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 20).alias("base"), remainder(F.col("conv_id"), 4).alias("h"))
+    heads = turns.filter("place < 3").withColumnRenamed("conv_id", "base")
+    shared = taken.join(heads, "base").filter("place < h").select("conv_id", "place", "content", "words")
+    own = turns.filter(F.col("place") >= remainder(F.col("conv_id"), 4))
+    return prefix_trie.nodes(shared.unionByName(own), convs)
+
+
 def llm_queries() -> dict[str, Query]:
     own = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
     return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0])))

@@ -119,4 +119,40 @@ FROM turns t JOIN (SELECT conv_id, sum(chars) AS chars FROM written GROUP BY con
 GROUP BY t.conv_id
 """
 
-SQL = {"op1_source_mixing": MIXING, "op10_exact_top_k": TOP_K, "op11_hard_negatives": HARD_NEGATIVES, "op12_chat_formatting": CHAT}
+TRIE = r"""
+WITH placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place,
+    md5(concat(length(coalesce(role, '')), ':', role, text)) AS content, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  -- crc32, bit by bit: complement of the remainder of complemented input
+  SELECT conv_id, conv_id - conv_id % 20 AS base, (4294967295 - list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM placed)
+), rebuilt AS (
+  SELECT c.conv_id, p.place, p.content, p.words FROM convs c JOIN placed p ON p.conv_id = c.base AND p.place < c.h
+  UNION ALL SELECT c.conv_id, p.place, p.content, p.words FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.place >= c.h
+), paths AS (
+  SELECT conv_id, row_number() OVER up AS depth, string_agg(content, '') OVER up AS key, words
+  FROM rebuilt WINDOW up AS (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+), nodes AS (
+  SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    substr(key, 1, greatest(any_value(depth) - 1, 0) * 32) AS parent
+  FROM paths GROUP BY key
+), children AS (
+  SELECT parent, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY parent
+), subtrees AS (
+  SELECT u.key, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((v.n_convs - 1) * v.words)::BIGINT AS saved_tokens
+  FROM nodes u JOIN nodes v ON starts_with(v.key, u.key) LEFT JOIN children c ON c.parent = v.key GROUP BY u.key
+), ends AS (
+  SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(key, depth) AS key FROM paths GROUP BY conv_id) GROUP BY key
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves, s.saved_tokens,
+  sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN subtrees s ON s.key = n.key LEFT JOIN nodes p ON p.key = n.parent AND n.depth > 0
+LEFT JOIN children c ON c.parent = n.key LEFT JOIN ends e ON e.key = n.key
+"""
+
+SQL = {"op1_source_mixing": MIXING, "op10_exact_top_k": TOP_K, "op11_hard_negatives": HARD_NEGATIVES, "op12_chat_formatting": CHAT, "op13_prefix_trie": TRIE}
