@@ -2,47 +2,42 @@
 
 A stream is text cut into chunks, and tags may be cut anywhere. The replay
 works on blocks of consecutive chunks so that a very long stream spreads over
-many tasks:
-
-1. chunks are grouped by (stream, block) and joined to one text per block;
-2. one small row per block tells which started tag it ends on, and a window
-   over those rows hands it to the next block;
-3. with it each block is cut at its tags, and a second set of small rows
-   carries the open state (which tag is open, how many calls were closed, is
-   white space still being skipped) to the following blocks;
-4. blocks emit their pieces; the pieces of one call meet by (stream, call).
-
-Only the first grouping and the pieces of calls move text.
+many tasks; no row of a result depends on where the blocks end:
+
+1. chunks are grouped by (stream, block), the one time that their text moves;
+2. each block becomes a small map from what may be held before it to the state
+   behind it (``transducer``), and a prefix scan over the maps, on two levels,
+   finds the state at the begin of every block;
+3. one pass over each block, knowing that state, tells what its chunks say; it
+   is written once, and everything else is read from it;
+4. calls are judged; only those that go beyond a block have their parts brought
+   together.
 """
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
+from typing import Any
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.constants import CALL_CLOSE, CALL_OPEN, TAGS, THINK_OPEN
+from parley.constants import CALL_OPEN, THINK_OPEN
 from parley.functions.ids import stable_id
-from parley.functions.tags import (
-    PARTIAL_TAGS,
-    SCAN,
-    call_record,
-    held_back,
-    is_tag,
-    scan_tokens,
-    settles,
-    tag_ending,
-)
-from parley.functions.text import has_visible, lstrip, strip
+from parley.functions.tags import call_record
+from parley.functions.text import bind, strip
+from parley.operators.ordered import fold_in_order, map_rows
 from parley.operators.prefix import BLOCK_ROWS, block_of, running_sums
+from parley.operators.transducer import Outcome, State, after, compose, moves, tell
+from parley.session import written
 
 STREAM_BLOCK = ["stream_id", "block"]
-_EARLIER = (Window.unboundedPreceding, -1)
+#: Blocks whose maps are joined by one task of the scan's first level.
+SPAN_BLOCKS = 256
+
+_MAP = "which binary, outcomes array<struct<held:int,tags:long,first:int,last:int,closed:long,opens:boolean,lead:boolean,tail:boolean>>"
+_STATE = "held string, open_tag string, skip_space boolean, segment long, calls long, pending boolean"
+_SAID = "array<struct<at:long,segment:long,kind:string,text:string,call:long>>"
 
 
 def unusable_chunks(chunks: DataFrame) -> DataFrame:
@@ -50,434 +45,277 @@ def unusable_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("stream_id").isNull() | F.col("seq").isNull())
 
 
+def _given(chunks: DataFrame) -> list[Column]:
+    """The fields of a chunk, with what a table lacks; what is only handed on goes as JSON text."""
+    types = {f.name: f.dataType.typeName() for f in chunks.schema}
+
+    def or_else(name: str, value: Column) -> Column:
+        given = F.col(name) if name in types else value
+        return (F.to_json(name) if types.get(name) == "variant" else given).alias(name)
+
+    none = F.lit(None).cast("string")
+    return [
+        F.col("seq").cast("long").alias("seq"), "content", or_else("role", none), F.nullif(or_else("finish_reason", none), F.lit("")).alias("finish_reason"),
+        F.coalesce(or_else("has_delta", F.lit(True)), F.lit(True)).alias("has_delta"), or_else("rest", none), or_else("delta_rest", none),
+    ]
+
+
 def text_blocks(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(stream_id, block, pieces, text): the text of up to ``block_rows`` chunks."""
+    """(stream_id, block, pieces): up to ``block_rows`` chunks in order; a chunk that was sent twice counts once."""
     return (
-        chunks.where((F.length("content") > 0) & F.col("stream_id").isNotNull())
-        .select("stream_id", block_of("seq", block_rows).alias("block"), "seq", "content")
-        # Stated here so that every use of the blocks has the same filters and shares one shuffle.
-        .where("block is not null")
+        chunks.where(F.col("stream_id").isNotNull() & F.col("seq").isNotNull())
+        .select("stream_id", block_of("seq", block_rows).cast("long").alias("block"), F.struct(*_given(chunks)).alias("piece"))
         .groupBy(*STREAM_BLOCK)
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "content"))).alias("pieces"))
-        # A chunk that was sent twice counts once.
+        .agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
         .withColumn("pieces", F.filter("pieces", lambda p, i: (i == 0) | (p["seq"] != F.get("pieces", i - 1)["seq"])))
-        .withColumn("text", F.array_join(F.transform("pieces", lambda p: p["content"]), ""))
     )
 
 
-def _held_tags(blocks: DataFrame) -> DataFrame:
-    """Per block: the started tag that the blocks before it left open, and is it the last one."""
-    ordered = Window.partitionBy("stream_id").orderBy("block")
-    ends = blocks.select(
-        *STREAM_BLOCK, tag_ending(F.col("text")).alias("ending"), settles(F.col("text")).alias("settled")
-    ).withColumn("run", F.sum(F.col("settled").cast("int")).over(ordered))
-    # Blocks of nothing but tag characters settle nothing; they add to the run before them.
-    in_run = Window.partitionBy("stream_id", "run").orderBy("block").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    held = ends.withColumn("held", held_back(F.array_join(F.collect_list("ending").over(in_run), "")))
-    return held.select(
-        *STREAM_BLOCK,
-        F.coalesce(F.lag("held").over(ordered), F.lit("")).alias("carry"),
-        F.lead("block").over(ordered).isNull().alias("is_last"),
-        "held",
-    )
+def _packed(map_: list[Outcome]) -> tuple[bytes, list[dict[str, Any]]]:
+    """A map as its different outcomes and which of them each held text has."""
+    different = list(dict.fromkeys(map_))
+    return bytes(different.index(o) for o in map_), [o._asdict() for o in different]
 
 
-def _seq_at(pieces: Column, offset: Column) -> Column:
-    """The chunk in which the given character offset of the block's text lies."""
-    start = F.struct(F.lit(0).alias("chars"), F.lit(None).cast("long").alias("seq"))
-    return F.aggregate(
-        pieces,
-        start,
-        lambda acc, p: F.when(acc["chars"] >= offset, acc).otherwise(
-            F.struct((acc["chars"] + F.length(p["content"])).alias("chars"), p["seq"].alias("seq"))
-        ),
-    )["seq"]
-
-
-def _with_segments(blocks: DataFrame) -> DataFrame:
-    """Add ``segments``: the opening tag of each stretch of text (null for the first) and the text."""
-    scanned = blocks.withColumn("scan", scan_tokens(F.concat("carry", "text")))
-    # What is still a started tag belongs to the next block; at the end of the stream it is text.
-    kept = scanned.withColumn(
-        "tokens",
-        F.when(
-            ~F.col("is_last") & F.element_at("scan", -1).isin(*PARTIAL_TAGS),
-            F.slice("scan", F.lit(1), F.size("scan") - 1),
-        ).otherwise(F.col("scan")),
-    )
-    cuts = kept.withColumn(
-        "cuts",
-        F.concat(
-            F.array(F.lit(0)),
-            F.when(F.size("tokens") == 0, F.array().cast("array<int>")).otherwise(
-                F.filter(F.sequence(F.lit(1), F.size("tokens")), lambda i: is_tag(F.element_at("tokens", i)))
-            ),
-        ),
-    )
+def _unpacked(row: dict[str, Any]) -> list[Outcome]:
+    outcomes = [Outcome(**o) for o in row["outcomes"]]
+    return [outcomes[i] for i in row["which"]]
 
-    def segment(cut: Column, k: Column) -> Column:
-        after = F.coalesce(F.get("cuts", k + 1), F.size("tokens") + 1)
-        tag = F.when(cut > 0, F.get("tokens", cut - 1))
-        return F.struct(
-            k.alias("k"),
-            tag.alias("tag"),
-            F.array_join(F.slice("tokens", cut + 1, after - cut - 1), "").alias("text"),
-            F.when(
-                tag == CALL_CLOSE, F.length(F.array_join(F.slice("tokens", F.lit(1), cut), "")) - F.length("carry")
-            ).alias("offset"),
-        )
-
-    return cuts.withColumn("segments", F.transform("cuts", segment))
-
-
-def _block_states(segmented: DataFrame) -> DataFrame:
-    """Per block: the open tag on entry, calls closed before, white-space skipping, tags before."""
-    tags = F.transform("segments", lambda s: s["tag"])
-    summary = (
-        segmented.select(
-            *STREAM_BLOCK, tags.alias("tags"), has_visible(F.element_at("segments", -1)["text"]).alias("visible")
-        )
-        .select(
-            *STREAM_BLOCK,
-            (F.size("tags") - 1).alias("n_tags"),
-            F.get("tags", F.lit(1)).alias("first_tag"),
-            F.when(F.size("tags") > 1, F.element_at("tags", -1)).alias("last_tag"),
-            F.size(
-                F.filter(
-                    F.transform(
-                        "tags",
-                        lambda t, k: (k > 1) & (t == CALL_CLOSE) & (F.get("tags", k - 1) == CALL_OPEN),
-                    ),
-                    lambda hit: hit,
-                )
-            ).alias("closed_inside"),
-            (F.array_contains("tags", CALL_OPEN) | F.array_contains("tags", CALL_CLOSE)).alias("call_tags"),
-            F.when(F.col("visible"), F.lit(True)).when(F.size("tags") > 1, F.lit(False)).alias("shown"),
-        )
-    )
-    ordered = Window.partitionBy("stream_id").orderBy("block")
-    earlier = ordered.rowsBetween(*_EARLIER)
-    return (
-        summary.withColumn("entry_tag", F.last("last_tag", ignorenulls=True).over(earlier))
-        .withColumn("entry_shown", F.last("shown", ignorenulls=True).over(earlier))
-        .withColumn("tags_before", F.coalesce(F.sum("n_tags").over(earlier), F.lit(0)))
-        .withColumn(
-            "closed",
-            F.col("closed_inside")
-            + F.coalesce((F.col("first_tag") == CALL_CLOSE) & (F.col("entry_tag") == CALL_OPEN), F.lit(False)).cast(
-                "int"
-            ),
-        )
-        .select(
-            *STREAM_BLOCK,
-            "entry_tag",
-            (F.col("entry_tag").isNotNull() & ~F.coalesce("entry_shown", F.lit(False))).alias("skip_space"),
-            "tags_before",
-            F.coalesce(F.sum("closed").over(earlier), F.lit(0)).alias("calls_before"),
-            F.sum("closed").over(Window.partitionBy("stream_id")).alias("calls_total"),
-            (F.coalesce("call_tags", F.lit(False)) | F.coalesce(F.col("entry_tag") == CALL_OPEN, F.lit(False))).alias(
-                "touches_calls"
-            ),
-        )
-    )
 
+def block_states(blocks: DataFrame, span_blocks: int = SPAN_BLOCKS) -> DataFrame:
+    """The state each block begins in, and whether it is the first and the last of its stream.
 
-def _pieces(blocks: DataFrame) -> DataFrame:
-    """One row per stretch of text inside a block, with its state and call number."""
-    in_block = Window.partitionBy(*STREAM_BLOCK).orderBy("k")
-    so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        _with_segments(blocks)
-        .select(
-            *STREAM_BLOCK,
-            "entry_tag",
-            "skip_space",
-            "tags_before",
-            "calls_before",
-            "calls_total",
-            F.inline_outer("segments"),
-        )
-        .withColumn("opened_by", F.when(F.col("k") == 0, F.col("entry_tag")).otherwise(F.col("tag")))
-        .withColumn(
-            "closes_call",
-            F.coalesce(
-                (F.col("k") > 0) & (F.col("tag") == CALL_CLOSE) & (F.lag("opened_by").over(in_block) == CALL_OPEN),
-                F.lit(False),
-            ),
-        )
-        .select(
-            *STREAM_BLOCK,
-            "k",
-            (F.col("tags_before") + F.col("k")).cast("long").alias("segment"),
-            F.when(F.col("opened_by") == THINK_OPEN, F.lit("reasoning"))
-            .when(F.col("opened_by") == CALL_OPEN, F.lit("call"))
-            .otherwise(F.lit("content"))
-            .alias("state"),
-            F.when((F.col("k") > 0) | F.col("skip_space"), lstrip(F.col("text")))
-            .otherwise(F.col("text"))
-            .alias("text"),
-            "closes_call",
-            "offset",
-            (F.col("calls_before") + F.sum(F.col("closes_call").cast("int")).over(so_far)).alias("call_no"),
-            "calls_total",
-        )
+    Maps of blocks are joined for each span of blocks; a pass over the spans of a stream gives the states they begin in, a pass over
+    the blocks of a span those of the blocks. No task sees all blocks of a stream, and what moves is a small row for each block.
+    """
+    stream = f"stream_id {blocks.schema['stream_id'].dataType.simpleString()}"
+
+    def maps(rows: Iterator[dict[str, Any]]) -> Iterator[tuple]:
+        for r in rows:
+            yield r["stream_id"], r["span"], r["block"], *_packed(moves("".join(t for t in r["texts"] if t)))
+
+    texts = F.transform("pieces", lambda p: p["content"])
+    keyed = blocks.select("stream_id", F.floor(F.col("block") / span_blocks).alias("span"), "block", texts.alias("texts"))
+    each = map_rows(keyed, maps, f"{stream}, span long, block long, {_MAP}")
+
+    def whole(key: tuple, rows: Iterator[dict[str, Any]]) -> Iterator[tuple]:
+        yield *key, *_packed(compose(map(_unpacked, rows)))
+
+    def begins(key: tuple, rows: Iterator[dict[str, Any]]) -> Iterator[tuple]:
+        state, row = State(), next(rows, None)
+        first = True
+        while row is not None:
+            following = next(rows, None)
+            yield *key, row["span"], *state, first, following is None
+            state, row, first = after(state, _unpacked(row)), following, False
+
+    def inside(key: tuple, rows: Iterator[dict[str, Any]]) -> Iterator[tuple]:
+        start, row = next(rows), next(rows, None)
+        state, first = State(*(start[n] for n in State._fields)), start["is_first"]
+        while row is not None:
+            following = next(rows, None)
+            yield key[0], row["block"], *state, first, start["is_last"] and following is None
+            state, row, first = after(state, _unpacked(row)), following, False
+
+    ends = "is_first boolean, is_last boolean"
+    spans = fold_in_order(each, ["stream_id", "span"], ["block"], whole, f"{stream}, span long, {_MAP}")
+    starts = fold_in_order(spans, ["stream_id"], ["span"], begins, f"{stream}, span long, {_STATE}, {ends}")
+    # The row without a block comes first and holds the span's state.
+    both = starts.unionByName(each, allowMissingColumns=True)
+    return fold_in_order(both, ["stream_id", "span"], ["block"], inside, f"{stream}, block long, {_STATE}, {ends}")
+
+
+def _tellers(by_chunk: bool):
+    def piece_rows(row: dict[str, Any]) -> Iterator[tuple]:
+        state, pieces = State(*(row[n] for n in State._fields)), row["pieces"]
+        said, _ = tell(state, [p["content"] or "" for p in pieces], row["is_last"])
+        own: list[list[dict[str, Any]]] = [[] for _ in range(len(pieces) + 1)]
+        for s in said:
+            own[s.chunk].append({"at": s.at, "segment": s.segment, "kind": s.kind, "text": s.text, "call": s.call})
+        for p, outs in zip(pieces, own):
+            if outs or p["content"] is None or p["finish_reason"] is not None:
+                yield row["stream_id"], row["block"], p["seq"], p["content"], p["role"], p["finish_reason"], p["has_delta"], p["rest"], p["delta_rest"], outs
+        if own[-1]:
+            last = pieces[-1]
+            yield row["stream_id"], row["block"], last["seq"] + 1, "", None, None, True, last["rest"], None, own[-1]
+
+    def block_rows(row: dict[str, Any]) -> Iterator[tuple]:
+        state, texts = State(*(row[n] for n in State._fields)), [p["content"] or "" for p in row["pieces"]]
+        said, _ = tell(state, texts, row["is_last"], by_chunk=False)
+        behind = after(state, moves("".join(texts)))
+        open_ends = [*([] if row["is_first"] else [state.segment]), *([] if row["is_last"] else [behind.segment])]
+        outs = [{"at": s.at, "segment": s.segment, "kind": s.kind, "text": s.text, "call": s.call} for s in said]
+        flushed = behind.held if row["is_last"] and behind.held and behind.open_tag != CALL_OPEN else None
+        kind = "reasoning" if behind.open_tag == THINK_OPEN else "content"
+        yield row["stream_id"], row["block"], row["pieces"][0]["seq"], outs, open_ends, flushed, kind
+
+    def told(rows: Iterator[dict[str, Any]]) -> Iterator[tuple]:
+        for row in rows:
+            yield from piece_rows(row) if by_chunk else block_rows(row)
+
+    return told
+
+
+def told(chunks: DataFrame, block_rows: int = BLOCK_ROWS, by_chunk: bool = True) -> DataFrame:
+    """What streams say, calls not yet judged, written once: a row for each chunk that says or hands on something, or for each block."""
+    blocks = text_blocks(chunks, block_rows)
+    located = blocks.join(block_states(blocks), STREAM_BLOCK)
+    own = (
+        f"seq long, content string, role string, finish_reason string, has_delta boolean, rest string, delta_rest string, said {_SAID}"
+        if by_chunk
+        else f"seq long, said {_SAID}, open_ends array<long>, flushed string, flushed_kind string"
     )
+    stream = f"stream_id {chunks.schema['stream_id'].dataType.simpleString()}"
+    return written(map_rows(located, _tellers(by_chunk), f"{stream}, block long, {own}"), "told")
 
 
-def _located_blocks(chunks: DataFrame, block_rows: int) -> DataFrame:
-    blocks = text_blocks(chunks, block_rows)
-    carried = blocks.join(_held_tags(blocks).drop("held"), STREAM_BLOCK)
-    return carried.join(_block_states(_with_segments(carried)), STREAM_BLOCK)
-
-
-def _calls(located: DataFrame, block_rows: int) -> DataFrame:
-    """One row per closed call: where it closed, its text, and what it parsed to."""
-    pieces = _pieces(located.where("touches_calls"))
-    parts = F.array(
-        F.when(
-            F.col("closes_call"),
-            F.struct(
-                (F.col("call_no") - 1).cast("long").alias("call_no"),
-                F.lit("").alias("text"),
-                F.struct("block", "k", "segment", "offset").alias("closed_at"),
-            ),
-        ),
-        F.when(
-            # A call that never closes is lost, so its text need not meet anywhere.
-            (F.col("state") == "call") & (F.length("text") > 0) & (F.col("call_no") < F.col("calls_total")),
-            F.struct(
-                F.col("call_no").cast("long").alias("call_no"),
-                F.col("text"),
-                F.lit(None).cast("struct<block:bigint,k:int,segment:bigint,offset:int>").alias("closed_at"),
-            ),
-        ),
+def _of_kind(said: str, *kinds: str) -> Column:
+    return F.exists(said, lambda o: o["kind"].isin(*kinds))
+
+
+def _parts(told_: DataFrame) -> DataFrame:
+    """Parts of calls that go beyond a block, and where such calls close."""
+    rows = told_.where(_of_kind("said", "part", "close")).select(*STREAM_BLOCK, F.explode("said").alias("o")).select(*STREAM_BLOCK, "o.*")
+    return rows.where("kind in ('part', 'close')")
+
+
+def call_marks(told_: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """For each block of a stream at or behind its first valid call, and each that closes an earlier block's call: the text of that call,
+    the valid calls (number and chunk) of the block, and how many there are in earlier blocks."""
+    parts = _parts(told_)
+    closes = parts.where("kind = 'close'").select("stream_id", "call", F.col("block").alias("closed_in"))
+    # A call that never closes is lost, so its text need not meet anywhere.
+    late = (
+        parts.where("kind = 'part'")
+        .join(closes, ["stream_id", "call"], "right")
+        .groupBy("stream_id", "call", "closed_in")
+        .agg(F.sort_array(F.collect_list(F.struct("block", "at", "text"))).alias("texts"))
+        .select("stream_id", F.col("closed_in").alias("block"), strip(F.array_join(F.transform("texts", lambda t: t["text"]), "")).alias("late_body"))
     )
-    closed = (
-        pieces.select("stream_id", "block", "k", F.explode(F.array_compact(parts)).alias("part"))
-        .select("stream_id", "block", "k", "part.*")
-        .groupBy("stream_id", "call_no")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("block", "k", "text"))).alias("texts"),
-            F.max("closed_at").alias("closed_at"),
-        )
-        .withColumn("body", strip(F.array_join(F.transform("texts", lambda t: t["text"]), "")))
-        .select("stream_id", "call_no", "closed_at.*", "body", call_record(F.col("body")).alias("call"))
-        .select("stream_id", "call_no", "block", "k", "segment", "offset", "body", "call.*")
+    calls = told_.where(_of_kind("said", "call", "close")).select(*STREAM_BLOCK, "seq", F.explode("said").alias("o")).where("o.kind in ('call', 'close')")
+    judged = calls.join(late, STREAM_BLOCK, "left").withColumn("body", F.when(F.col("o.kind") == "close", F.col("late_body")).otherwise(F.col("o.text")))
+    ok = call_record(F.col("body"))["ok"]
+    # A row for each block, so that the count of valid calls goes on over blocks without any.
+    valid = judged.groupBy(*STREAM_BLOCK).agg(
+        F.max("late_body").alias("late_body"), F.sort_array(F.collect_list(F.when(ok, F.struct(F.col("o.call").alias("call"), "seq")))).alias("valid")
     )
-    return running_sums(closed, ["stream_id"], "call_no", {"valid": F.col("ok").cast("long")}, block_rows)
+    blocks = told_.select(*STREAM_BLOCK).distinct().join(valid, STREAM_BLOCK, "left")
+    blocks = blocks.withColumn("valid", F.coalesce("valid", F.array().cast("array<struct<call:bigint,seq:bigint>>")))
+    summed = running_sums(blocks, ["stream_id"], "block", {"valid_until": F.size("valid").cast("long")}, block_rows)
+    marks = summed.select(*STREAM_BLOCK, "late_body", "valid", (F.col("valid_until") - F.size("valid")).alias("valid_before"))
+    return written(marks.where("valid_before > 0 or size(valid) > 0 or late_body is not null"), "marks")
+
+
+def _judged(said: Column) -> Column:
+    """What is said with calls judged: kind, text, call_index, name, arguments; a call that is no JSON is content, one of nothing is left out."""
 
+    def judge(o: Column) -> Column:
+        body = F.when(o["kind"] == "close", F.col("late_body")).otherwise(o["text"])
+        record = F.when(o["kind"].isin("call", "close"), call_record(body))
+        number = F.array_position(F.transform("valid", lambda v: v["call"]), o["call"])
 
-def _call_rows(calls: DataFrame) -> DataFrame:
-    kind = F.when(F.col("ok"), F.lit("tool_call")).when(F.col("is_json"), F.lit("error")).otherwise(F.lit("content"))
-    return calls.select(
-        *STREAM_BLOCK,
-        (F.col("k") * 2).alias("part"),
-        "segment",
-        kind.alias("kind"),
-        F.when(~F.col("ok"), F.col("body")).alias("text"),
-        F.when(F.col("ok"), F.col("valid") - 1).alias("call_index"),
-        F.when(F.col("ok"), stable_id("call", F.col("stream_id"), F.col("valid") - 1)).alias("call_id"),
-        "name",
-        "arguments",
-    ).where("kind = 'tool_call' or length(text) > 0")
+        def row(r: Column) -> Column:
+            return F.struct(
+                o["segment"].alias("segment"),
+                F.when(r["ok"], F.lit("tool_call")).when(r["is_json"], F.lit("error")).when(r.isNotNull(), F.lit("content")).otherwise(o["kind"]).alias("kind"),
+                F.when(~F.coalesce(r["ok"], F.lit(False)), body).alias("text"),
+                r.isNotNull().alias("is_call"),
+                F.when(r["ok"], F.col("valid_before") + number - 1).alias("call_index"),
+                r["name"].alias("name"),
+                r["arguments"].alias("arguments"),
+            )
+
+        return bind(record, row)
+
+    spoken = F.filter(said, lambda o: o["kind"] != "part")
+    return F.filter(F.transform(spoken, judge), lambda o: (o["kind"] == "tool_call") | (F.length(o["text"]) > 0))
+
+
+def _call_id() -> Column:
+    return F.when(F.col("call_index").isNotNull(), stable_id("call", F.col("stream_id"), F.col("call_index")))
 
 
 def replay_streams(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Everything the streams say, in order of (block, part) within each stream.
+    """Everything the streams say, in order of (segment, part) within each stream.
 
     ``chunks`` has ``stream_id, seq, content``; ``seq`` counts up from 0.
     ``kind`` is content, reasoning, tool_call, or error for a call that is JSON
-    but names no function. A call that is no JSON comes back as content. A
-    stretch of text that crosses blocks comes in one row per block.
+    but names no function. A call that is no JSON comes back as content. Each
+    stretch between tags is one row, wherever blocks end.
     """
-    located = _located_blocks(chunks, block_rows)
-    spoken = (
-        _pieces(located)
-        .where("state <> 'call' and length(text) > 0")
-        .select(
-            *STREAM_BLOCK,
-            (F.col("k") * 2 + 1).alias("part"),
-            "segment",
-            F.col("state").alias("kind"),
-            "text",
-            F.lit(None).cast("long").alias("call_index"),
-            F.lit(None).cast("string").alias("call_id"),
-            F.lit(None).cast("string").alias("name"),
-            F.lit(None).cast("string").alias("arguments"),
-        )
-    )
-    return spoken.unionByName(_call_rows(_calls(located, block_rows)))
+    rows = told(chunks, block_rows, by_chunk=False)
+    said = rows.join(call_marks(rows, block_rows), STREAM_BLOCK, "left").select(*STREAM_BLOCK, "open_ends", F.explode(_judged(F.col("said"))).alias("o"))
+    said = said.select(*STREAM_BLOCK, (~F.col("o.is_call") & F.array_contains("open_ends", F.col("o.segment"))).alias("goes_on"), "o.*")
+    columns = ["stream_id", "segment", F.when(F.col("is_call"), 0).otherwise(1).alias("part"), "kind", "text", "call_index", _call_id().alias("call_id"), "name", "arguments"]
+    whole = said.where("not goes_on").select(*columns)
+    # Only stretches that go beyond a block have to meet.
+    met = said.where("goes_on").groupBy("stream_id", "segment", "kind").agg(F.sort_array(F.collect_list(F.struct("block", "text"))).alias("texts"))
+    met = met.select("stream_id", "segment", F.lit(1).alias("part"), "kind", F.array_join(F.transform("texts", lambda t: t["text"]), "").alias("text"))
+    return whole.unionByName(met, allowMissingColumns=True)
 
 
 def stream_calls(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The tool calls of each stream with their ordinal, and the bodies that were none."""
-    return _call_rows(_calls(_located_blocks(chunks, block_rows), block_rows)).drop("part")
+    rows = told(chunks, block_rows, by_chunk=False).where(_of_kind("said", "part", "close", "call"))
+    said = rows.join(call_marks(rows, block_rows), STREAM_BLOCK, "left").select("stream_id", F.explode(_judged(F.col("said"))).alias("o"))
+    return said.select("stream_id", "o.*").where("is_call").select("stream_id", "segment", "kind", "text", "call_index", _call_id().alias("call_id"), "name", "arguments")
 
 
 def held_tails(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The started tag each stream ends on, given out when the stream ends: as content, or as reasoning inside
     a think block. Inside an open call it belongs to the call, which is lost."""
-    blocks = text_blocks(chunks, block_rows)
-    segmented = _with_segments(blocks.join(_held_tags(blocks), STREAM_BLOCK))
-    ends = segmented.where("is_last and length(held) > 0").select(
-        *STREAM_BLOCK, "held", F.get(F.array_compact(F.reverse(F.transform("segments", lambda s: s["tag"]))), F.lit(0)).alias("last_tag")
-    )
-    opened = F.coalesce("last_tag", "entry_tag")
-    return (
-        ends.join(_block_states(segmented).select(*STREAM_BLOCK, "entry_tag"), STREAM_BLOCK)
-        .where(~opened.eqNullSafe(CALL_OPEN))
-        .select(
-            "stream_id",
-            F.col("held").alias("flushed"),
-            F.when(opened == THINK_OPEN, F.lit("reasoning")).otherwise(F.lit("content")).alias("kind"),
-        )
-    )
+    ends = told(chunks, block_rows, by_chunk=False).where("flushed is not null")
+    return ends.select("stream_id", "flushed", F.col("flushed_kind").alias("kind"))
 
 
 def lost_tails(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Length of the text lost in a call that never closed, per stream that has one."""
-    return (
-        _pieces(_located_blocks(chunks, block_rows).where("touches_calls"))
-        .where("state = 'call' and length(text) > 0 and call_no >= calls_total")
-        .groupBy("stream_id")
-        .agg(F.sum(F.length("text")).alias("dropped_tail"))
-    )
-
+    parts = _parts(told(chunks, block_rows, by_chunk=False)).select("stream_id", "call", "kind", F.length("text").alias("chars"))
+    closes = parts.where("kind = 'close'").select("stream_id", "call")
+    lost = parts.where("kind = 'part'").join(closes, ["stream_id", "call"], "left_anti")
+    return lost.groupBy("stream_id").agg(F.sum("chars").alias("dropped_tail"))
 
-def finish_reasons(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Finish reason of each finishing chunk, ``tool_calls`` once the stream made a call."""
-    first = (
-        _calls(_located_blocks(chunks, block_rows), block_rows)
-        .where("ok")
-        .groupBy("stream_id")
-        .agg(F.min(F.struct("block", "offset")).alias("at"))
-        .select("stream_id", "at.*")
-    )
-    # The chunk is looked up in the one block per stream that holds its first call.
-    first_call = (
-        text_blocks(chunks, block_rows)
-        .join(first, STREAM_BLOCK)
-        .select("stream_id", _seq_at(F.col("pieces"), F.col("offset")).alias("first_call_seq"))
-    )
-    # A chunk without a delta keeps the reason it came with.
-    has_delta = F.coalesce("has_delta", F.lit(True)) if "has_delta" in chunks.columns else F.lit(True)
-    return (
-        chunks.where(F.length("finish_reason") > 0)
-        .select("stream_id", "seq", "finish_reason", has_delta.alias("has_delta"))
-        .join(first_call, "stream_id", "left")
-        .select(
-            "stream_id",
-            "seq",
-            F.when((F.col("first_call_seq") <= F.col("seq")) & F.col("has_delta"), F.lit("tool_calls"))
-            .otherwise(F.col("finish_reason"))
-            .alias("finish_reason"),
-        )
-    )
 
+def _reason() -> Column:
+    """The finish reason of a chunk, ``tool_calls`` once its stream made a call; a chunk without a delta keeps what it came with."""
+    called = (F.col("valid_before") > 0) | F.exists("valid", lambda v: v["seq"] <= F.col("seq"))
+    changed = F.coalesce(called, F.lit(False)) & (F.col("has_delta") | F.col("content").isNotNull())
+    return F.when(F.col("finish_reason").isNotNull() & changed, F.lit("tool_calls")).otherwise(F.col("finish_reason"))
 
-def _spoken(located: DataFrame) -> DataFrame:
-    """(stream_id, seq, block, at, kind, text): spoken text by the chunk that holds the last character of each token.
 
-    A new row starts at each ``<`` token and at each chunk end. ``at`` is the place
-    in the block; ``seq`` is null for a started tag that the stream ends on.
-    """
-    scan, partial = re.compile(SCAN.replace("\\z", "\\Z")), frozenset(PARTIAL_TAGS)
-    tags, call_open, think_open = frozenset(TAGS), CALL_OPEN, THINK_OPEN
-
-    def rows_of(pieces: list, text: str, carry: str, is_last: bool, opened: str | None, skip: bool) -> Iterator[tuple]:
-        ends = list(accumulate(len(p["content"]) for p in pieces))
-        tokens = scan.findall(carry + text)
-        held = tokens.pop() if tokens and tokens[-1] in partial else ""
-        place = -len(carry)
-        row: tuple | None = None
-        for token in [*tokens, *([held] if held and is_last else [])]:
-            start, place = place, place + len(token)
-            opens = token[0] == "<"
-            if opens and row:
-                yield row
-                row = None
-            if token in tags:
-                opened, skip = token, True
-                continue
-            while start < place:
-                k = bisect_left(ends, place if opens else start + 1)
-                stop = place if opens else min(place, ends[k])
-                part = token[len(token) - (place - start) : len(token) - (place - stop)]
-                at, start = start, stop
-                part = part.lstrip() if skip else part
-                if part and opened != call_open:
-                    seq = None if place == len(text) and held and token is held else pieces[k]["seq"]
-                    kind = "reasoning" if opened == think_open else "content"
-                    if row and row[0] == seq:
-                        row = (*row[:3], row[3] + part)
-                    else:
-                        if row:
-                            yield row
-                        row = (seq, at, kind, part)
-                skip = skip and not part
-        if row:
-            yield row
-
-    def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stream, block, *rest = (c.to_pylist() for c in batch.columns)
-            made = [(s, b, *row) for s, b, *block_of_text in zip(stream, block, *rest) for row in rows_of(*block_of_text)]
-            columns = list(zip(*made)) or [[]] * 6
-            kinds = (batch.schema.types[0], pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["stream_id", "block", "seq", "at", "kind", "text"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    blocks = located.select(*STREAM_BLOCK, "pieces", "text", "carry", "is_last", "entry_tag", "skip_space")
-    kind = located.schema["stream_id"].dataType.simpleString()
-    return blocks.mapInArrow(speak, f"stream_id {kind}, block long, seq long, at long, kind string, text string")
+def finish_reasons(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Finish reason of each finishing chunk, ``tool_calls`` once the stream made a call."""
+    rows = told(chunks, block_rows)
+    ends = rows.where("finish_reason is not null").join(call_marks(rows, block_rows), STREAM_BLOCK, "left")
+    return ends.select("stream_id", "seq", _reason().alias("finish_reason"))
 
 
 def output_chunks(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """What each chunk of a recorded stream turns into: 0 to n rows (stream_id, seq, part, kind, text, role,
     finish_reason, call_index, name, arguments), the same as the live rewriting gives.
 
-    ``chunks``: stream_id, seq, role, content, finish_reason. Blocks only deal out the
-    work; the rows do not depend on their size. A chunk without content, and a
+    ``chunks``: stream_id, seq, role, content, finish_reason, and if given has_delta, rest and delta_rest (variants, see
+    ``sources.chunks.flat_chunks``). A chunk without content, and a
     finishing one that says nothing, is handed on (kind ``passthrough``). What a
-    stream still holds at its end comes behind its last chunk.
+    stream still holds at its end comes behind its last chunk. Where chunks carry ``rest``, all that comes from a chunk carries it on, and
+    what is handed on carries ``delta_rest`` too.
     """
-    located = _located_blocks(chunks, block_rows)
-    calls = _calls(located, block_rows)
-    in_chunk = calls.join(text_blocks(chunks, block_rows).select(*STREAM_BLOCK, "pieces"), STREAM_BLOCK)
-    kind = F.when(F.col("ok"), F.lit("tool_call")).when(F.col("is_json"), F.lit("error")).otherwise(F.lit("content"))
-    called = in_chunk.select(
-        "stream_id", "block", _seq_at(F.col("pieces"), F.col("offset")).alias("seq"), F.col("offset").cast("long").alias("at"),
-        kind.alias("kind"), F.when(~F.col("ok"), F.col("body")).alias("text"),
-        F.when(F.col("ok"), F.col("valid") - 1).alias("call_index"), "name", "arguments",
-    ).where("kind = 'tool_call' or length(text) > 0")
-    said = _spoken(located).unionByName(called, allowMissingColumns=True)
-    has_delta = F.coalesce("has_delta", F.lit(True)) if "has_delta" in chunks.columns else F.lit(True)
-    given = (
-        chunks.where(F.col("stream_id").isNotNull() & F.col("seq").isNotNull())
-        .select("stream_id", "seq", "role", "content", F.nullif("finish_reason", F.lit("")).alias("finish_reason"), has_delta.alias("has_delta"))
-        .groupBy("stream_id", "seq")
-        .agg(F.min(F.struct("content", "role", "finish_reason", "has_delta")).alias("c"))
-        .select("stream_id", "seq", "c.*")
-    )
-    first_call = called.where("kind = 'tool_call'").groupBy("stream_id").agg(F.min("seq").alias("first_call_seq"))
-    rows = given.join(said.where("seq is not null"), ["stream_id", "seq"], "left").join(first_call, "stream_id", "left")
-    rows = rows.where("kind is not null or content is null or finish_reason is not null")
-    of_chunk = Window.partitionBy("stream_id", "seq")
-    after_call = (F.col("first_call_seq") <= F.col("seq")) & (F.col("has_delta") | F.col("content").isNotNull())
-    reason = F.when(F.col("finish_reason").isNotNull() & after_call, F.lit("tool_calls")).otherwise(F.col("finish_reason"))
-    rows = rows.withColumn("part", F.row_number().over(of_chunk.orderBy("block", "at")) - 1).withColumn(
-        "finish_reason", F.when(F.col("part") == F.count("*").over(of_chunk) - 1, reason)
-    )
-    last = given.groupBy("stream_id").agg(F.max("seq").alias("last_seq"))
-    flushed = said.where("seq is null").join(last, "stream_id").select("stream_id", (F.col("last_seq") + 1).alias("seq"), F.lit(0).alias("part"), "kind", "text")
-    told = rows.select(
-        "stream_id", "seq", "part", F.coalesce("kind", F.lit("passthrough")).alias("kind"),
-        F.when(F.col("kind").isNull(), F.col("content")).otherwise(F.col("text")).alias("text"),
-        F.when(~F.col("kind").eqNullSafe("tool_call"), F.col("role")).alias("role"), "finish_reason", "call_index", "name", "arguments",
+    rows = told(chunks, block_rows)
+    judged = rows.join(call_marks(rows, block_rows), STREAM_BLOCK, "left").withColumns({"outs": _judged(F.col("said")), "reason": _reason()})
+    handed_on = F.array(F.struct(F.lit(None).alias("segment"), F.lit("passthrough").alias("kind"), F.col("content").alias("text")))
+    handed_on = handed_on.cast("array<struct<segment:bigint,kind:string,text:string>>")
+    plain = F.transform("outs", lambda o: F.struct(o["segment"].alias("segment"), o["kind"].alias("kind"), o["text"].alias("text"), o["call_index"].alias("call_index"), o["name"].alias("name"), o["arguments"].alias("arguments")))
+    passed = F.transform(handed_on, lambda o: F.struct(o["segment"], o["kind"], o["text"], F.lit(None).cast("long").alias("call_index"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments")))
+    hands_on = F.col("content").isNull() | F.col("finish_reason").isNotNull()
+    outs = judged.withColumn("outs", F.when(F.size("outs") > 0, plain).when(hands_on, passed))
+    each = outs.select("*", F.size("outs").alias("n"), F.posexplode("outs").alias("part", "o"))
+    handed = [F.try_parse_json("rest").alias("rest")] if "rest" in chunks.columns else []
+    if "delta_rest" in chunks.columns:
+        handed.append(F.try_parse_json(F.when(F.col("o.kind") == "passthrough", F.col("delta_rest"))).alias("delta_rest"))
+    return each.select(
+        "stream_id", "seq", "part", F.col("o.kind").alias("kind"), F.col("o.text").alias("text"), F.when(F.col("o.kind") != "tool_call", F.col("role")).alias("role"),
+        F.when(F.col("part") == F.col("n") - 1, F.col("reason")).alias("finish_reason"), "o.call_index", "o.name", "o.arguments", *handed,
     )
-    return told.unionByName(flushed, allowMissingColumns=True)
 
 
 def passthrough_chunks(chunks: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {REPLAY_SQL} SELECT stream_id, segment::BIGINT AS segment, kind, text, call_index::BIGINT AS call_index, name, arguments FROM replayed""",
 )
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replay_streams(chunk_streams(spark, sf_dir)).drop("block", "part", "call_id")
+    return replay.replay_streams(chunk_streams(spark, sf_dir)).drop("part", "call_id")
 
 
 @query("stream_replay_totals", f"WITH {REPLAY_SQL} {_TOTALS}")

@@ -20,7 +20,7 @@ def test_hot_stream_spreads_over_tasks(spark):
     out = replay.replay_streams(chunks, 512).cache()
     assert out.where("kind = 'tool_call'").count() == 300
     assert out.where("kind = 'tool_call'").agg(F.max("call_index")).first()[0] == 299
-    assert out.select("block").distinct().count() == 59
+    assert replay.told(chunks, 512).select("block").distinct().count() == 59
     totals = replay.stream_totals(out).first()
     # Per hundred chunks: 38 pieces in reasoning, the other 57 in content, less the blank after each tag.
     assert totals.reasoning_chars == 300 * 38 * 3 and totals.content_chars == 300 * 57 * 3
