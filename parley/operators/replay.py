@@ -62,9 +62,14 @@ def _given(chunks: DataFrame) -> list[Column]:
 
 def text_blocks(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(stream_id, block, pieces): up to ``block_rows`` chunks in order; a chunk that was sent twice counts once."""
+    # Stated, as what follows is work on every chunk: merging small partitions would leave it to few tasks.
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         chunks.where(F.col("stream_id").isNotNull() & F.col("seq").isNotNull())
         .select("stream_id", block_of("seq", block_rows).cast("long").alias("block"), F.struct(*_given(chunks)).alias("piece"))
+        # Stated here so that every use of the blocks has the same filters and shares one shuffle.
+        .where("block is not null")
+        .repartition(parts, *STREAM_BLOCK)
         .groupBy(*STREAM_BLOCK)
         .agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
         .withColumn("pieces", F.filter("pieces", lambda p, i: (i == 0) | (p["seq"] != F.get("pieces", i - 1)["seq"])))
@@ -92,10 +97,10 @@ def block_states(blocks: DataFrame, span_blocks: int = SPAN_BLOCKS) -> DataFrame
 
     def maps(rows: Iterator[dict[str, Any]]) -> Iterator[tuple]:
         for r in rows:
-            yield r["stream_id"], r["span"], r["block"], *_packed(moves("".join(t for t in r["texts"] if t)))
+            yield r["stream_id"], r["span"], r["block"], *_packed(moves(r["text"]))
 
-    texts = F.transform("pieces", lambda p: p["content"])
-    keyed = blocks.select("stream_id", F.floor(F.col("block") / span_blocks).alias("span"), "block", texts.alias("texts"))
+    text = F.array_join(F.transform("pieces", lambda p: p["content"]), "")
+    keyed = blocks.select("stream_id", F.floor(F.col("block") / span_blocks).alias("span"), "block", text.alias("text"))
     each = map_rows(keyed, maps, f"{stream}, span long, block long, {_MAP}")
 
     def whole(key: tuple, rows: Iterator[dict[str, Any]]) -> Iterator[tuple]:
@@ -159,7 +164,8 @@ def _tellers(by_chunk: bool):
 def told(chunks: DataFrame, block_rows: int = BLOCK_ROWS, by_chunk: bool = True) -> DataFrame:
     """What streams say, calls not yet judged, written once: a row for each chunk that says or hands on something, or for each block."""
     blocks = text_blocks(chunks, block_rows)
-    located = blocks.join(block_states(blocks), STREAM_BLOCK)
+    # Texts stay where they are; the small side comes to them.
+    located = blocks.hint("merge").join(block_states(blocks), STREAM_BLOCK)
     own = (
         f"seq long, content string, role string, finish_reason string, has_delta boolean, rest string, delta_rest string, said {_SAID}"
         if by_chunk
@@ -302,19 +308,17 @@ def output_chunks(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """
     rows = told(chunks, block_rows)
     judged = rows.join(call_marks(rows, block_rows), STREAM_BLOCK, "left").withColumns({"outs": _judged(F.col("said")), "reason": _reason()})
-    handed_on = F.array(F.struct(F.lit(None).alias("segment"), F.lit("passthrough").alias("kind"), F.col("content").alias("text")))
-    handed_on = handed_on.cast("array<struct<segment:bigint,kind:string,text:string>>")
-    plain = F.transform("outs", lambda o: F.struct(o["segment"].alias("segment"), o["kind"].alias("kind"), o["text"].alias("text"), o["call_index"].alias("call_index"), o["name"].alias("name"), o["arguments"].alias("arguments")))
-    passed = F.transform(handed_on, lambda o: F.struct(o["segment"], o["kind"], o["text"], F.lit(None).cast("long").alias("call_index"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments")))
-    hands_on = F.col("content").isNull() | F.col("finish_reason").isNotNull()
-    outs = judged.withColumn("outs", F.when(F.size("outs") > 0, plain).when(hands_on, passed))
-    each = outs.select("*", F.size("outs").alias("n"), F.posexplode("outs").alias("part", "o"))
+    each = judged.select("*", F.posexplode_outer("outs").alias("part", "o")).withColumn("said_any", F.col("o").isNotNull())
+    each = each.where(F.col("said_any") | F.col("content").isNull() | F.col("finish_reason").isNotNull())
     handed = [F.try_parse_json("rest").alias("rest")] if "rest" in chunks.columns else []
     if "delta_rest" in chunks.columns:
-        handed.append(F.try_parse_json(F.when(F.col("o.kind") == "passthrough", F.col("delta_rest"))).alias("delta_rest"))
+        handed.append(F.try_parse_json(F.when(~F.col("said_any"), F.col("delta_rest"))).alias("delta_rest"))
+    is_last = F.coalesce(F.col("part") == F.size("outs") - 1, F.lit(True))
     return each.select(
-        "stream_id", "seq", "part", F.col("o.kind").alias("kind"), F.col("o.text").alias("text"), F.when(F.col("o.kind") != "tool_call", F.col("role")).alias("role"),
-        F.when(F.col("part") == F.col("n") - 1, F.col("reason")).alias("finish_reason"), "o.call_index", "o.name", "o.arguments", *handed,
+        "stream_id", "seq", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("o.kind", F.lit("passthrough")).alias("kind"),
+        F.when(F.col("said_any"), F.col("o.text")).otherwise(F.col("content")).alias("text"),
+        F.when(~F.col("o.kind").eqNullSafe("tool_call"), F.col("role")).alias("role"),
+        F.when(is_last, F.col("reason")).alias("finish_reason"), "o.call_index", "o.name", "o.arguments", *handed,
     )
 
 
