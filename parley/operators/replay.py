@@ -45,7 +45,7 @@ def unusable_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("stream_id").isNull() | F.col("seq").isNull())
 
 
-def _given(chunks: DataFrame) -> list[Column]:
+def chunk_fields(chunks: DataFrame) -> list[Column]:
     """The fields of a chunk, with what a table lacks; what is only handed on goes as JSON text."""
     types = {f.name: f.dataType.typeName() for f in chunks.schema}
 
@@ -66,7 +66,7 @@ def text_blocks(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         chunks.where(F.col("stream_id").isNotNull() & F.col("seq").isNotNull())
-        .select("stream_id", block_of("seq", block_rows).cast("long").alias("block"), F.struct(*_given(chunks)).alias("piece"))
+        .select("stream_id", block_of("seq", block_rows).cast("long").alias("block"), F.struct(*chunk_fields(chunks)).alias("piece"))
         # Stated here so that every use of the blocks has the same filters and shares one shuffle.
         .where("block is not null")
         .repartition(parts, *STREAM_BLOCK)

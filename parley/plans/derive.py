@@ -92,6 +92,21 @@ def chunk_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stream_id, seq, line): the chunks as whole JSON records, with fields that rewriting does not read."""
+    first = F.struct(
+        F.lit(0).alias("index"),
+        F.struct("role", "content", F.when(F.col("seq") == 0, F.expr("array(named_struct('index', 0, 'name', 'native'))")).alias("tool_calls")).alias("delta"),
+        F.when(F.col("seq") % 5 == 1, F.struct(F.array("seq").alias("tokens"))).alias("logprobs"),
+        "finish_reason",
+    )
+    further = F.struct(F.lit(1).alias("index"), F.struct(F.concat(F.lit("alt "), F.col("seq")).alias("content")).alias("delta"))
+    parts = F.array_compact(F.array(F.to_json(first), F.when(F.col("seq") % 7 == 3, F.to_json(further))))
+    head = F.regexp_replace(F.to_json(F.struct(F.col("stream_id").alias("id"), "stream_id", "seq", (F.col("seq") + 1_700_000_000).alias("created"))), r"\}$", "")
+    line = F.concat(head, F.lit(',"choices":['), F.array_join(parts, ","), F.lit("]}"))
+    return chunk_streams(spark, sf_dir).select("stream_id", "seq", line.alias("line"))
+
+
 # Spans, one per event.
 _SPAN_NAME = """CASE WHEN event_id % 97 = 0 THEN 'http.request' WHEN event_id % 101 = 0 THEN 'slm.other'
  WHEN event_type = 'purchase' THEN 'slm.chat_completion.non_streaming'

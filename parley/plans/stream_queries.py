@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import tags as T
 from parley.operators import contracts, replay, usage
 from parley.operators.requests import conversation_attributes
 from parley.plans.completion_queries import id_sql
-from parley.plans.derive import CHUNKS_SQL, STRICT_JSON, WS, chunk_streams, table
+from parley.plans.derive import CHUNKS_SQL, STRICT_JSON, WS, chunk_lines, chunk_streams, table
 from parley.plans.registry import query
 from parley.session import shared_folder
 from parley.sources import chunks as W
@@ -315,6 +315,49 @@ def event_stream_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Output rows with what rewriting does not read: it comes from the chunk, for what an ended stream still held from the last one.
+WHOLE_SQL = f"""WITH {OUTPUT_SQL} SELECT o.stream_id, o.seq, part, kind, o.text, o.role, o.finish_reason, call_index, o.name, 1700000000 + from_seq AS created,
+ CASE WHEN from_seq % 5 = 1 THEN concat('{{"tokens":[', from_seq, ']}}') END AS logprobs, CASE WHEN from_seq % 7 = 3 THEN concat('alt ', from_seq) END AS further,
+ CASE WHEN kind = 'passthrough' AND from_seq = 0 THEN 'native' END AS native_call
+ FROM (SELECT o.*, least(o.seq, z.last_seq) AS from_seq FROM outputs o JOIN sized z ON z.stream_id = o.stream_id) o"""
+
+
+def _whole(outputs: DataFrame) -> list:
+    return [
+        F.try_variant_get("rest", "$.created", "bigint").alias("created"), F.to_json(F.try_variant_get("rest", "$.choice.logprobs", "variant")).alias("logprobs"),
+        F.try_variant_get("rest", "$.more[0].delta.content", "string").alias("further"), F.try_variant_get("delta_rest", "$.tool_calls[0].name", "string").alias("native_call"),
+    ]
+
+
+@query("replay_whole_deltas", WHOLE_SQL)
+def replay_whole_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = chunk_lines(spark, sf_dir).select("stream_id", "seq", F.parse_json("line").alias("record"))
+    out = replay.output_chunks(W.flat_chunks(records).drop("done"))
+    return out.select("stream_id", "seq", "part", "kind", "text", "role", "finish_reason", "call_index", "name", *_whole(out))
+
+
+@query("live_chunk_folder", WHOLE_SQL)
+def live_chunk_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records dealt over files with no regard to streams, taken in several micro-batches; the finishing chunk ends its stream."""
+    folder = shared_folder(spark, "live-folder")
+    lines = chunk_lines(spark, sf_dir).repartition(12, F.xxhash64("stream_id", "seq"))
+    lines.select(F.col("line").alias("value")).write.text(f"{folder}/in")
+    flat = W.flat_chunks(W.chunk_records(spark, f"{folder}/in", live=True, files_per_batch=5))
+    out = _with_part(_finish_live(spark, flat, folder))
+    text = F.when(F.col("kind") == "reasoning", F.col("reasoning_content")).otherwise(F.col("content"))
+    return out.select("stream_id", "seq", "part", "kind", text.alias("text"), "role", "finish_reason", "call_index", F.col("call_name").alias("name"), *_whole(out))
+
+
+@query("event_files_replay", f"WITH {OUTPUT_SQL} SELECT * EXCLUDE (content) FROM outputs")
+def event_files_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams written as event files, cut anywhere, and read back: the files alone tell stream and order."""
+    folder = shared_folder(spark, "events")
+    lines = chunk_lines(spark, sf_dir)
+    W.write_events(W.encode_events(lines.select("stream_id", "seq", "line"), F.col("line")), folder, 6)
+    read = W.read_events(spark, folder)
+    return replay.output_chunks(W.flat_chunks(read.where("not done")).drop("done", "rest", "delta_rest"))
+
+
 def _run_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the chunks to a folder, rewrite them as a stream until all are done, read the result."""
     folder = shared_folder(spark, "live")
@@ -335,9 +378,14 @@ def _run_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks.unionByName(ends).write.parquet(f"{folder}/in")
     schema = spark.read.parquet(f"{folder}/in").schema
     live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
+    return _finish_live(spark, live, folder)
+
+
+def _finish_live(spark: SparkSession, live: DataFrame, folder: str) -> DataFrame:
+    """Rewrite all that there is, and read the result."""
+    rewritten = rewrite_live(live, gap_ms=None, idle_ms=None, keep_ms=None)
     run = (
-        rewrite_live(live, timeout_ms=None)
-        .writeStream.format("parquet")
+        rewritten.writeStream.format("parquet")
         .option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .outputMode("append")
@@ -345,7 +393,7 @@ def _run_live(spark: SparkSession, sf_dir: str) -> DataFrame:
         .start()
     )
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.schema(rewritten.schema).parquet(f"{folder}/out")
 
 
 @query(
@@ -360,11 +408,17 @@ def live_stream_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "live_running_counters",
-    f"""WITH {REPLAY_SQL} SELECT stream_id, coalesce(sum(length(text)) FILTER (kind IN ('content', 'error')), 0)::BIGINT AS output_length
-     FROM chunks LEFT JOIN replayed USING (stream_id) WHERE seq = 0 GROUP BY stream_id""",
+    f"""WITH {OUTPUT_SQL} SELECT stream_id, seq, part, count(*) FILTER (length(content) > 0) OVER so_far AS completion_tokens,
+     coalesce(sum(length(content)) OVER so_far, 0)::BIGINT AS output_length
+     FROM outputs WINDOW so_far AS (PARTITION BY stream_id ORDER BY seq, part)""",
 )
 def live_running_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run_live(spark, sf_dir).groupBy("stream_id").agg(F.max("output_length").alias("output_length"))
+    return _with_part(_run_live(spark, sf_dir)).select("stream_id", "seq", "part", "completion_tokens", "output_length")
+
+
+def _with_part(live: DataFrame) -> DataFrame:
+    """Number the outputs of each chunk, as the recorded replay does."""
+    return live.withColumn("part", F.row_number().over(Window.partitionBy("stream_id", "seq").orderBy("out_no")) - 1)
 
 
 @query(

@@ -1,47 +1,58 @@
 """Live rewriting of chunk streams with state per stream.
 
-Each stream is one keyed group; its state is a handful of values, so a stream
-may arrive over any number of micro-batches. Chunks are taken in the order of
-``seq``: chunks that come early wait in the state, chunks seen before are
-skipped. A row with ``done`` ends the stream; a stream that stays silent for
-longer than the timeout is ended as well. An ended stream stays known for one
-more timeout, then its state is dropped.
+Each stream is one keyed group with typed state: where the scanner stands and the running
+counters (a value), chunks that came before their turn (a map by ``seq``, one entry
+each), and the text of a call that is still open (a list of parts). A batch touches
+only the entries it adds or takes. Chunks are taken in the order of ``seq``; chunks seen
+before are skipped. What they say is worked out by the same function as in the recorded
+replay (``transducer.tell``).
+
+Timers watch each stream: a missing chunk is reported once the stream has waited
+``gap_ms`` for it, with the number of chunks it holds back; a silent stream is ended after
+``idle_ms``, the chunks it still holds included. State is bounded: a stream that holds
+more than ``most_waiting`` chunks gives the missing one up, reports it and goes on. An
+ended stream stays known for ``keep_ms``, so that chunks sent again do not begin it anew.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from parley.constants import CALL_CLOSE, CALL_OPEN, CHUNK_OBJECT, TAGS, THINK_OPEN
+from parley.constants import CHUNK_OBJECT
 from parley.functions.ids import stable_id
-from parley.functions.tags import PARTIAL_TAGS, SCAN, call_record
+from parley.functions.tags import call_record
+from parley.operators.replay import chunk_fields
+from parley.operators.transducer import State, tell
 from parley.schemas import CHUNK_CHOICE
 
-# What the stateful step reads, writes and keeps.
-INPUT = ("stream_id", "seq", "role", "content", "finish_reason", "has_delta", "done")
+#: Keeps the state of all streams on the executors' disks, with a change log in the checkpoint.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+INPUT = ("stream_id", "seq", "role", "content", "finish_reason", "has_delta", "done", "rest", "delta_rest")
 OUTPUT = (
-    "stream_id string, seq long, out_no long, kind string, role string, content string, "
+    "seq long, out_no long, kind string, role string, content string, "
     "reasoning_content string, call_index long, call_body string, "
-    "finish_reason string, completion_tokens long, output_length long"
+    "finish_reason string, completion_tokens long, output_length long, waiting long, rest string, delta_rest string"
 )
-STATE = (
-    "open_tag string, held string, call_text string, calls long, skip_space boolean, "
-    "next_seq long, waiting string, tokens long, length long, outputs long, ended boolean"
+_AT = (
+    "held string, open_tag string, skip_space boolean, segment long, calls long, pending boolean, next_seq long, tools long, tokens long, "
+    "length long, outputs long, waiting long, rest string, ended boolean, gap_timer long, idle_timer long, reported boolean"
 )
-_STATE_NAMES = [part.split()[0] for part in STATE.split(", ")]
+_CHUNK = "role string, content string, finish_reason string, has_delta boolean, done boolean, rest string, delta_rest string"
+_AT_NAMES = [part.split()[0] for part in _AT.split(", ")]
+_CHUNK_NAMES = [part.split()[0] for part in _CHUNK.split(", ")]
 _OUTPUT_NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
-_FRESH = ("", "", "", 0, False, 0, "[]", 0, 0, 0, False)
-
-_TOKENS = re.compile(SCAN.replace("\\z", "\\Z"))
-_PARTIAL = frozenset(PARTIAL_TAGS)
+_FRESH: dict[str, Any] = {
+    **State()._asdict(), "next_seq": 0, "tools": 0, "tokens": 0, "length": 0, "outputs": 0, "waiting": 0, "rest": None, "ended": False,
+    "gap_timer": 0, "idle_timer": 0, "reported": False,
+}
 _FIELD_OF = {"content": "content", "error": "content", "passthrough": "content", "reasoning": "reasoning_content", "tool_call": "call_body"}
 
 
@@ -65,151 +76,247 @@ def _kind_of_call(body: str) -> str:
     return "tool_call" if isinstance(record, dict) and record.get("name") is not None else "error"
 
 
-def _stretches(tokens: list[str]) -> list[tuple[str, str]]:
-    """(tag or '', text): a stretch starts at each token that begins with ``<``."""
-    starts = [i for i, t in enumerate(tokens) if i == 0 or t[0] == "<"]
-    texts = [tokens[a:b] for a, b in zip(starts, [*starts[1:], len(tokens)])]
-    return [(t[0], "".join(t[1:])) if t[0] in TAGS else ("", "".join(t)) for t in texts]
-
-
-def _told(st: dict[str, Any], tag: str, text: str) -> list[tuple[str, str]]:
-    """(kind, text) that one stretch adds, with the state moved on behind it."""
-    out = []
-    if tag:
-        if (st["open_tag"], tag) == (CALL_OPEN, CALL_CLOSE):
-            body, st["call_text"] = st["call_text"].strip(), ""
-            out.append((_kind_of_call(body), body))
-        st["open_tag"], st["skip_space"] = tag, True
-    seen = text.lstrip() if st["skip_space"] else text
-    st["skip_space"] = st["skip_space"] and not seen
-    if st["open_tag"] == CALL_OPEN:
-        st["call_text"] += seen
-    else:
-        out.append(("reasoning" if st["open_tag"] == THINK_OPEN else "content", seen))
-    return [(kind, said) for kind, said in out if said]
-
-
-def _advance(st: dict[str, Any], chunk: dict[str, Any]) -> list[dict[str, Any]]:
-    """Output rows of one chunk, in order."""
-    text, role = chunk["content"], chunk["role"]
-    tokens = [st["held"]] if chunk["done"] and st["held"] else _TOKENS.findall(st["held"] + text) if text else []
-    if tokens or chunk["done"]:
-        still_open = not chunk["done"] and tokens[-1] in _PARTIAL
-        st["held"] = tokens.pop() if still_open else ""
-    rows = []
-    for kind, said in (told for stretch in _stretches(tokens) for told in _told(st, *stretch)):
-        is_call = kind == "tool_call"
-        rows.append({"kind": kind, "role": None if is_call else role, _FIELD_OF[kind]: said, "call_index": st["calls"] if is_call else None})
-        st["calls"] += is_call
-    finish = chunk["finish_reason"] or None
-    if not rows and not chunk["done"] and (text is None or finish):
-        # A chunk without text, or a finishing one that says nothing, is handed on as it came.
-        rows.append({"kind": "passthrough", "role": role, "content": text})
-    if finish and rows:
-        rows[-1]["finish_reason"] = "tool_calls" if st["calls"] and (text is not None or chunk["has_delta"]) else finish
-    return rows
-
-
-def _count(st: dict[str, Any], out: list[dict[str, Any]], chunk: dict[str, Any]) -> Iterator[dict[str, Any]]:
-    """Number the outputs and attach the running usage counters."""
-    for row in out:
-        said = row.get("content") or ""
-        st["tokens"] += bool(said)
-        st["length"] += len(said)
-        st["outputs"] += 1
-        yield {
-            **row,
-            "stream_id": chunk["stream_id"],
-            "seq": chunk["seq"],
-            "out_no": st["outputs"] - 1,
-            "completion_tokens": st["tokens"],
-            "output_length": st["length"],
-        }
-
-
-def _frame(rows: list[dict[str, Any]]) -> pd.DataFrame:
-    return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in _OUTPUT_NAMES})
-
-
-def _chunks(batch: pd.DataFrame) -> Iterator[dict[str, Any]]:
-    """The rows of a batch in the order of ``seq``, nulls as None."""
-    columns = [batch[n].tolist() for n in INPUT]
-    for stream_id, seq, role, content, finish, has_delta, done in sorted(zip(*columns), key=lambda r: r[1]):
-        yield {
-            "stream_id": stream_id,
-            "seq": int(seq),
-            "role": role if isinstance(role, str) else None,
-            "content": content if isinstance(content, str) else None,
-            "finish_reason": finish if isinstance(finish, str) else None,
-            "has_delta": bool(has_delta),
-            "done": bool(done),
-        }
-
-
-def _rewriter(timeout_ms: int | None):
-    def rewrite(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        st = dict(zip(_STATE_NAMES, state.get if state.exists else _FRESH))
-        waiting = {c["seq"]: c for c in json.loads(st["waiting"])}
-        rows: list[dict[str, Any]] = []
-
-        def take(chunk: dict[str, Any]) -> None:
-            rows.extend(_count(st, _advance(st, chunk), chunk))
-            st["next_seq"] = chunk["seq"] + 1
-            st["ended"] = st["ended"] or chunk["done"]
-
-        if state.hasTimedOut:
-            if st["ended"]:
-                state.remove()
-                return
-            for seq in sorted(waiting):
-                take(waiting[seq])
-            take({"stream_id": key[0], "seq": st["next_seq"], "content": None, "finish_reason": None,
-                  "role": None, "has_delta": True, "done": True})
-            # Its end stays known for one more timeout, so that a late chunk does not begin the stream anew.
-            st["ended"], st["waiting"] = True, "[]"
-            state.update(tuple(st[n] for n in _STATE_NAMES))
-            state.setTimeoutDuration(timeout_ms)
-            yield _frame(rows)
-            return
-
-        for batch in batches:
-            if st["ended"]:
-                continue
-            for chunk in _chunks(batch):
-                if chunk["seq"] >= st["next_seq"]:
-                    waiting[chunk["seq"]] = chunk
-                while st["next_seq"] in waiting and not st["ended"]:
-                    take(waiting.pop(st["next_seq"]))
-            if rows:
-                yield _frame(rows)
-                rows.clear()
+def _known(value: Any) -> Any:
+    return None if value is None or value is pd.NA or (isinstance(value, float) and value != value) else value
 
-        # An ended stream stays known for a while, so that chunks sent again are not taken for a new one.
-        st["waiting"] = "[]" if st["ended"] else json.dumps(list(waiting.values()))
-        state.update(tuple(st[n] for n in _STATE_NAMES))
-        if timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
 
-    return rewrite
+class _Run:
+    """One stream while a batch or timer works on it."""
 
+    def __init__(self, at: dict[str, Any], body: list[str]):
+        self.at, self.body, self.rows = at, body, []
 
-def rewrite_live(chunks: DataFrame, timeout_ms: int | None = 600_000) -> DataFrame:
-    """Rewrite a streaming DataFrame of flat chunks (see ``INPUT``) into output chunks.
-
-    Without a timeout only ``done`` rows end a stream. That is the way for a
-    run over what is available now: a timeout would keep such a run going.
+    def take(self, chunks: list[tuple[int, dict[str, Any]]]) -> None:
+        """Consecutive chunks; a ``done`` one ends the stream behind itself."""
+        at = self.at
+        ended = chunks[-1][1]["done"]
+        texts = [c["content"] or "" for _, c in chunks]
+        if any(texts) or ended:
+            said, state = tell(State(*(at[n] for n in State._fields)), texts, ended)
+            at.update(state._asdict())
+        else:
+            said = []
+        own: list[list[tuple[str, str]]] = [[] for _ in range(len(chunks) + 1)]
+        for s in said:
+            if s.kind == "part":
+                self.body.append(s.text)
+                continue
+            kind, text = s.kind, s.text
+            if s.kind in ("call", "close"):
+                if s.kind == "close":
+                    text = "".join(self.body).strip()
+                    self.body.clear()
+                kind = _kind_of_call(text)
+            if text:
+                own[s.chunk].append((kind, text))
+        for (seq, c), outs in zip(chunks, own):
+            self.say(seq, c, outs)
+        last_seq, last = chunks[-1]
+        # A row that only marks the end has no place of its own: what was held takes it.
+        bare = last["done"] and last["content"] is None and last["finish_reason"] is None
+        behind = {"role": None, "finish_reason": None, "content": "", "has_delta": True, "done": False, "rest": at["rest"], "delta_rest": None}
+        if own[-1]:
+            self.say(last_seq + (not bare), behind, own[-1])
+        at["next_seq"], at["ended"] = last_seq + 1, at["ended"] or ended
+
+    def say(self, seq: int, c: dict[str, Any], outs: list[tuple[str, str]]) -> None:
+        at, rows = self.at, []
+        for kind, text in outs:
+            called = kind == "tool_call"
+            rows.append({"kind": kind, "role": None if called else c["role"], _FIELD_OF[kind]: text, "call_index": at["tools"] if called else None})
+            at["tools"] += called
+        marks_end = c["done"] and c["content"] is None and c["finish_reason"] is None
+        if not rows and not marks_end and (c["content"] is None or c["finish_reason"]):
+            # A chunk without text, or a finishing one that says nothing, is handed on as it came.
+            rows.append({"kind": "passthrough", "role": c["role"], "content": c["content"], "delta_rest": c["delta_rest"]})
+        if c["finish_reason"] and rows:
+            changed = at["tools"] and (c["content"] is not None or c["has_delta"])
+            rows[-1]["finish_reason"] = "tool_calls" if changed else c["finish_reason"]
+        if not marks_end:
+            at["rest"] = c["rest"]
+        for row in rows:
+            self.count(seq, row, c["rest"])
+
+    def count(self, seq: int, row: dict[str, Any], rest: str | None) -> None:
+        """Number an output and attach the running usage counters."""
+        at, said = self.at, row.get("content") or ""
+        at["tokens"] += bool(said)
+        at["length"] += len(said)
+        at["outputs"] += 1
+        self.rows.append({**row, "seq": seq, "out_no": at["outputs"] - 1, "completion_tokens": at["tokens"], "output_length": at["length"], "rest": rest})
+
+    def report(self, waiting: int) -> None:
+        """A row (kind ``gap``) for the missing chunk; it is no output of the stream and has no number."""
+        self.rows.append({"kind": "gap", "seq": self.at["next_seq"], "waiting": waiting, "completion_tokens": self.at["tokens"], "output_length": self.at["length"]})
+
+
+class StreamRewriter(StatefulProcessor):
+    def __init__(self, gap_ms: int | None, idle_ms: int | None, keep_ms: int | None, most_waiting: int, key_type: Any):
+        self.gap_ms, self.idle_ms, self.keep_ms, self.most_waiting, self.key_type = gap_ms, idle_ms, keep_ms, most_waiting, key_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", _AT)
+        self.waiting = handle.getMapState("waiting", "seq long", _CHUNK)
+        self.call = handle.getListState("call_parts", "text string")
+        self.gone = handle.getValueState("gone", "next_seq long", self.keep_ms)
+
+    def _load(self) -> _Run:
+        row = self.at.get() if self.at.exists() else None
+        at = dict(zip(_AT_NAMES, row)) if row is not None else dict(_FRESH)
+        body = [r[0] for r in self.call.get()] if at["pending"] else []
+        self.before = list(body)
+        return _Run(at, body)
+
+    def _held(self) -> dict[int, dict[str, Any]]:
+        """Chunks that wait, without reading the map where there are none."""
+        return {key[0]: dict(zip(_CHUNK_NAMES, value)) for key, value in self.waiting.iterator()}
+
+    def _advance(self, run: _Run, held: dict[int, dict[str, Any]], over_gaps: bool = False) -> set[int]:
+        """Take what is next; the chunks taken."""
+        taken: set[int] = set()
+        while held.keys() - taken and not run.at["ended"]:
+            seq = run.at["next_seq"]
+            if over_gaps and seq not in held:
+                seq = min(held.keys() - taken)
+            chunks = []
+            while seq in held and seq not in taken:
+                chunks.append((seq, held[seq]))
+                taken.add(seq)
+                if held[seq]["done"]:
+                    break
+                seq += 1
+            if not chunks:
+                break
+            run.take(chunks)
+        return taken
+
+    def _timer(self, at: dict[str, Any], name: str, when: int) -> None:
+        """Move a timer; 0 for none."""
+        if at[name]:
+            self.handle.deleteTimer(at[name])
+        # Two timers of a stream must differ, as they are told apart by their times.
+        when += bool(when) and when in (at["gap_timer"], at["idle_timer"])
+        at[name] = when
+        if when:
+            self.handle.registerTimer(when)
+
+    def _store(self, run: _Run) -> None:
+        at = run.at
+        if at["ended"]:
+            for name in ("gap_timer", "idle_timer"):
+                self._timer(at, name, 0)
+            self.gone.update((at["next_seq"],))
+            for state in (self.at, self.waiting, self.call):
+                state.clear()
+            return
+        begun = len(self.before)
+        if run.body[:begun] != self.before:  # another call than the one whose parts are stored
+            self.call.clear()
+            begun = 0
+        if len(run.body) > begun:
+            self.call.appendList([(t,) for t in run.body[begun:]])
+        self.at.update(tuple(at[n] for n in _AT_NAMES))
+
+    def _frames(self, key: tuple, run: _Run) -> Iterator[pd.DataFrame]:
+        if run.rows:
+            columns = {n: pd.Series([r.get(n) for r in run.rows], dtype=object) for n in _OUTPUT_NAMES}
+            yield pd.DataFrame({"stream_id": pd.Series([key[0]] * len(run.rows), dtype=object), **columns})
+            run.rows.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        run = self._load()
+        if self.gone.exists():
+            return
+        for frame in rows:
+            came: dict[int, dict[str, Any]] = {}
+            for seq, *fields in zip(*(frame[n].tolist() for n in ("seq", *_CHUNK_NAMES))):
+                if not run.at["ended"] and seq >= run.at["next_seq"] and int(seq) not in came:
+                    came[int(seq)] = dict(zip(_CHUNK_NAMES, map(_known, fields)))
+            old = self._held() if run.at["waiting"] else {}
+            taken = self._advance(run, {**came, **old})
+            for seq in taken & old.keys():
+                self.waiting.removeKey((seq,))
+            for seq in came.keys() - taken - old.keys():
+                self.waiting.updateValue((seq,), tuple(came[seq][n] for n in _CHUNK_NAMES))
+            run.at["waiting"] = len((old.keys() | came.keys()) - taken)
+            if run.at["waiting"] > self.most_waiting and not run.at["ended"]:
+                run.report(run.at["waiting"])
+                self._give_up(run)
+            yield from self._frames(key, run)
+        if not run.at["ended"]:
+            self._set_timers(run, timerValues, bool(run.at["waiting"]))
+        self._store(run)
+
+    def _give_up(self, run: _Run) -> None:
+        held = self._held()
+        for seq in self._advance(run, held, over_gaps=True):
+            self.waiting.removeKey((seq,))
+        run.at["waiting"] = 0
+
+    def _set_timers(self, run: _Run, timers: Any, gap: bool) -> None:
+        at = run.at
+        now = timers.getCurrentProcessingTimeInMs() if self.gap_ms is not None or self.idle_ms is not None else 0
+        if self.gap_ms is not None:
+            if not gap:
+                at["reported"] = False
+            if gap and not at["gap_timer"] and not at["reported"]:
+                self._timer(at, "gap_timer", now + self.gap_ms)
+            elif not gap and at["gap_timer"]:
+                self._timer(at, "gap_timer", 0)
+        if self.idle_ms is not None:
+            self._timer(at, "idle_timer", now + self.idle_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        run = self._load()
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        if fired == run.at["gap_timer"]:
+            run.at.update(gap_timer=0, reported=True)
+            run.report(run.at["waiting"])
+        elif fired == run.at["idle_timer"]:
+            run.at["idle_timer"] = 0
+            if run.at["waiting"]:
+                run.report(run.at["waiting"])
+                self._give_up(run)
+            if not run.at["ended"]:
+                run.take([(run.at["next_seq"], {"role": None, "content": None, "finish_reason": None, "has_delta": True, "done": True, "rest": None, "delta_rest": None})])
+        yield from self._frames(key, run)
+        self._store(run)
+
+    def close(self) -> None:
+        pass
+
+
+def rewrite_live(
+    chunks: DataFrame, gap_ms: int | None = 30_000, idle_ms: int | None = 600_000, keep_ms: int | None = 600_000, most_waiting: int = 10_000
+) -> DataFrame:
+    """Rewrite a streaming DataFrame of flat chunks into output chunks, and reports of missing chunks (kind ``gap``).
+
+    ``chunks``: stream_id, seq, content, done, and where given role, finish_reason, has_delta, rest and delta_rest. Without any
+    times only ``done`` rows end a stream and no missing chunk is reported before ``most_waiting`` chunks wait for it. That
+    is the way for a run over what is available now: timers would keep such a run going. The session needs ``STATE_STORE``.
     """
-    limit = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    spark = chunks.sparkSession
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
+    timed = not gap_ms is idle_ms is keep_ms is None
+    key = chunks.schema["stream_id"].dataType
+    given = chunks.where(F.col("stream_id").isNotNull() & F.col("seq").isNotNull())
     told = (
-        chunks.select(*INPUT)
+        given.select("stream_id", *chunk_fields(given), F.coalesce("done", F.lit(False)).alias("done"))
         .groupBy("stream_id")
-        .applyInPandasWithState(_rewriter(timeout_ms), OUTPUT, STATE, "append", limit)
+        .transformWithStateInPandas(
+            StreamRewriter(gap_ms, idle_ms, keep_ms, most_waiting, key), f"stream_id {key.simpleString()}, {OUTPUT}", "Append",
+            "ProcessingTime" if timed else "None",
+        )
     )
     # Name and arguments of calls are read by the same expression as in the recorded replay.
     call = call_record(F.col("call_body"))
-    named = [c for c in _OUTPUT_NAMES if c != "call_body"]
+    named = ["stream_id", *(c for c in _OUTPUT_NAMES if c != "call_body")]
     place = named.index("call_index") + 1
-    return told.select(*named[:place], call["name"].alias("call_name"), call["arguments"].alias("call_arguments"), *named[place:])
+    handed = {"rest": F.try_parse_json("rest").alias("rest"), "delta_rest": F.try_parse_json("delta_rest").alias("delta_rest")}
+    columns = [handed.get(c, F.col(c)) for c in named[place:] if c not in handed or c in chunks.columns]
+    return told.select(*named[:place], call["name"].alias("call_name"), call["arguments"].alias("call_arguments"), *columns)
 
 
 def as_chunks(outputs: DataFrame, created: Column, model: Column) -> DataFrame:
@@ -227,7 +334,7 @@ def as_chunks(outputs: DataFrame, created: Column, model: Column) -> DataFrame:
     choice = F.struct(
         F.lit(0).alias("index"), delta.alias("delta"), F.lit(None).cast("string").alias("logprobs"), "finish_reason"
     )
-    return outputs.select(
+    return outputs.where("kind <> 'gap'").select(
         "stream_id",
         F.col("out_no").alias("seq"),
         stable_id("chatcmpl", F.col("stream_id")).alias("id"),
