@@ -10,8 +10,10 @@ from parley.operators import instruments, sampling, span_logs
 from parley.operators import span_metrics as M
 from parley.plans.derive import SPAN_EVENTS_SQL, SPANS_SQL, span_events, spans
 from parley.plans.registry import query
-from parley.sources import sinks
+from parley.session import shared_folder
+from parley.streaming.exposition import KINDS, batch_totals, exposition, merge_batches, version_before
 from parley.streaming.rollup import windowed_histograms
+from parley.streaming.sampling import sample_live
 
 _METRICS = (
     "duration_ms", "completion_tokens_per_second", "total_tokens_per_second", "chunk_delay_ms",
@@ -246,15 +248,56 @@ def trace_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("trace_id").agg(F.count("*").alias("spans"))
 
 
-@query(
-    "metric_exposition",
-    f"""WITH {OBSERVED_SQL}, h AS ({_HISTOGRAM.format(by='')}),
+_HELP_SQL = ", ".join(f"('{m}', '{K.METRIC_HELP[m]}', '{kind}')" for m, kind in KINDS.items())
+EXPOSITION_SQL = f"""WITH {OBSERVED_SQL}, h AS ({_HISTOGRAM.format(by='')}),
      l AS (SELECT *, concat('model="', model, '"', coalesce(',streaming="' || streaming || '"', ''), coalesce(',status="' || status || '"', ''),
-      coalesce(',token_type="' || token_type || '"', '')) AS labels FROM h)
-     SELECT metric, concat(metric, '_bucket{{', labels, ',le="', CASE WHEN le = 'inf'::DOUBLE THEN '+Inf' ELSE CAST(le AS VARCHAR) END, '"}} ', bucket_count) AS line FROM l
-     UNION ALL SELECT metric, concat(metric, '_count{{', labels, '}} ', count) FROM l WHERE le = 'inf'::DOUBLE
-     UNION ALL SELECT metric, concat(metric, '_sum{{', labels, '}} ', CAST(sum AS DECIMAL(38, 3))) FROM l WHERE le = 'inf'::DOUBLE""",
-)
+      coalesce(',token_type="' || token_type || '"', '')) AS labels FROM h),
+     samples AS (
+      SELECT metric, concat(metric, '_bucket{{', labels, ',le="', CASE WHEN le = 'inf'::DOUBLE THEN '+Inf' ELSE CAST(le AS VARCHAR) END, '"}} ', bucket_count) AS line FROM l
+      UNION ALL SELECT metric, concat(metric, '_count{{', labels, '}} ', count) FROM l WHERE le = 'inf'::DOUBLE
+      UNION ALL SELECT metric, concat(metric, '_sum{{', labels, '}} ', CAST(sum AS DECIMAL(38, 3))) FROM l WHERE le = 'inf'::DOUBLE
+      UNION ALL SELECT '{K.M_ERRORS}', concat('{K.M_ERRORS}{{model="', m, '",streaming="', s, '"}} ', count(*)) FROM labelled WHERE status_code = 'ERROR' GROUP BY m, s),
+     headers AS (SELECT * FROM (VALUES {_HELP_SQL}) AS t(metric, help, kind) WHERE metric IN (SELECT metric FROM samples))
+     SELECT metric, 2 AS rank, line FROM samples
+     UNION ALL SELECT metric, 0, concat('# HELP ', metric, ' ', help) FROM headers
+     UNION ALL SELECT metric, 1, concat('# TYPE ', metric, ' ', kind) FROM headers"""
+
+
+@query("metric_exposition", EXPOSITION_SQL)
 def metric_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = instruments.histograms(instruments.observations(measured(spark, sf_dir)))
-    return sinks.exposition_lines(rows)
+    return exposition(batch_totals(measured(spark, sf_dir)))
+
+
+def _as_stream(spark: SparkSession, rows: DataFrame, purpose: str, files: int) -> tuple[DataFrame, str]:
+    """Rows written as files and read as a stream, half of the files in each micro-batch; and the folder."""
+    folder = shared_folder(spark, purpose)
+    rows.repartition(files, "span_id").write.parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files // 2).parquet(f"{folder}/in"), folder
+
+
+@query("live_exposition", EXPOSITION_SQL)
+def live_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live, folder = _as_stream(spark, measured(spark, sf_dir), "live-metrics", 8)
+    merge = merge_batches(f"{folder}/totals")
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        # As after a driver that was lost behind the write: the batch comes again.
+        merge(batch, batch_id)
+        merge(batch, batch_id)
+
+    run = live.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return exposition(version_before(spark, f"{folder}/totals"))
+
+
+@query(
+    "live_trace_sample",
+    f"""WITH {SPANS_SQL} SELECT span_id, trace_id, force_sample, start_ns FROM spans WHERE substr(trace_id, 17, 16) < '{round(0.1 * 2**64):016x}'
+     OR trace_id IN (SELECT trace_id FROM spans WHERE force_sample)""",
+)
+def live_trace_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live, folder = _as_stream(spark, spans(spark, sf_dir), "live-sample", 8)
+    kept = sample_live(live, wait_ms=None)
+    run = kept.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(kept.schema).parquet(f"{folder}/out").select("span_id", "trace_id", "force_sample", "start_ns")
