@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.constants import MAX_TOKENS_PER_TEXT, NORM_FLOOR
+from parley.functions.text import words
 
 
 def truncate_tokens(tokens: Column, max_length: int = MAX_TOKENS_PER_TEXT) -> Column:
@@ -22,17 +25,31 @@ def attention_mask(tokens: Column, width: int | Column) -> Column:
 def mean_pool(token_vectors: DataFrame, key: str, vector: str, mask: str, floor: float = NORM_FLOOR) -> DataFrame:
     """Masked mean of the token vectors of each key, as ``array<double>``.
 
-    Sums run per (key, dimension) in doubles and combine before the shuffle, so
-    a key with very many tokens sends one row per dimension and task. Only the
-    dimensions of one vector are put back together.
+    Whole vectors are summed in the JVM and combine before the shuffle, so a key with very many tokens sends one row
+    for each task. Vectors of a key must be of one length; a null mask counts as 0, a null component as 0.
     """
-    long = token_vectors.select(key, F.col(mask).cast("double").alias("m"), F.posexplode(vector).alias("dim", "v"))
-    pooled = long.groupBy(key, "dim").agg(
-        (F.sum(F.col("v").cast("double") * F.col("m")) / F.greatest(F.sum("m"), F.lit(floor))).alias("v")
-    )
-    return pooled.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dim", "v"))).alias("_dims")).select(
-        key, F.transform("_dims", lambda d: d["v"]).alias(vector)
-    )
+    weight = F.coalesce(F.col(mask).cast("double"), F.lit(0.0))
+    scaled = F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)) * F.col("_weight"))
+    rows = token_vectors.where(F.size(vector) > 0).select(key, weight.alias("_weight"), vector)
+    # Weights are in the vectors: a summary of nothing but zero weights would have no sum.
+    sums = rows.groupBy(key).agg(Summarizer.sum(array_to_vector(scaled)).alias("_sum"), F.sum("_weight").alias("_total"))
+    return sums.select(key, F.transform(vector_to_array("_sum"), lambda v: v / F.greatest(F.col("_total"), F.lit(floor))).alias(vector))
+
+
+def hashing_vector(text: Column, dims: int = 16, max_length: int = MAX_TOKENS_PER_TEXT) -> Column:
+    """A text's unit vector without a model: each word adds 1 or -1 to the place that its first and last letters and its length choose."""
+    from parley.functions.text import bind
+
+    def code(w: Column) -> Column:
+        return (F.ascii(w) * 31 + F.ascii(F.right(w, F.lit(1))) * 7 + F.length(w)).cast("long")
+
+    def sums(codes: Column) -> Column:
+        def place(d: Column) -> Column:
+            return F.aggregate(F.filter(codes, lambda c: c % dims == d), F.lit(0.0), lambda n, c: n + 1 - F.floor(c / dims) % 2 * 2)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), place)
+
+    return l2_normalise(bind(F.transform(truncate_tokens(words(text), max_length), code), sums))
 
 
 def norm(vector: Column) -> Column:

@@ -248,21 +248,37 @@ def first_choice_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "completion_conformance",
     f"""WITH {RAW_SQL}
-    SELECT stream_id AS id, content, true AS reasoning_null, true AS calls_null, true AS logprobs_null, true AS usage_null FROM raw""",
+    SELECT stream_id AS id, content, CASE WHEN conv_id % 2 = 1 AND turn % 3 = 0 THEN concat('r', turn) END AS reasoning,
+     CASE WHEN conv_id % 2 = 1 AND turn % 4 = 1 THEN 'f' END AS call_name, CASE WHEN conv_id % 2 = 1 AND turn % 5 < 2 THEN concat('{{"top":[', turn, ']}}') END AS logprobs,
+     CASE WHEN conv_id % 2 = 1 AND turn % 2 = 0 THEN turn END AS prompt_tokens, CASE WHEN conv_id % 2 = 1 AND turn % 2 = 0 THEN 7 END AS total_tokens,
+     CASE WHEN conv_id % 2 = 1 THEN conv_id END AS created FROM raw""",
 )
 def completion_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sparse = raw_completions(spark, sf_dir).select(
-        F.col("stream_id").alias("id"),
-        F.expr("array(named_struct('index', 0, 'message', named_struct('role', 'assistant', 'content', content)))").alias("choices"),
+    # One table lacks all that is optional; the other has it in another order and other types, and a field too many.
+    raw = raw_completions(spark, sf_dir).withColumn("id", F.col("stream_id"))
+    sparse = raw.where("conv_id % 2 = 0").select(
+        "id", F.expr("array(named_struct('index', 0, 'message', named_struct('role', 'assistant', 'content', content)))").alias("choices")
+    )
+    full = raw.where("conv_id % 2 = 1").select(
+        F.expr("if(turn % 2 = 0, named_struct('total_tokens', 7, 'prompt_tokens', cast(turn as int)), null)").alias("usage"),
+        F.expr(
+            """array(named_struct('logprobs', if(turn % 5 < 2, named_struct('top', array(turn)), null), 'extra', 1,
+             'message', named_struct('content', content, 'reasoning_content', if(turn % 3 = 0, concat('r', turn), null), 'role', 'assistant',
+              'tool_calls', if(turn % 4 = 1, array(named_struct('type', 'function', 'id', 'c', 'function', named_struct('arguments', '{}', 'name', 'f'))), null)),
+             'index', 0L))"""
+        ).alias("choices"),
+        F.col("conv_id").cast("int").alias("created"), "id", F.lit("x").alias("unknown"),
     )
     choices = F.col("choices")
-    return C.conform_completions(sparse).select(
+    return C.conform_completions(sparse).unionByName(C.conform_completions(full)).select(
         "id",
         C.first_choice(choices, "message", "content").alias("content"),
-        C.first_choice(choices, "message", "reasoning_content").isNull().alias("reasoning_null"),
-        C.first_choice(choices, "message", "tool_calls").isNull().alias("calls_null"),
-        C.first_choice(choices, "logprobs").isNull().alias("logprobs_null"),
-        F.col("usage").isNull().alias("usage_null"),
+        C.first_choice(choices, "message", "reasoning_content").alias("reasoning"),
+        F.get(C.first_choice(choices, "message", "tool_calls"), F.lit(0))["function"]["name"].alias("call_name"),
+        C.first_choice(choices, "logprobs").alias("logprobs"),
+        F.col("usage.prompt_tokens").alias("prompt_tokens"),
+        F.col("usage.total_tokens").alias("total_tokens"),
+        "created",
     )
 
 
@@ -370,16 +386,39 @@ def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "completion_contract",
-    f"""WITH {REWRITE_SQL}
+    f"""WITH {REWRITE_SQL}, given AS (
+     SELECT CASE v WHEN 4 THEN concat('<tool_call>', coalesce(content, '')) WHEN 5 THEN NULL WHEN 6 THEN '' ELSE content END AS content,
+      CASE WHEN v IN (1, 2, 3, 4) THEN 1 WHEN v IN (5, 6) THEN 0 ELSE n_calls END AS calls,
+      CASE v WHEN 1 THEN 'fn' ELSE 'function' END AS call_type, CASE v WHEN 2 THEN NULL ELSE 'f' END AS call_name, CASE v WHEN 3 THEN NULL ELSE '{{}}' END AS call_arguments,
+      CASE WHEN v = 4 THEN 'stop' WHEN v IN (1, 2, 3) THEN 'tool_calls' ELSE finish_reason END AS finish_reason
+     FROM (SELECT *, (conv_id * 5 + turn) % 9 AS v FROM rewritten))
     SELECT finish_reason, count(*) AS checked,
-     count(*) FILTER (n_calls = 0 AND coalesce(content, '') = '') AS nothing_said,
-     0::BIGINT AS bad_call_type, 0::BIGINT AS no_call_name, 0::BIGINT AS no_call_arguments,
-     count(*) FILTER (n_calls > 0 AND contains(coalesce(content, ''), '<tool_call>')) AS raw_call_in_content,
-     0::BIGINT AS wrong_finish_reason
-    FROM rewritten GROUP BY finish_reason""",
+     count(*) FILTER (calls = 0 AND coalesce(content, '') = '') AS nothing_said,
+     count(*) FILTER (calls > 0 AND call_type <> 'function') AS bad_call_type, count(*) FILTER (calls > 0 AND call_name IS NULL) AS no_call_name,
+     count(*) FILTER (calls > 0 AND call_arguments IS NULL) AS no_call_arguments,
+     count(*) FILTER (calls > 0 AND contains(coalesce(content, ''), '<tool_call>')) AS raw_call_in_content,
+     count(*) FILTER (calls > 0 AND finish_reason <> 'tool_calls') AS wrong_finish_reason
+    FROM given GROUP BY finish_reason""",
 )
 def completion_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contracts.check_completions(rewritten(spark, sf_dir), ["finish_reason"])
+    # Six of nine answers are made to break a rule each.
+    given = rewritten(spark, sf_dir)
+    v = F.expr("(conv_id * 5 + turn) % 9")
+    broken = F.array(
+        F.struct(
+            F.lit("c").alias("id"), F.when(v == 1, F.lit("fn")).otherwise(F.lit("function")).alias("type"),
+            F.struct(F.when(v != 2, F.lit("f")).alias("name"), F.when(v != 3, F.lit("{}")).alias("arguments")).alias("function"),
+        )
+    ).cast(given.schema["tool_calls"].dataType)
+    none = F.array().cast(given.schema["tool_calls"].dataType)
+    given = given.withColumns(
+        {
+            "content": F.when(v == 4, F.concat(F.lit("<tool_call>"), F.coalesce("content", F.lit("")))).when(v == 6, F.lit("")).when(v != 5, F.col("content")),
+            "tool_calls": F.when(v.isin(1, 2, 3, 4), broken).when(v.isin(5, 6), none).otherwise(F.col("tool_calls")),
+            "finish_reason": F.when(v == 4, F.lit("stop")).when(v.isin(1, 2, 3), F.lit("tool_calls")).otherwise(F.col("finish_reason")),
+        }
+    )
+    return contracts.check_completions(given, ["finish_reason"])
 
 
 @query(

@@ -94,14 +94,23 @@ def batch_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "embedding_response",
-    """SELECT request_id, i::BIGINT AS index, 'served' AS model, 16::BIGINT AS dims FROM (
-      SELECT doc_id AS request_id, unnest(CASE doc_id % 3 WHEN 0 THEN [0] WHEN 1 THEN [0, 1, 2] ELSE [] END) AS i FROM documents)""",
+    f"""WITH inputs AS (
+      SELECT doc_id AS request_id, unnest(CASE doc_id % 3 WHEN 0 THEN [0] WHEN 1 THEN [0, 1, 2] ELSE [] END) AS index,
+       unnest(CASE doc_id % 3 WHEN 0 THEN [text] WHEN 1 THEN [text, '', lang] ELSE [] END) AS text FROM documents),
+     codes AS (SELECT request_id, index, unicode(w) * 31 + unicode(right(w, 1)) * 7 + length(w) AS c
+      FROM (SELECT request_id, index, unnest(l[1:256]) AS w FROM (SELECT request_id, index, {_WORDS} AS l FROM inputs))),
+     places AS (SELECT request_id, index, c % 16 AS dim, sum(1 - c // 16 % 2 * 2)::DOUBLE AS v FROM codes GROUP BY ALL),
+     lengths AS (SELECT request_id, index, sqrt(sum(v * v)) AS n FROM places GROUP BY ALL)
+     SELECT i.request_id, i.index::BIGINT AS index, 'served' AS model, d.dim::BIGINT AS dim,
+      round(CAST(coalesce(p.v, 0) / greatest(coalesce(l.n, 0), 1e-9) AS FLOAT)::DOUBLE, 5) + 0.0 AS v
+     FROM inputs i CROSS JOIN (SELECT unnest(range(16)) AS dim) d
+     LEFT JOIN places p ON p.request_id = i.request_id AND p.index = i.index AND p.dim = d.dim
+     LEFT JOIN lengths l ON l.request_id = i.request_id AND l.index = i.index""",
 )
 def embedding_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.plans.request_queries import _embedding_requests
 
     texts = V.indexed_inputs(_embedding_requests(spark, sf_dir))
-    vectors = texts.withColumn("embedding", encode_texts(F.col("text"), arithmetic_encoder(), 256))
-    return V.embedding_response(vectors, "served").select(
-        "request_id", F.col("index").cast("long").alias("index"), "model", F.size("embedding").cast("long").alias("dims")
-    )
+    rows = V.embedding_response(texts.withColumn("embedding", V.hashing_vector(F.col("text"))), "served")
+    long = rows.select("request_id", F.col("index").cast("long").alias("index"), "model", F.posexplode("embedding").alias("dim", "v"))
+    return long.withColumns({"dim": F.col("dim").cast("long"), "v": F.round(F.col("v").cast("double"), 5) + 0.0})

@@ -11,6 +11,7 @@ from parley.operators.embeddings import embedding_attributes, indexed_inputs
 from parley.operators.span_metrics import not_excluded
 from parley.plans.derive import table
 from parley.plans.registry import query
+from parley.sources.catalogue import model_catalogue, model_files
 from parley.schemas import RAW_REQUEST
 from parley.sources.requests import embedding_requests, parse_json, readable
 
@@ -233,22 +234,40 @@ def embedding_request_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "embedding_request_cap",
-    """SELECT conv_id, n * 512 AS n_inputs, n * 512 <= 2048 AS accepted,
-     CAST(floor((n * 512 - 1) / 2048.0) AS BIGINT) + 1 AS batches
-     FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)""",
+    """SELECT l_orderkey // 500 AS request_id, count(*) AS n_inputs, sum(length(concat('part ', l_partkey)))::BIGINT AS chars, count(*) <= 2048 AS accepted,
+     (count(*) - 1) // 2048 + 1 AS batches FROM lineitem GROUP BY l_orderkey // 500""",
 )
 def embedding_request_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Each turn stands for 512 inputs, so conversations of more than four turns pass the cap.
-    counted = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
-    inputs = counted.select("conv_id", F.array_repeat(F.lit("x"), (F.col("n") * 512).cast("int")).alias("input"))
+    # The lines of five hundred order keys make one request: about as many inputs as are allowed, at any size of the table.
+    inputs = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey div 500").alias("request_id")).agg(
+        F.collect_list(F.concat(F.lit("part "), F.col("l_partkey"))).alias("input")
+    )
     return inputs.select(
-        "conv_id",
+        "request_id",
         F.size("input").cast("long").alias("n_inputs"),
+        F.aggregate("input", F.lit(0).cast("long"), lambda n, t: n + F.length(t)).alias("chars"),
         R.within_input_cap(F.col("input")).alias("accepted"),
         (R.input_batch(F.size("input") - 1) + 1).alias("batches"),
     )
 
 
+@query(
+    "model_catalogue",
+    """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE CASE c_custkey % 3 WHEN 0 THEN 'customer' WHEN 1 THEN 'nation' ELSE concat('missing-', c_custkey) END END AS id,
+     'model' AS object, c_custkey % 3 < 2 AS has_file, c_custkey % 3 = 2 AS created_at_zero,
+     CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'second-state' END AS owned_by FROM customer""",
+)
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Each customer serves a model; the files of two tables stand for models that are there.
+    name = F.expr("CASE c_custkey % 3 WHEN 0 THEN 'customer.parquet' WHEN 1 THEN 'nation.parquet' ELSE concat('missing-', c_custkey, '.gguf') END")
+    configured = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.col("c_name")).alias("model_id"),
+        F.concat(F.lit(f"{sf_dir.rstrip('/')}/"), name).alias("path"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("owned_by"),
+    )
+    rows = model_catalogue(configured, model_files(spark, sf_dir))
+    return rows.select("c_custkey", "id", "object", (F.col("created") > 1_000_000_000).alias("has_file"), (F.col("created") == 0).alias("created_at_zero"), "owned_by")
+
+
 @query(
     "embedding_input_attributes",
     """SELECT doc_id AS request_id, CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 0 END::BIGINT AS input_count,

@@ -191,42 +191,50 @@ _MODE_SQL = """CASE WHEN name = 'slm.chat_completion.streaming' THEN 'streaming'
  WHEN name = 'slm.embedding' THEN 'embedding' ELSE 'unknown' END"""
 
 
+def _cells_sql(cells: dict[str, tuple[str, str]]) -> str:
+    """JSON text of the numbers that a record shows: name -> (value, when it is shown)."""
+    each = ", ".join(f"CASE WHEN {shown} THEN concat('\"{n}\":', CAST({value} AS VARCHAR)) END" for n, (value, shown) in cells.items())
+    return f"concat('{{{{', array_to_string(list_filter([{each}], lambda x: x IS NOT NULL), ','), '}}}}')".replace("{{", "{").replace("}}", "}")
+
+
+_CHAT, _LIVE, _EMBED = "mode IN ('streaming', 'non-streaming')", "mode = 'streaming'", "mode = 'embedding'"
+
+
+def _two(name: str) -> str:
+    """Two decimals of a number as it is written, halves to the even digit."""
+    hundred = f"(CAST(CAST(coalesce({name}, 0)::DOUBLE AS VARCHAR) AS DECIMAL(36, 16)) * 100)"
+    up = f"CASE WHEN {hundred} % 1 > 0.5 OR ({hundred} % 1 = 0.5 AND floor({hundred})::HUGEINT % 2 = 1) THEN 1 ELSE 0 END"
+    return f"((floor({hundred})::HUGEINT + {up})::DOUBLE / 100)"
+
+
+_STARTS_SQL = _cells_sql(
+    {
+        "max_tokens": ("max_tokens", _CHAT), "temperature": ("temperature", _CHAT), "input_messages": ("input_messages", _CHAT),
+        "input_count": ("input_count", _EMBED), "input_content_length": ("input_content_length", f"{_CHAT} OR {_EMBED}"),
+    }
+)
+_ENDS_SQL = _cells_sql(
+    {
+        "duration_ms": (_two("duration_ms"), "true"), "total_tokens": ("total_tokens", "true"), "total_tokens_per_second": (_two("total_tokens_per_second"), "true"),
+        "output_content_length": ("output_content_length", _CHAT), "completion_tokens": ("completion_tokens", _CHAT),
+        "completion_tokens_per_second": (_two("completion_tokens_per_second"), _CHAT), "input_count": ("input_count", _EMBED), "output_count": ("output_count", _EMBED),
+        "embeddings_per_second": (_two("embeddings_per_second"), _EMBED), "chunk_count": ("chunk_count", _LIVE), "avg_chunk_delay_ms": (_two("chunk_delay_ms"), _LIVE),
+        "first_token_delay_ms": (_two("first_token_delay_ms"), _LIVE), "avg_chunk_size": (_two("avg_chunk_size"), _LIVE),
+        "avg_chunk_content_size": (_two("avg_chunk_content_size"), _LIVE), "chunks_with_content": ("coalesce(chunks_with_content, 0)", _LIVE),
+        "empty_chunks": ("coalesce(empty_chunks, 0)", _LIVE),
+    }
+)
+
+
 @query(
     "span_logs",
     f"""WITH {MEASURED_SQL}, own AS (SELECT *, {_MODE_SQL} AS mode FROM measured WHERE name LIKE 'slm%')
-     SELECT span_id, 'starting' AS phase, 'info' AS level, start_ns AS ts_ns, mode,
-      CASE WHEN mode IN ('streaming', 'non-streaming') THEN concat_ws('|', max_tokens, temperature, input_messages, input_content_length)
-       WHEN mode = 'embedding' THEN concat_ws('|', input_count, input_content_length) ELSE '' END AS numbers,
-      NULL AS failure, NULL::DOUBLE AS duration_ms, NULL::DOUBLE AS rate, NULL::DOUBLE AS first_token_delay_ms, NULL::DOUBLE AS embed_rate FROM own
-     UNION ALL
-     SELECT span_id, 'failed', 'error', end_ns, mode, '', concat('[SLM] failed: ', status_description), NULL, NULL, NULL, NULL FROM own WHERE status_code = 'ERROR'
-     UNION ALL
-     SELECT span_id, 'completed', 'info', end_ns, mode,
-      CASE mode WHEN 'streaming' THEN concat_ws('|', total_tokens, output_content_length, completion_tokens, chunk_count, coalesce(chunks_with_content, 0), coalesce(empty_chunks, 0))
-       WHEN 'non-streaming' THEN concat_ws('|', total_tokens, output_content_length, completion_tokens)
-       WHEN 'embedding' THEN concat_ws('|', total_tokens, input_count, output_count) ELSE concat_ws('|', total_tokens) END, NULL,
-      round_even(coalesce(duration_ms, 0), 2), round_even(coalesce(total_tokens_per_second, 0), 2),
-      CASE WHEN mode = 'streaming' THEN round_even(coalesce(first_token_delay_ms, 0), 2) END,
-      CASE WHEN mode = 'embedding' THEN round_even(coalesce(embeddings_per_second, 0), 2) END
-     FROM own WHERE status_code <> 'ERROR'""",
+     SELECT span_id, 'starting' AS phase, 'info' AS level, start_ns AS ts_ns, mode, concat('[SLM] starting ', mode, ': ', {_STARTS_SQL}) AS message FROM own
+     UNION ALL SELECT span_id, 'failed', 'error', end_ns, mode, concat('[SLM] failed: ', status_description) FROM own WHERE status_code = 'ERROR'
+     UNION ALL SELECT span_id, 'completed', 'info', end_ns, mode, concat('[SLM] completed ', mode, ': ', {_ENDS_SQL}) FROM own WHERE status_code <> 'ERROR'""",
 )
 def span_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = span_logs.span_log_records(measured(spark, sf_dir))
-
-    def field(name: str):
-        return F.col(f"fields.{name}")
-
-    order = ("max_tokens", "temperature", "input_messages", "total_tokens", "output_content_length", "completion_tokens",
-             "input_count", "input_content_length", "output_count", "chunk_count", "chunks_with_content", "empty_chunks")
-    return records.select(
-        "span_id", "phase", "level", "ts_ns", "mode",
-        F.concat_ws("|", *[field(n).cast("string") for n in order]).alias("numbers"),
-        F.when(F.col("phase") == "failed", F.col("message")).alias("failure"),
-        field("duration_ms").alias("duration_ms"),
-        field("total_tokens_per_second").alias("rate"),
-        field("first_token_delay_ms").alias("first_token_delay_ms"),
-        field("embeddings_per_second").alias("embed_rate"),
-    )
+    return span_logs.span_log_records(measured(spark, sf_dir)).select("span_id", "phase", "level", "ts_ns", "mode", "message")
 
 
 @query(
