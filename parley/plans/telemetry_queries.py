@@ -202,9 +202,11 @@ _CHAT, _LIVE, _EMBED = "mode IN ('streaming', 'non-streaming')", "mode = 'stream
 
 def _two(name: str) -> str:
     """Two decimals of a number as it is written, halves to the even digit."""
-    hundred = f"(CAST(CAST(coalesce({name}, 0)::DOUBLE AS VARCHAR) AS DECIMAL(36, 16)) * 100)"
+    hundred = f"(CAST(CAST(coalesce({name}, 0)::DOUBLE AS VARCHAR) AS DECIMAL(38, 20)) * 100)"
     up = f"CASE WHEN {hundred} % 1 > 0.5 OR ({hundred} % 1 = 0.5 AND floor({hundred})::HUGEINT % 2 = 1) THEN 1 ELSE 0 END"
-    return f"((floor({hundred})::HUGEINT + {up})::DOUBLE / 100)"
+    text = f"CAST((floor({hundred})::HUGEINT + {up})::DOUBLE / 100 AS VARCHAR)"
+    # From ten million on, numbers are written with an exponent.
+    return rf"regexp_replace(regexp_replace(regexp_replace({text}, '^(\d)(\d{{7}})\.(\d+)$', '\1.\2\3E7'), '0+E7$', 'E7'), '\.E7$', '.0E7')"
 
 
 _STARTS_SQL = _cells_sql(
