@@ -12,15 +12,15 @@ from parley.functions.ids import stable_id
 from parley.operators import completions as C
 from parley.operators import contracts
 from parley.operators.inference import echo_backend, generate_completions
-from parley.plans.derive import RAW_SQL, STRICT_JSON, WS, raw_completions, table
+from parley.plans.derive import RAW_SQL, SQL_CALL, SQL_SPACE, SQL_THINK, SQL_TOKEN, STRICT_JSON, WS, raw_completions, table
 from parley.plans.registry import query
 
 _CLEAN = f"""CASE WHEN len(thoughts) = 0 THEN content
- ELSE trim(regexp_replace(content, '{T.THINK_BLOCK}', '', 'g'), '{WS}') END"""
+ ELSE trim(regexp_replace(content, '{SQL_THINK}', '', 'g'), '{WS}') END"""
 _REASONING = f"""nullif(array_to_string(list_transform(thoughts, lambda x: trim(x, '{WS}')), chr(10)), '')"""
 
 SPLIT_SQL = f"""{RAW_SQL}, thought AS (
- SELECT *, regexp_extract_all(content, '{T.THINK_BLOCK}', 1) AS thoughts FROM raw),
+ SELECT *, regexp_extract_all(content, '{SQL_THINK}', 1) AS thoughts FROM raw),
 split AS (SELECT conv_id, turn, stream_id, content AS raw_content, {_REASONING} AS reasoning, {_CLEAN} AS content FROM thought)"""
 
 
@@ -28,7 +28,7 @@ def calls_sql(source: str) -> str:
     """CTEs that parse the calls in ``source.content`` into ``parsed``."""
     return f"""bodies AS (
  SELECT stream_id, unnest(range(len(l))) AS i, unnest(l) AS body FROM (
-  SELECT stream_id, regexp_extract_all(content, '{T.CALL_BLOCK}', 1) AS l FROM {source})),
+  SELECT stream_id, regexp_extract_all(content, '{SQL_CALL}', 1) AS l FROM {source})),
 kinds AS (
  SELECT *, CASE WHEN {STRICT_JSON.format(b='body')} THEN json_type(body) = 'OBJECT' ELSE false END AS is_object FROM bodies),
 records AS (
@@ -48,7 +48,7 @@ parsed AS (
   CASE WHEN n > 0 AND NOT bad THEN n ELSE 0 END AS n_calls,
   CASE WHEN n > 0 AND NOT bad THEN names ELSE '' END AS names,
   CASE WHEN n > 0 AND NOT bad THEN arguments ELSE '' END AS arguments,
-  CASE WHEN n > 0 AND NOT bad THEN nullif(trim(regexp_replace(content, '{T.CALL_BLOCK}', '', 'g'), '{WS}'), '') ELSE content END AS remaining
+  CASE WHEN n > 0 AND NOT bad THEN nullif(trim(regexp_replace(content, '{SQL_CALL}', '', 'g'), '{WS}'), '') ELSE content END AS remaining
  FROM {source} AS s LEFT JOIN called USING (stream_id))"""
 
 
@@ -314,7 +314,7 @@ _SOUP = "replace(replace(html, '<p>', '<think>'), '</p>', '</think>')"
     "tag_scan",
     f"""SELECT page_id, pos::BIGINT AS pos, token, token IN ('<think>', '</think>', '<tool_call>', '</tool_call>') AS is_tag FROM (
       SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS token FROM (
-       SELECT page_id, regexp_extract_all({_SOUP}, '{T.SCAN}', 0) AS l FROM pages))""",
+       SELECT page_id, regexp_extract_all({_SOUP}, '{SQL_TOKEN}', 0) AS l FROM pages))""",
 )
 def tag_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = table(spark, sf_dir, "pages").select(
@@ -351,7 +351,7 @@ def log_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "text_statistics",
-    f"""SELECT doc_id, CASE WHEN s = '' THEN 0 ELSE len(regexp_split_to_array(s, '{X.SPACE_CLASS}+')) END::BIGINT AS words,
+    f"""SELECT doc_id, CASE WHEN s = '' THEN 0 ELSE len(regexp_split_to_array(s, '{SQL_SPACE}+')) END::BIGINT AS words,
      length(text) AS chars, length(replace(text, ' ', '')) AS chars_no_spaces,
      length(text) - length(translate(text, '.!?', '')) AS sentence_marks
      FROM (SELECT doc_id, text, trim(text, '{WS}') AS s FROM documents)""",

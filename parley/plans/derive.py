@@ -18,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 WS = WHITESPACE
 
+# Patterns of the SQL, written by hand: white space; complete blocks; tokens of a stream (a tag, a started tag with
+# what broke it, other text, a started tag at the end).
+SQL_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SQL_THINK = r"(?s)<think>(.*?)</think>"
+SQL_CALL = rf"(?s)<tool_call>{SQL_SPACE}*(\{{.*?\}}){SQL_SPACE}*</tool_call>"
+SQL_TOKEN = (
+    r"(?s)</?think>|</?tool_call>|<[^/t]|</[^t]|</?t[^ho]|</?th[^i]|</?thi[^n]|</?thin[^k]|</?think[^>]|</?to[^o]|</?too[^l]|</?tool[^_]"
+    r"|</?tool_[^c]|</?tool_c[^a]|</?tool_ca[^l]|</?tool_cal[^l]|</?tool_call[^>]|[^<]+"
+    r"|</?(?:t|th|thi|thin|think|to|too|tool|tool_|tool_c|tool_ca|tool_cal|tool_call)?\z"
+)
+
 # Completion texts with every form of tags, good and bad.
 RAW_VARIANT = "(conv_id * 3 + turn) % 16"
 RAW_CONTENT = f"""CASE {RAW_VARIANT}

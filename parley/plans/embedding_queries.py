@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions.text import SPACE_CLASS, words
+from parley.functions.text import words
 from parley.operators import embeddings as V
 from parley.operators.inference import arithmetic_encoder, encode_texts
-from parley.plans.derive import WS, table
+from parley.plans.derive import SQL_SPACE, WS, table
 from parley.plans.registry import query
 
-_WORDS = f"CASE WHEN trim(text, '{WS}') = '' THEN [] ELSE regexp_split_to_array(trim(text, '{WS}'), '{SPACE_CLASS}+') END"
+_WORDS = f"CASE WHEN trim(text, '{WS}') = '' THEN [] ELSE regexp_split_to_array(trim(text, '{WS}'), '{SQL_SPACE}+') END"
 
 
 @query(

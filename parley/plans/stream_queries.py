@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.functions import tags as T
 from parley.operators import contracts, replay, usage
 from parley.operators.requests import conversation_attributes
 from parley.plans.completion_queries import id_sql
-from parley.plans.derive import CHUNKS_SQL, STRICT_JSON, WS, chunk_lines, chunk_streams, table
+from parley.plans.derive import CHUNKS_SQL, SQL_TOKEN, STRICT_JSON, WS, chunk_lines, chunk_streams, table
 from parley.plans.registry import query
 from parley.session import shared_folder
 from parley.sources import chunks as W
 from parley.streaming.rewrite import as_chunks, rewrite_live
 
-_TAG_LIST = ", ".join(f"'{t}'" for t in T.TAGS)
+_TAG_LIST = "'<think>', '</think>', '<tool_call>', '</tool_call>'"
 
 REPLAY_SQL = f"""{CHUNKS_SQL}, texts AS (
  SELECT stream_id, string_agg(content, '' ORDER BY seq) AS t FROM chunks WHERE length(content) > 0 GROUP BY stream_id),
 toks AS (
  SELECT stream_id, unnest(range(len(l))) AS i, unnest(l) AS tok FROM (
-  SELECT stream_id, regexp_extract_all(t, '{T.SCAN}', 0) AS l FROM texts)),
+  SELECT stream_id, regexp_extract_all(t, '{SQL_TOKEN}', 0) AS l FROM texts)),
 placed AS (
  SELECT *, tok IN ({_TAG_LIST}) AS is_tag,
   sum(length(tok)) OVER (PARTITION BY stream_id ORDER BY i) AS chars,

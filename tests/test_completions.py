@@ -21,15 +21,15 @@ def completion(spark, *contents, model="test-model"):
 
 
 def test_rewrite(spark):
-    given = completion(spark, "<think>Analyzing the question.</think>\n\nThe answer is 42.", THINK_CALL,
-                       "<think>\n\n</think>\n\nHello!", "Plain", "", None, "<tool_call>{oops}</tool_call>")
+    given = completion(spark, "<think>counting rings</think>\n\nNine rings.", THINK_CALL,
+                       "<think>\n\n</think>\n\nServus", "Plain", "", None, "<tool_call>{oops}</tool_call>")
     rows = C.rewrite_completions(given).collect()
     seen = [(c.message.content, c.message.reasoning_content, c.message.tool_calls and len(c.message.tool_calls), c.finish_reason)
             for c in (r.choices[0] for r in rows)]
     assert seen == [
-        ("The answer is 42.", "Analyzing the question.", None, "stop"),
+        ("Nine rings.", "counting rings", None, "stop"),
         (None, "Let me check", 1, "tool_calls"),
-        ("Hello!", None, None, "stop"),
+        ("Servus", None, None, "stop"),
         ("Plain", None, None, "stop"),
         ("", None, None, "stop"),
         (None, None, None, "stop"),
@@ -55,7 +55,7 @@ def test_flat_rewrite_and_contract(spark):
 
 
 def test_usage(spark):
-    rows = C.completion_usage(completion(spark, "Hello world!", "")).collect()
+    rows = C.completion_usage(completion(spark, "Servus zamma", "")).collect()
     assert [(r.prompt_tokens, r.completion_tokens, r.total_tokens, r.output_content_length) for r in rows] == [
         (100, 50, 150, 12), (100, 50, 150, 0)]
 

@@ -10,7 +10,7 @@ from parley.sources.requests import read_embedding_requests, read_requests
 def test_requests_from_json(spark, tmp_path):
     tool = {"type": "function", "function": {"name": "f", "parameters": {"type": "object"}}}
     lines = [
-        {"request_id": "plain", "messages": [{"role": "user", "content": "Hello"}]},
+        {"request_id": "plain", "messages": [{"role": "user", "content": "Salve"}]},
         {"request_id": "null", "messages": [{"role": "assistant", "content": None, "tool_calls": [
             {"id": "c", "type": "function", "function": {"name": "f", "arguments": "{}"}}]},
             {"role": "user", "content": None}], "tools": [tool]},
@@ -80,19 +80,19 @@ def test_embedding_inputs_do_not_vanish(spark, tmp_path):
 
 def test_attributes(spark):
     one = spark.createDataFrame(
-        [([("user", "Hello"), ("user", "Hi there")], None, False), ([("user", "x" * 40), ("user", None)], 7, True)],
+        [([("user", "Salve"), ("user", "Na hallo")], None, False), ([("user", "x" * 40), ("user", None)], 7, True)],
         "messages array<struct<role:string,content:string>>, max_tokens int, stream boolean")
     rows = R.request_attributes(one).collect()
     assert [(r.input_messages, r.input_content_length, r.max_tokens, r.prompt_tokens) for r in rows] == [
         (2, 13, 0, None), (2, 40, 7, 10)]
-    turns = spark.createDataFrame([(1, "Hello"), (1, "Hi there"), (2, None)], "conv_id int, text string")
+    turns = spark.createDataFrame([(1, "Salve"), (1, "Na hallo"), (2, None)], "conv_id int, text string")
     got = {r.conv_id: (r.input_messages, r.input_content_length, r.prompt_tokens)
            for r in R.conversation_attributes(turns).collect()}
     assert got == {1: (2, 13, 3), 2: (1, 0, 1)}
 
 
 def test_model_ids(spark):
-    paths = [("", "/tmp/SomeModel.gguf", "SomeModel"), (None, "/m/a.b.gguf", "a.b"), ("given", "/tmp/x.gguf", "given"),
+    paths = [("", "/srv/Otter-2b.gguf", "Otter-2b"), (None, "/m/a.b.gguf", "a.b"), ("given", "/tmp/x.gguf", "given"),
              (None, "/m/noext", "noext"), (None, "/m/.hidden", ".hidden"), (None, "/m/dir/", "dir")]
     df = spark.createDataFrame([(i, *p[:2]) for i, p in enumerate(paths)], "i int, m string, p string")
     rows = df.orderBy("i").select(R.model_id_of(F.col("m"), F.col("p")).alias("id")).collect()
@@ -100,7 +100,7 @@ def test_model_ids(spark):
 
 
 def test_embedding_requests(spark, tmp_path):
-    lines = [{"request_id": "one", "input": "text"}, {"request_id": "many", "input": ["Hello", "", "World", ""]},
+    lines = [{"request_id": "one", "input": "text"}, {"request_id": "many", "input": ["Salve", "", "Licht", ""]},
              {"request_id": "none", "input": []}, {"request_id": "over", "input": ["x"] * 2049},
              {"request_id": "full", "input": ["x"] * 2048}]
     path = tmp_path / "e.jsonl"
@@ -114,6 +114,6 @@ def test_embedding_requests(spark, tmp_path):
     assert (rows["none"].input_count, rows["none"].input_content_length, rows["none"].output_count) == (0, 0, None)
     texts = indexed_inputs(good.where("request_id in ('one', 'many', 'none')"))
     assert sorted((r.request_id, r["index"], r.text) for r in texts.collect()) == [
-        ("many", 0, "Hello"), ("many", 1, ""), ("many", 2, "World"), ("many", 3, ""), ("one", 0, "text")]
+        ("many", 0, "Salve"), ("many", 1, ""), ("many", 2, "Licht"), ("many", 3, ""), ("one", 0, "text")]
     out = embedding_response(texts.withColumn("embedding", F.array(F.lit(1.0))), "served").collect()
     assert {r.model for r in out} == {"served"}

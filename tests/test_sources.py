@@ -86,9 +86,9 @@ def test_catalogue(spark, tmp_path):
     model.write_bytes(b"x")
     os.utime(model, (1_700_000_000, 1_700_000_000))
     configured = spark.createDataFrame(
-        [("", str(model), None), ("", "/tmp/none/SomeModel.gguf", "custom-org"), ("emb", "/tmp/none/e.onnx", catalogue.EMBEDDING_OWNER)],
+        [("", str(model), None), ("", "/tmp/none/Otter-2b.gguf", "custom-org"), ("emb", "/tmp/none/e.onnx", catalogue.EMBEDDING_OWNER)],
         "model_id string, path string, owned_by string")
     rows = catalogue.model_catalogue(configured, catalogue.model_files(spark, str(tmp_path / "models"))).collect()
     assert sorted(tuple(r) for r in rows) == sorted([
-        ("chat.Q4", "model", 1_700_000_000, catalogue.DEFAULT_OWNER), ("SomeModel", "model", 0, "custom-org"),
+        ("chat.Q4", "model", 1_700_000_000, catalogue.DEFAULT_OWNER), ("Otter-2b", "model", 0, "custom-org"),
         ("emb", "model", 0, catalogue.EMBEDDING_OWNER)])
