@@ -71,6 +71,13 @@ class Lexicon:
         sizes[: min(SHORT, len(head))] = counts[:SHORT]
         self.frequency = (sizes + 0.5) / (sizes + 0.5).sum()
 
+    @classmethod
+    def of(cls, values: dict) -> Lexicon:
+        """A lexicon from the values of another."""
+        lexicon = cls.__new__(cls)
+        vars(lexicon).update(values)
+        return lexicon
+
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Counter]:
         """Classes of all tokens, contexts of all words, numbers of the head words, and the other words with their counts."""
         number = np.fromiter(map(self.number.get, words, [-1] * len(words)), np.int64, len(words))
@@ -153,10 +160,11 @@ class Trainer:
 
 def train(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
     """Parameters averaged over all tasks by their tokens; only one set reaches the driver."""
-    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
+    # Plain values: a broadcast object would need this package on every worker.
+    shared = texts.sparkSession.sparkContext.broadcast(vars(lexicon))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = shared.value, 0
+        known, seen = Lexicon.of(shared.value), 0
         trainer = Trainer(known.frequency, 1)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
@@ -204,8 +212,12 @@ class Scorer:
 _SCORERS: dict[int, Scorer] = {}
 
 
+MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def score(docs: DataFrame, text: str, is_training: str) -> DataFrame:
-    """``docs`` with n_tokens, n_known, train_tokens, base_score and score; learned from the rows where ``is_training`` holds."""
+    """``docs`` with n_tokens, n_known, train_tokens, base_score and score; learned from the rows where ``is_training`` holds.
+    Columns of these names are replaced; others may have any name."""
     spark = docs.sparkSession
     texts = docs.filter(F.col(is_training)).select(F.coalesce(text, F.lit("")).alias("text"))
     counts = settle(word_counts(texts))
@@ -215,14 +227,17 @@ def score(docs: DataFrame, text: str, is_training: str) -> DataFrame:
     total, distinct = sum(n for n, _ in endings.values()) + n_texts, sum(v for _, v in endings.values()) + (n_texts > 0)
     lexicon = Lexicon(most_frequent(counts, HEAD), endings, total, distinct, n_texts)
     flat = train(texts, lexicon) if n_texts else Parameters(lexicon.frequency).flat()
-    shared = spark.sparkContext.broadcast((lexicon, flat, log_sums(Parameters.of(flat)).astype(np.float32)))
+    shared = spark.sparkContext.broadcast((vars(lexicon), flat, log_sums(Parameters.of(flat)).astype(np.float32)))
 
     keep = [c for c in docs.columns if c not in (text, is_training)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("_row"), F.coalesce(text, F.lit("")).alias("_text"))
+    # The rest of a row goes as one struct, so that its columns may have any names.
+    doc = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(0)
+    rows = docs.select(doc.alias("doc"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     word = pa.struct([("word", pa.binary()), ("g", pa.int32()), ("times", pa.int32())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parameters, sums = shared.value
+        values, parameters, sums = shared.value
+        known = Lexicon.of(values)
         scorer = _SCORERS.get(id(sums))
         if scorer is None:
             _SCORERS.clear()
@@ -249,19 +264,19 @@ def score(docs: DataFrame, text: str, is_training: str) -> DataFrame:
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
     kinds += ", n_tokens long, n_known long, base_score double, score double, rare array<struct<word: binary, g: int, times: int>>"
     told = settle(rows.mapInArrow(read, kinds))
-    rare = told.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.g", "r.times")
+    rare = told.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.g", "r.times")
     of_ending = F.element_at(F.array(*[F.lit(float(x)) for x in lexicon.of_ending]), F.col("g") + 1)
     rare = rare.join(counts, "word", "left")
     seen = F.log10(F.coalesce("n", F.lit(0)) + 0.5)
-    sums = rare.groupBy("_row").agg(
+    sums = rare.groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * (seen - F.lit(lexicon.base_of_all))).alias("more_base"),
         F.sum(F.col("times") * (seen - of_ending)).alias("more_score"),
     )
-    told = told.drop("rare").join(sums, "_row", "left")
+    told = told.drop("rare").join(sums, "row", "left")
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
     return told.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[F.col(f"doc.`{c}`").alias(c) for c in keep if c not in MADE],
         "n_tokens",
         plus("n_known", "more_known"),
         F.lit(lexicon.total).cast("long").alias("train_tokens"),

@@ -63,3 +63,30 @@ def test_no_training_text(spark):
     got = {r["doc_id"]: r for r in lm.score(docs, "text", "trains").collect()}
     assert got[2]["n_tokens"] == 1 and got[1]["n_known"] == 0 and got[1]["train_tokens"] == 0
     assert lm.score(docs.limit(0), "text", "trains").count() == 0
+
+
+def test_columns_of_any_names(spark):
+    docs = corpus(spark, [(1, "some words", "x", "y"), (2, None, None, None)]).withColumns({"trains": F.lit(True), "score": F.lit("mine"), "rare": F.lit(1), "_row": F.lit(2), "row": F.lit(3), "_text": F.lit(4)})
+    out = lm.score(docs, "text", "trains")
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "rare", "_row", "row", "_text", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert sorted((r["doc_id"], r["rare"], r["row"], r["_text"], r["n_tokens"]) for r in out.collect()) == [(1, 1, 3, 4, 3), (2, 1, 3, 4, 1)]
+
+
+def test_workers_need_no_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(lm.__file__).resolve().parents[2])
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession, functions as F
+from parley.llm import lm_scoring as lm
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+docs = spark.createDataFrame([(1, "some words"), (2, "more words")], "doc_id long, text string").withColumn("trains", F.lit(True))
+assert lm.score(docs, "text", "trains").count() == 2
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=180, capture_output=True)
