@@ -3,9 +3,12 @@
 An item is known by a 64-bit id. Items that share a bucket are candidates. A bucket
 is never expanded into all pairs. Every member is first compared with a few
 representatives of its bucket, those that share most buckets with others; linked
-items form classes. What is left is exact: members outside
-their bucket's largest class are compared with the members of other classes, so
-that no pair of different classes in one bucket stays unseen. Distances (1 less
+items form classes. Then members outside their bucket's largest class meet
+the members of other classes: all of them in a bucket of up to ``SMALL`` members;
+in a larger one those with which they share a second bucket, and where these are more than
+``SMALL``, again representatives. So the number of pairs grows with the members, not with
+the square of a bucket. What is linked shares each bucket of a band with a known
+probability, so a linked pair rarely shares just one. Distances (1 less
 the Jaccard similarity, weighted or not) keep the triangle inequality: pairs whose
 distances to the representative differ by more than a link may have are left out.
 """
@@ -22,6 +25,8 @@ from parley.llm.common import checkpointed, settle
 
 SLOTS, WORD_BITS = 1 << 24, 64
 REPRESENTATIVES = 6
+#: Members that a bucket, or what shares two buckets, may have for its loose members to meet all others of it.
+SMALL = 32
 
 
 def sieve(ids: DataFrame, column: str = "id") -> DataFrame:
@@ -124,14 +129,30 @@ def find_links(members: DataFrame, texts: Callable[[DataFrame], DataFrame], comp
     sizes = held.groupBy("bucket", "root").count()
     main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
     near = star.select(F.col("a").alias("id"), F.col("b").alias("centre"), "similarity")
-    mixed = held.join(main.drop("kinds"), "bucket").join(near, ["id", "centre"], "left")
-    mixed = checkpointed(mixed.withColumn("similarity", F.coalesce("similarity", F.lit(1.0))))  # else it is the centre itself
-    loose = mixed.filter(F.col("root") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("root").alias("xr"), F.col("similarity").alias("xs"))
-    others = mixed.select("bucket", F.col("id").alias("y"), F.col("root").alias("yr"), F.col("similarity").alias("ys"), "main")
-    # A pair of two loose members is met from both sides and kept once; the centre has been compared with all.
-    once = (F.col("yr") == F.col("main")) | (F.col("x") > F.col("y"))
-    reach = F.abs(F.col("xs") - F.col("ys")) <= 1 - least + 1e-9
-    uncompared = (F.col("xs") < 1) & (F.col("ys") < 1)
-    rest = loose.join(others, "bucket").filter((F.col("xr") != F.col("yr")) & once & reach & uncompared)
-    rest = checkpointed(rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    mixed = held.join(main, "bucket").join(sizes.groupBy("bucket").agg(F.sum("count").alias("n")), "bucket").join(near, ["id", "centre"], "left")
+    # One that has no similarity to the centre is the centre itself, which has been compared with all.
+    mixed = mixed.withColumns({"similarity": F.coalesce("similarity", F.lit(1.0)), "loose": F.col("root") != F.col("main")})
+    mixed = checkpointed(mixed.select("bucket", "id", "root", "loose", "similarity", "n"))
+    reach = 1 - least + 1e-9
+
+    def met(groups: DataFrame, keys: list[str]) -> DataFrame:
+        """Every loose member of a group with the members of other classes, each pair once."""
+        x = groups.filter("loose and similarity < 1").select(*keys, F.col("id").alias("x"), F.col("root").alias("xr"), F.col("similarity").alias("xs"))
+        y = groups.filter("similarity < 1").select(*keys, F.col("id").alias("y"), F.col("root").alias("yr"), F.col("similarity").alias("ys"), "loose")
+        pairs = x.join(y, keys).filter((F.col("xr") != F.col("yr")) & (~F.col("loose") | (F.col("x") > F.col("y"))) & (F.abs(F.col("xs") - F.col("ys")) <= reach))
+        return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+    # Members of a larger bucket meet where they share one more bucket; what is large there still meets representatives of other classes.
+    again = mixed.filter(F.col("n") > SMALL).drop("n").join(shared.select("id", F.col("bucket").alias("more")), "id").filter("bucket <> more")
+    open_ = again.filter("loose").select("bucket", "more").distinct()
+    again = checkpointed(again.join(open_, ["bucket", "more"], "left_semi"))
+    kind = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(REPRESENTATIVES))
+    who, turn = F.struct(F.col("id").alias("y"), F.col("root").alias("yr"), F.col("similarity").alias("ys")), F.xxhash64("id", F.lit(13))
+    drawn = [F.max_by(who, F.when(kind == i, turn)) for i in range(REPRESENTATIVES)]
+    of_sub = again.groupBy("bucket", "more").agg(F.count("*").alias("m"), F.array_compact(F.array(*drawn)).alias("drawn"))
+    again = checkpointed(again.join(of_sub, ["bucket", "more"]))
+    seen = again.filter((F.col("m") > SMALL) & F.col("loose")).select(F.col("id").alias("x"), F.col("root").alias("xr"), F.col("similarity").alias("xs"), F.inline("drawn"))
+    seen = seen.filter((F.col("xr") != F.col("yr")) & (F.abs(F.col("xs") - F.col("ys")) <= reach)).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    rest = met(mixed.filter(F.col("n") <= SMALL), ["bucket"]).unionByName(met(again.filter(F.col("m") <= SMALL), ["bucket", "more"])).unionByName(seen)
+    rest = checkpointed(rest.distinct())
     return first.unionByName(checkpointed(compared(rest, payload, compare).filter(F.col("similarity") >= least).select("a", "b")))
