@@ -47,24 +47,6 @@ def is_tag(token: Column) -> Column:
     return token.isin(*TAGS)
 
 
-def tag_ending(text: Column) -> Column:
-    """The trailing run of tag characters, the only part a scanner can still hold."""
-    return F.substring(text, F.length(F.rtrim(text, F.lit(TAG_BODY))) + 1, F.length(text))
-
-
-def settles(text: Column) -> Column:
-    """True when the text holds a character that decides whatever was held before it."""
-    return F.length(F.rtrim(text, F.lit(TAG_BODY))) > 0
-
-
-def held_back(ending: Column) -> Column:
-    """The started tag a scanner holds after a ``tag_ending``, else ''."""
-    last = F.element_at(scan_tokens(ending), -1)
-    return F.when(F.instr(ending, "<") == 0, F.lit("")).otherwise(
-        F.when(last.isin(*PARTIAL_TAGS), last).otherwise(F.lit(""))
-    )
-
-
 def has_block(text: Column, opening: str, closing: str) -> Column:
     """Cheap test that lets plain text skip the block pattern."""
     return text.contains(opening) & text.contains(closing)
