@@ -151,8 +151,10 @@ def find_links(members: DataFrame, texts: Callable[[DataFrame], DataFrame], comp
     drawn = [F.max_by(who, F.when(kind == i, turn)) for i in range(REPRESENTATIVES)]
     of_sub = again.groupBy("bucket", "more").agg(F.count("*").alias("m"), F.array_compact(F.array(*drawn)).alias("drawn"))
     again = checkpointed(again.join(of_sub, ["bucket", "more"]))
-    seen = again.filter((F.col("m") > SMALL) & F.col("loose")).select(F.col("id").alias("x"), F.col("root").alias("xr"), F.col("similarity").alias("xs"), F.inline("drawn"))
-    seen = seen.filter((F.col("xr") != F.col("yr")) & (F.abs(F.col("xs") - F.col("ys")) <= reach)).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    large = again.filter((F.col("m") > SMALL) & F.col("loose")).select(F.col("id").alias("x"), F.col("root").alias("xr"), F.col("similarity").alias("xs"), "drawn")
+    in_reach = F.filter("drawn", lambda y: (y["yr"] != F.col("xr")) & (F.abs(y["ys"] - F.col("xs")) <= reach))
+    seen = large.withColumn("drawn", in_reach).filter(F.size("drawn") > 0).select("x", F.inline("drawn"))
+    seen = seen.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
     rest = met(mixed.filter(F.col("n") <= SMALL), ["bucket"]).unionByName(met(again.filter(F.col("m") <= SMALL), ["bucket", "more"])).unionByName(seen)
     rest = checkpointed(rest.distinct())
     return first.unionByName(checkpointed(compared(rest, payload, compare).filter(F.col("similarity") >= least).select("a", "b")))
