@@ -99,3 +99,46 @@ def test_sections_of_an_article_are_kept():
         page = f'<html><body><article>{STORY}<section {label}><h2>Part</h2><p>{extra}</p></section><div class="share">Share this</div><p>The end.</p></article></body></html>'
         got = html_text.main_text(page, WEIGHTS)
         assert extra in got and "The end." in got and "Share this" not in got
+
+
+GIVEN = html_text.weights_from({("word:plain", True): 900, ("word:plain", False): 300, ("word:link", False): 200, ("tag:p", True): 60, ("tag:p", False): 20, ("tag:li", False): 90, ("tag:a", False): 90, ("tag:ul", False): 30})
+
+
+@pytest.mark.parametrize("weights", [WEIGHTS, GIVEN])
+@pytest.mark.parametrize("mark", ["article", "div"])
+def test_nothing_of_an_article_is_lost(weights, mark):
+    rows = "".join(f"<tr><td>name{i}</td><td>{i}</td></tr>" for i in range(30))
+    links = "".join(f'<li><a href="/{i}">link{i}</a></li>' for i in range(60))
+    end = "A closing sentence that says what the table means, with words enough."
+    remarks = '<div class="user-remarks">' + "<p>Nice</p><b>one</b>" * 30 + '</div><section id="kommentare">' + "<p>Sehr gut</p>" * 30 + "</section>"
+    page = f"<html><body><nav><a>Home</a></nav><{mark}><h2>Head</h2>{STORY}<table>{rows}</table><p>{end}</p><ul>{links}</ul><p title=don't>After <i>the</i> list there are more words to read.</p>{remarks}<p>Short.</p></{mark}><footer>x</footer></body></html>"
+    blocks = html_text.main_text(page, weights).split("\n\n")
+    story = [" ".join(f"story{k}x{i}" for i in range(30)) for k in range(5)]
+    assert blocks == ["Head", *story, *[f"name{i} {i}" for i in range(30)], end, *[f"link{i}" for i in range(60)], "After the list there are more words to read.", "Short."]
+
+
+@pytest.mark.parametrize("part", ["<div>", "<a ", "</x>", "<b></i>", "<p title=\"", "<a b=\">\" ", "<!", "<!--", "<b><hr>", "<p ='", "<form><p class=ad>", "<li>w", "<tr><td>w"])
+def test_hostile_pages_are_read_in_linear_time(part):
+    import time
+
+    page = part * (1_000_000 // len(part))
+    start = time.process_time()
+    html_text.main_text(page, WEIGHTS)
+    html_text.main_text("<b>" * 100_000 + page[:500_000], WEIGHTS)
+    assert time.process_time() - start < 30
+
+
+def test_tags_end_where_their_values_say():
+    for page, want in (("<p a='x>y' b=\"<b>\" c=it's>one</p>", "one"), ("<p a=\"never closed>two</p> <p>three</p>", "two\n\nthree"), ("<!--> four <!-- x -->", "four"),
+                       ("five <!-- open", "five"), ("a <b six", "a <b six"), ("<p/class='ad'>seven", ""), ("<p data-class='ad'>eight", "eight"), ("<p title='class=ad'>nine", "nine")):
+        assert html_text.main_text(page, WEIGHTS) == want, page
+
+
+def test_names_are_learned_from_labelled_pages(spark):
+    box = '<div class="zzbox">' + "spam words here " * 5 + "</div>"
+    marked = [(i, "u", f'<body><div class="outer"><article><p class="lead">{STORY}</p></article></div>{box}</body>') for i in range(20)]
+    pages = spark.createDataFrame([*marked, (99, "u", f'<body><div class="outer"><div>{STORY}</div>{box}<p class="lead">last words</p></div></body>')], "page_id long, url string, html string")
+    weights = html_text.learn_weights(pages)
+    assert weights["name:zzbox"] <= html_text.OTHER and "name:outer" not in weights and "name:lead" not in weights
+    texts = [r["text"] for r in html_text.extract(pages).collect()]
+    assert all("story4x29" in t and "spam" not in t for t in texts) and sum("last words" in t for t in texts) == 1
