@@ -7,11 +7,15 @@ support vector machine for each family decides the language family; families are
 groups of languages whose mean vectors are close. Within the family, one linear
 support vector machine for each pair of languages votes.
 
-Learning uses a bounded sample: at most about ``per_language`` labelled rows of
-each language (chosen by a hash of the row, spread over all rows). Prediction
-covers every text as a whole. Null texts and texts without a letter are ``und``
+Learning uses a bounded sample: about ``per_language`` different labelled texts of
+each language, at most twice that, and at most about ``most_rows`` of all languages
+together (chosen by a hash of the text, so that repeats of one count once). Prediction
+covers every text as a whole, however long. Null texts and texts without a letter are ``und``
 with score 0, as is every text where nothing could be learned. The score is the
-product of the logistic margins of the family and of the winner's weakest pair.
+product of the logistic margins of the family and of the winner's weakest pair; of two
+languages with the same votes the first by name wins. Repeated rows have the same
+prediction; an empty table gives an empty one. Other columns are kept, those named
+``lang_pred`` or ``score`` replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FEATURES = 1 << 14
@@ -142,17 +146,22 @@ def fit(langs: list[str], texts: list[bytes]) -> Model:
     return Model(languages, families, pairs, np.stack(machines, axis=1))
 
 
-def learn(labelled: DataFrame, per_language: int = 400) -> Model:
-    """``labelled``: text, lang. Rows are chosen by hash, so many of each language that about ``per_language`` are expected; at most twice that are used."""
+def learn(labelled: DataFrame, per_language: int = 400, most_rows: int = 8_000) -> Model:
+    """``labelled``: text, lang. The sample is drawn and freed of repeats in Spark; one task gets at most ``2 * most_rows`` texts and one for each language."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = rows.groupBy("lang").count()  # a row for each language
+    share = F.least(F.lit(per_language), F.greatest(F.lit(1), F.floor(F.lit(most_rows) / F.count("*").over(Window.partitionBy()))))
+    counts = counts.select(F.col("lang").alias("of"), "count", share.alias("share"))
     chosen = rows.withColumn("draw", F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1 << 30)))
     # A row for each language the model will tell apart, so no larger than the model; texts stay where they are.
-    chosen = chosen.join(F.broadcast(counts.withColumnRenamed("lang", "of")), F.col("lang") == F.col("of"))
-    chosen = chosen.filter(F.col("draw") < F.lit(float(per_language) * (1 << 30)) / F.col("count")).select("lang", "text", "draw")
+    chosen = chosen.join(F.broadcast(counts), F.col("lang") == F.col("of"))
+    chosen = chosen.filter(F.col("draw") < F.col("share") * F.lit(float(1 << 30)) / F.col("count"))
+    chosen = chosen.groupBy("lang", "text").agg(F.first("draw").alias("draw"), F.first("share").alias("share"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    chosen = chosen.withColumn("place", place).filter(F.col("place") <= 2 * F.col("share")).select("lang", "text", "draw")
 
     def train(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["lang", "text"]).sort_values(["lang", "draw", "text"]).groupby("lang").head(2 * per_language)
+        frame = frame.sort_values(["lang", "draw", "text"])
         model = fit(frame["lang"].tolist(), [t.encode("utf-8", "replace") for t in frame["text"]])
         pairs = [x for p in model.pairs for x in p]
         return pd.DataFrame({"languages": [model.languages], "families": [model.families], "pairs": [pairs], "weights": [model.weights.tobytes()]})
