@@ -7,18 +7,24 @@ cross documents; strings are judged on the input.
 Which suffixes to sort: the string of ``ANCHOR`` bytes with the least hash in every
 window of ``LENGTH`` bytes is an anchor. Two equal windows have the same anchor at
 the same place, so it is enough to compare places whose anchors are equal. Places
-with one anchor are a group; a place brings the bytes around it that a window
-could take in. Suffixes to the right of the anchors are sorted by multikey
+with one anchor are a group; the bytes around a place that a window
+could take in are its context. Equal contexts are one: where a context stands at two
+places, all of it is repeated, at every place of it (periodic texts and copies have few contexts at many places). Only one of
+each context is cut out and sorted with the others of its anchor. Suffixes to the right of the anchors are sorted by multikey
 quicksort to a shallow depth and beyond it by blind tries, as are the bytes to the
-left, read backwards. Where two places agree on l bytes to the left and r to the
+left, read backwards. Where two contexts agree on l bytes to the left and r to the
 right with l + r >= LENGTH, windows repeat; runs of common prefixes in both orders
 tell for every shift of the window whether it has a partner. Nothing is compared
 in pairs.
 
 Texts that occur several times as a whole are one text in the groups; each of
 their copies is repeated entirely (from ``LENGTH`` bytes on). Groups of more than
-``WIDE`` places are not gathered in a task: their windows are hashed and counted
-instead, shift by shift. Texts are told apart by a 64-bit hash.
+``WIDE`` different contexts are not gathered in a task: their windows are hashed and counted
+instead, shift by shift. Texts are told apart by a 64-bit hash, contexts by 128 bits.
+
+Texts shorter than ``LENGTH`` bytes keep everything; a text of any length is one cell.
+Repeated rows are copies, each treated alike. An empty table gives an empty one. Other
+columns are kept whatever their names, but for ``repeats``, which is replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,64 +248,75 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, wide: int = WIDE) ->
     most_left = length - anchor
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.list_(pa.int64())]
+        names = ["anchor", "c", "d", "key", "back", "ahead", "places"]
         for batch in batches:
-            out: list[list] = [[], [], []]
-            size = 0
+            out: list[list] = [[] for _ in names]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hashes, places = anchors_of((text.as_py() or "").encode("utf-8", "surrogatepass"), length, anchor)
-                if len(places):
-                    for column, values in zip(out, (hashes, np.full(len(places), key), places)):
-                        column.append(values)
-                    size += len(places)
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["anchor", "key", "place"])
+                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                own: dict[tuple, list[int]] = {}
+                for anchor_hash, x in zip(*(v.tolist() for v in anchors_of(data, length, anchor))):
+                    back, ahead = min(x, most_left), min(length, len(data) - x)
+                    context = xxhash.xxh3_128_digest(data[x - back : x + ahead], back)
+                    own.setdefault((anchor_hash, context, back, ahead), []).append(x)
+                for (anchor_hash, context, back, ahead), places in own.items():
+                    c, d = int.from_bytes(context[:8], "little", signed=True), int.from_bytes(context[8:], "little", signed=True)
+                    for column, value in zip(out, (anchor_hash, c, d, key, back, ahead, places)):
+                        column.append(value)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
 
     long_texts = texts.filter(F.octet_length("text") >= length)
-    anchors = settle(long_texts.mapInArrow(mark, "anchor long, key long, place long"))
-    at = F.struct("key", "place")
-    shared = anchors.groupBy("anchor").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("n"))
-    shared = checkpointed(shared.filter("a <> b").select("anchor", "n"))
-    places = sifted(anchors, sieve(shared, "anchor"), "anchor").join(shared, "anchor").distinct()
-    by_text = checkpointed(places.groupBy("key").agg(F.collect_list(F.struct("anchor", "place", "n")).alias("places")))
+    anchors = settle(long_texts.mapInArrow(mark, "anchor long, c long, d long, key long, back int, ahead int, places array<long>"))
+    at, times = F.struct("key", F.col("places")[0].alias("place")), F.max(F.size("places"))
+    twice = (F.col("a") != F.col("b")) | (F.col("times") > 1)
+    shared = anchors.groupBy("anchor").agg(F.min(at).alias("a"), F.max(at).alias("b"), times.alias("times")).filter(twice).select("anchor")
+    met = sifted(anchors, sieve(checkpointed(shared), "anchor"), "anchor")
+    contexts = met.groupBy("anchor", "c", "d", "back", "ahead").agg(F.min(at).alias("a"), F.max(at).alias("b"), times.alias("times"))
+    contexts = checkpointed(contexts.select("anchor", "c", "d", "back", "ahead", "a", twice.alias("twice")))
+    several = checkpointed(contexts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
+    firsts = contexts.join(several, "anchor").select("anchor", "c", "d", "n", "a.key", "a.place")
+    by_text = checkpointed(firsts.groupBy("key").agg(F.collect_list(F.struct("anchor", "c", "d", "n", "place")).alias("places")))
     held = sifted(long_texts, sieve(by_text, "key"), "key").groupBy("key").agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 4 + [pa.binary()] * 2
+        names = ["anchor", "c", "d", "n", "before", "after"]
         for batch in batches:
             # Places stay in Arrow until their text is at hand; a batch may hold very many.
-            lists, keys, texts = batch.column(2), batch.column(0), batch.column(1)
+            lists, texts = batch.column(1), batch.column(0)
             ends, places = lists.offsets.to_pylist(), lists.values
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[] for _ in names]
             for i in range(batch.num_rows):
                 data = texts[i].as_py().encode("utf-8", "surrogatepass")
                 own = places.slice(ends[i], ends[i + 1] - ends[i])
-                for anchor_hash, x, n in zip(*(own.field(f).to_pylist() for f in ("anchor", "place", "n"))):
-                    for column, value in zip(rows, (anchor_hash, keys[i].as_py(), x, n, data[max(0, x - most_left) : x], data[x : x + length])):
+                for *told, x in zip(*(own.field(f).to_pylist() for f in ("anchor", "c", "d", "n", "place"))):
+                    for column, value in zip(rows, (*told, data[max(0, x - most_left) : x], data[x : x + length])):
                         column.append(value)
                     if len(rows[0]) >= 4096:
-                        yield batch_of(rows)
-                        rows = [[], [], [], [], [], []]
+                        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds)], names=names)
+                        rows = [[] for _ in names]
             if rows[0]:
-                yield batch_of(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds)], names=names)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    names = ["anchor", "key", "place", "n", "before", "after"]
-    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
-    around = held.join(by_text, "key").select("key", "text", "places")
-    around = around.mapInArrow(cut, "anchor long, key long, place long, n long, before binary, after binary")
+    around = held.join(by_text, "key").select("text", "places")
+    around = around.mapInArrow(cut, "anchor long, c long, d long, n long, before binary, after binary")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[list[int]] = [[], [], []]
+        names = ["c", "d", "back", "ahead"]
+        found: list[list[int]] = [[] for _ in names]
         group: list[tuple] = []
 
         def close() -> None:
             if len(group) > 1:
-                windows = repeated_windows([g[2][::-1] for g in group], [g[3] for g in group], length, most_left)
-                for i, low, high in windows:
-                    _, place, _, _ = group[i]
-                    for column, value in zip(found, (group[i][0], place - high, place - low + length)):
+                for i, low, high in repeated_windows([g[2][::-1] for g in group], [g[3] for g in group], length, most_left):
+                    for column, value in zip(found, (group[i][0], group[i][1], high, length - low)):
                         column.append(value)
             group.clear()
 
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(found, [pa.int64()] * 2 + [pa.int32()] * 2)], names=names)
+
         now = None
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
@@ -309,36 +327,41 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, wide: int = WIDE) ->
                         now = anchor_hash
                     group.append(tuple(row))
             if len(found[0]) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["key", "start", "stop"])
-                found = [[], [], []]
+                yield told()
+                found = [[] for _ in names]
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["key", "start", "stop"])
+        yield told()
 
-    if shared.filter(F.col("n") > wide).isEmpty():
+    if several.filter(F.col("n") > wide).isEmpty():
         gathered, spread = around, None
     else:
         around = settle(around)
         gathered, spread = around.filter(F.col("n") <= wide), around.filter(F.col("n") > wide)
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = gathered.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(find, "key long, start long, stop long")
+    repeated = gathered.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(find, "c long, d long, back int, ahead int")
     if spread is not None:
-        spans = spans.unionByName(counted_windows(spread, length, most_left))
+        repeated = repeated.unionByName(counted_windows(spread, length, most_left))
+    repeated = checkpointed(repeated.unionByName(contexts.filter("twice").select("c", "d", "back", "ahead")))
+    # Each repeated context back to all its places, a list of spans for each text and context.
+    members = sifted(anchors, sieve(repeated, "c"), "c").select("c", "d", "key", "places").join(repeated, ["c", "d"])
+    span = F.transform("places", lambda p: F.struct((p - F.col("back")).alias("start"), (p + F.col("ahead")).alias("stop")))
     copies = texts.groupBy("key").agg(F.count("*").alias("rows"), F.first(F.octet_length("text")).alias("size"))
     copies = copies.filter((F.col("rows") > 1) & (F.col("size") >= length))
-    spans = spans.unionByName(copies.select("key", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("stop")))
-    return spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    entire = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("stop")))
+    spans = members.select("key", span.alias("some")).unionByName(copies.select("key", entire.alias("some")))
+    return spans.groupBy("key").agg(F.flatten(F.collect_set("some")).alias("spans"))
 
 
 def counted_windows(around: DataFrame, length: int, most_left: int) -> DataFrame:
-    """The windows of very large groups that occur more than once, by counting their hashes for every shift."""
-    rows = around.select("anchor", "key", "place", F.length("before").alias("left"), F.concat("before", "after").alias("bytes"))
+    """The part of each context of very large groups whose windows occur in another, by counting their hashes for every shift."""
+    rows = around.select("anchor", "c", "d", F.length("before").alias("left"), F.concat("before", "after").alias("bytes"))
     rows = rows.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(most_left))))
     rows = rows.filter((F.col("shift") <= F.col("left")) & (F.length("bytes") - F.col("left") + F.col("shift") >= length))
     window = F.substring("bytes", F.col("left") - F.col("shift") + 1, F.lit(length))
-    rows = rows.select("anchor", "shift", "key", "place", F.xxhash64(window).alias("h"), F.xxhash64(window, F.lit(1)).alias("g"))
+    rows = rows.select("anchor", "shift", "c", "d", F.xxhash64(window).alias("h"), F.xxhash64(window, F.lit(1)).alias("g"))
     many = rows.groupBy("anchor", "shift", "h", "g").count().filter("count > 1").drop("count")
-    start = F.col("place") - F.col("shift")
-    return rows.join(many, ["anchor", "shift", "h", "g"]).select("key", start.alias("start"), (start + length).alias("stop"))
+    met = rows.join(many, ["anchor", "shift", "h", "g"]).groupBy("c", "d").agg(F.max("shift").alias("back"), (length - F.min("shift")).alias("ahead"))
+    return met.select("c", "d", F.col("back").cast("int"), F.col("ahead").cast("int"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wide: int = WIDE) -> DataFrame:

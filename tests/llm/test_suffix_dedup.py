@@ -78,3 +78,13 @@ def test_deep_shallow_order():
             assert [strings[i] for i in order] == sorted(strings)
             assert prefixes[0] == 0
             assert prefixes[1:] == [s.common(strings[a], strings[b]) for a, b in zip(order, order[1:])]
+
+
+def test_periodic_texts_and_near_copies_have_few_contexts(spark):
+    rng = random.Random(6)
+    base = text(rng, "en", 60, 1)
+    rows = [(i, base[:200] + f"edit{i}" + base[200:], "en", "s") for i in range(12)]
+    rows += [(50, "foo bar " * 3000, "en", "s"), (51, "x" + "foo bar " * 40 + "y", "en", "s"), (52, "a" * 5000, None, None), (53, None, None, None), (54, "", "en", "s")]
+    for wide in (3, 100_000):
+        check(spark, rows, 60, wide=wide)
+    check(spark, rows, 400)
