@@ -12,7 +12,8 @@ Likeness of two fingerprints: of the parts that are not ``-`` in both, the share
 that is equal; where all are ``-`` in both, 1 if the fingerprints are equal. A text
 none of whose terms is in the lexicon falls back to all its distinct terms, so
 that short or odd texts differ from one another; a text without any term gives
-only ``-``. Null texts count as empty. Equal texts have equal fingerprints.
+only ``-``. Null texts count as empty. Equal texts have equal fingerprints, and so
+have repeated rows. Texts of any length are read as a whole; an empty table gives an empty one.
 
 How the lexicon is looked up: terms fall into 2^20 slots by hash; a table of one byte
 for each slot says which hold a term of the band. It takes 1 MiB for any corpus

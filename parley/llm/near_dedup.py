@@ -11,6 +11,9 @@ similarity. Linked texts form classes (transitively).
 Exact copies are one item from the start. Null and empty texts are one class;
 texts without words are copies or nothing. Every row gets the smallest id of its
 class; a class of rows without any id gives null. Texts are told apart by a 64-bit hash.
+A text of any length is read as a whole, as one cell; repeated rows are in one class.
+An empty table gives an empty one. Other columns are kept whatever their names, but
+for ``near``, which is replaced.
 """
 
 from __future__ import annotations
@@ -182,8 +185,9 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
 
 def survivors(near: DataFrame) -> DataFrame:
     """The rows of ``near_duplicates`` that stay, one of each class. Rows that are the same in id and text are marked alike; one of them stays."""
-    rows = near.filter("near.keep").withColumn("_row", F.xxhash64("doc_id", "near.text_id"))
-    again = checkpointed(rows.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("_row").alias("id")))
-    rows = sifted(rows, sieve(again), "_row", flag="_again")
-    once = rows.filter("_again").dropDuplicates(["doc_id", "_row"])
-    return rows.filter("not _again").unionByName(once).drop("_row", "_again")
+    whole = F.struct(*[F.col(f"`{c}`") for c in near.columns]).alias("doc")
+    rows = near.filter("near.keep").select(whole, F.xxhash64("doc_id", "near.text_id").alias("id"))
+    again = checkpointed(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
+    rows = sifted(rows, sieve(again), flag="again").withColumn("of", F.col("doc.doc_id"))
+    once = rows.filter("again").dropDuplicates(["of", "id"])
+    return rows.filter("not again").unionByName(once).select(*[F.col(f"doc.`{c}`").alias(c) for c in near.columns])

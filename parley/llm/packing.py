@@ -17,7 +17,8 @@ no padding; only the last ids of a shard do not fill one and are cut into sequen
 whose lengths are powers of two, which need none either.
 
 Null texts are empty: one id, the end. Repeated rows are packed each. A document
-may be cut anywhere; every id lies in exactly one piece.
+may be cut anywhere; every id lies in exactly one piece, however long it is. An empty
+table gives an empty one. Only ``doc_id`` and ``text`` are read, whatever else a row holds.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Every component becomes floor(256 * x). Rows with a null id, and vectors that
 are null or hold null or non-finite components, take no part. Vectors of
 different lengths are never compared. Rows that share a query's id are its own
 and no candidates; of several query rows with one id the smallest vector asks.
-Ties go to the smaller id. Products must stay below 2^53.
+Ties go to the smaller id. Products must stay below 2^53. Repeated rows are candidates
+each. An empty table, of rows or of queries, gives an empty one; further columns are not read.
 
 Queries and rows meet in blocks of bounded size; a block keeps ``k`` rows for
 each query, so what is shuffled after the comparison is small.

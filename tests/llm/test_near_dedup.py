@@ -90,3 +90,15 @@ def test_classes_of_chains_and_stars(spark):
 
 def test_empty_table(spark):
     assert nd.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_that_stay_whatever_other_columns_are_called(spark):
+    rng = random.Random(4)
+    a, b = text(rng, "en", 60), text(rng, "de", 60)
+    rows = [(1, a, "en", "s"), (1, a, "en", "s"), (2, a, "en", "s"), (3, b, "de", "s"), (None, b, "de", None), (4, None, None, None), (5, "", "en", "s")]
+    docs = corpus(spark, rows).selectExpr("*", "1 AS id", "2 AS again", "3 AS of", "4 AS doc", "5 AS _row", "6 AS near", "7 AS text_id")
+    left = nd.survivors(nd.near_duplicates(docs))
+    assert left.columns == [*[c for c in docs.columns if c != "near"], "near"]
+    got = left.collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3, 4] and all((r["id"], r["again"], r["of"], r["doc"], r["_row"], r["text_id"]) == (1, 2, 3, 4, 5, 7) for r in got)
+    assert nd.survivors(nd.near_duplicates(docs.limit(0))).count() == 0
