@@ -115,6 +115,16 @@ def test_rounding_and_units(spark):
     assert r.n == "Error: Conversion from kg to mile not supported"
 
 
+def test_units_round_exact_values(spark):
+    given = [0.125, 0.375, 1.005, 2.675, -0.125, -0.001, 1e7, 123456789.125, 0.0001, 1e-5, 1e16, 1.5e-7, 560.21]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "i int, v double")
+    two, text = X.two_decimals(F.col("v")), X.number_text(F.col("v"))
+    told = rows.select("v", two.alias("two"), text.alias("text"), X.convert_unit(F.col("v"), F.lit("kg"), F.lit("pounds")).alias("told")).orderBy("i").collect()
+    assert [r.two for r in told] == [f"{v:.2f}" for v in given]
+    assert [r.text for r in told] == [str(v) for v in given]
+    assert [r.told for r in told] == [f"{v} kg = {v * 2.20462:.2f} pounds" for v in given]
+
+
 def test_leaked_tags(spark):
     rows = column(spark, ["a", "<think>", "</tool_call><tool_call>", None]).select(T.leaked_tags(F.col("v")).alias("n")).collect()
     assert [r.n for r in rows] == [0, 1, 2, 0]
