@@ -76,3 +76,25 @@ def test_open_calls_and_timers_of_a_bucket():
     rest = list(own.handleExpiredTimer((0,), CLOCK, SimpleNamespace(getExpiryTimeInMs=lambda: 1101)))
     assert rest == [] and set(states["gone"]) == {("a",), ("b",)}
     assert not states["at"] and not states["waiting"] and not states["call_parts"]
+
+
+def test_traces_of_a_bucket_share_frames_and_keep_apart():
+    from parley.streaming.sampling import TailSampler
+
+    states, timers = {}, []
+    own = TailSampler(10)
+    own.init(SimpleNamespace(getMapState=lambda name, *_: states.setdefault(name, Map()), registerTimer=timers.append))
+    traces = [f"t{i}" for i in range(40)]
+
+    def spans(force, ts, name):
+        return pd.DataFrame([{"trace_id": t, "force_sample": force(t), "ts_ms": ts, "row": f"{t}-{name}"} for t in traces])
+
+    assert list(own.handleInputRows((0,), iter([spans(lambda t: False, 5, "a")]), CLOCK)) == []
+    out = list(own.handleInputRows((0,), iter([spans(lambda t: t < "t2", 7, "b"), spans(lambda t: False, 7, "c")]), CLOCK))
+    forced = [t for t in traces if t < "t2"]
+    assert sorted(r for f in out for r in f["row"]) == sorted(f"{t}-{n}" for t in forced for n in "abc")
+    assert timers == [15, 17] and {k[0] for k in states["spans"]} == set(traces) - set(forced)
+    list(own.handleExpiredTimer((0,), CLOCK, SimpleNamespace(getExpiryTimeInMs=lambda: 15)))
+    assert len(states["trace"]) == 40
+    list(own.handleExpiredTimer((0,), CLOCK, SimpleNamespace(getExpiryTimeInMs=lambda: 17)))
+    assert not states["trace"] and not states["spans"] and not states["due"]
