@@ -25,10 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import checkpointed, settle
-from parley.llm.linking import cached, classes, find_links, sieve, sifted
+from parley.llm.linking import classes, find_links, sieve, sifted
 
 SHINGLE, ROWS, BANDS, MIN_SIMILARITY = 10, 3, 8, 0.8
 CHUNK = 1 << 20  # characters hashed at once
+PAIRS = 4096  # pairs compared at once
 
 
 def _coefficients(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +82,55 @@ def shingles_of(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def similarity(a: set[str], b: set[str]) -> float:
-    both = len(a & b)
-    return both / (len(a) + len(b) - both)
+def hashed_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of all lines, one line after the other, and how many each line has; lines must not be empty."""
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    padded = np.maximum(lengths, SHINGLE)
+    if (lengths < SHINGLE).any():
+        lines = [x.ljust(SHINGLE, "\0") for x in lines]
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
+    for i in range(SHINGLE):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += codes[i : i + len(h)]
+    own = np.ones(len(codes), bool)  # shingles that cross into the next line do not count
+    for back in range(1, SHINGLE):
+        own[np.cumsum(padded) - back] = False
+    counts = padded - SHINGLE + 1
+    h = h[own[: len(h)]] + np.repeat(np.minimum(lengths, SHINGLE).astype(np.uint64) << np.uint64(32), counts)  # padding is no text
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h, counts
+
+
+def features_of(line: str) -> tuple[np.ndarray, np.ndarray]:
+    hashes = np.unique(hashed_shingles([line])[0])
+    return hashes, np.ones(len(hashes))
+
+
+def similarities(left: list[str], right: list[str]) -> np.ndarray:
+    """Jaccard similarity of each pair, for up to 4,096 at once: 51 bits of a hash tell the shingles of one pair apart."""
+    n = len(left)
+    h, counts = hashed_shingles(left + right)
+    owner = np.repeat(np.arange(2 * n, dtype=np.uint64), counts)
+    key = (owner % np.uint64(n)) << np.uint64(52) | (h >> np.uint64(13)) << np.uint64(1) | (owner >= n).astype(np.uint64)
+    key.sort()
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    pair, shingle = (key >> np.uint64(52)).astype(np.int64), key >> np.uint64(1)
+    sizes, both = np.bincount(pair, minlength=n), np.bincount(pair[1:][shingle[1:] == shingle[:-1]], minlength=n)
+    return both / (sizes - both)
+
+
+def compare(a: list, text_a: list, b: list, text_b: list) -> list[float]:
+    """Similarity of each pair, a bounded number of characters at once."""
+    out, start, size = [], 0, 0
+    for i, (x, y) in enumerate(zip(text_a, text_b), 1):
+        size += len(x) + len(y) + 2 * SHINGLE
+        if size > CHUNK or i - start == PAIRS or i == len(a):
+            out += similarities(text_a[start:i], text_b[start:i]).tolist()
+            start, size = i, 0
+    return out
 
 
 def document_key() -> Column:
@@ -125,11 +172,7 @@ def dropped_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> Da
         rows = sifted(lines_of(docs).select("id", "line"), sieve(ids))
         return rows.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("text"))
 
-    def compare(a: list, text_a: list, b: list, text_b: list) -> list[float]:
-        of = cached(shingles_of)
-        return [similarity(of(i, x), of(j, y)) for i, x, j, y in zip(a, text_a, b, text_b)]
-
-    roots = classes(find_links(members, texts_of, compare, min_similarity))
+    roots = classes(find_links(members, texts_of, compare, features_of, min_similarity))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "place")
     first = lines_of(docs).groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     first = checkpointed(first.join(roots, "id", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "id")))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import checkpointed, settle
-from parley.llm.linking import cached, classes, find_links, sieve, sifted
+from parley.llm.linking import cached, classes, find_links, sieve, sifted, similarity
 from parley.llm.vocabulary import most_frequent, word_counts, words_of
 
 HEAD, SHINGLE, ROWS, BANDS, MIN_SIMILARITY = 65_536, 5, 3, 11, 0.8
@@ -83,16 +83,6 @@ def weighted_shingles(text: str | None, weights: Weights) -> tuple[np.ndarray, n
     return shingles, count * (mean[first] / size)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity: sum of smaller over sum of larger weights."""
-    if not len(a[0]) or not len(b[0]):
-        return 0.0
-    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
-    both = b[0][at] == a[0]
-    low = np.minimum(a[1][both], b[1][at[both]]).sum()
-    return float(low / (a[1].sum() + b[1].sum() - low))
-
-
 class Sampler:
     """Consistent weighted samples; the same shingle and weight give the same draws in every text."""
 
@@ -171,7 +161,7 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
         of = cached(lambda text: weighted_shingles(text, weights), 256)
         return [similarity(of(i, x), of(j, y)) for i, x, j, y in zip(a, text_a, b, text_b)]
 
-    roots = classes(find_links(members, texts_of, compare, min_similarity))
+    roots = classes(find_links(members, texts_of, compare, lambda text: weighted_shingles(text, weights), min_similarity))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_id.alias("text_id"))
     known = docs.select("doc_id", text_id.alias("id")).groupBy("id").agg(F.min("doc_id").alias("first_id"))
     known = checkpointed(known.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
