@@ -28,7 +28,7 @@ from parley.llm.common import checkpointed, settle
 from parley.llm.linking import classes, find_links, sieve, sifted
 
 SHINGLE, ROWS, BANDS, MIN_SIMILARITY = 10, 3, 8, 0.8
-CHUNK = 1 << 20  # characters hashed at once
+CHUNK = 1 << 17  # characters hashed at once: arrays of them stay in the cache
 PAIRS = 4096  # pairs compared at once
 
 
