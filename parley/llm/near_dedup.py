@@ -34,7 +34,7 @@ from parley.llm.vocabulary import most_frequent, word_counts, words_of
 
 HEAD, SHINGLE, ROWS, BANDS, MIN_SIMILARITY = 65_536, 5, 3, 11, 0.8
 TABLE = 1 << 16  # entries of each table of random numbers
-CHUNK = 1 << 15  # shingles sampled at once
+CHUNK = 1 << 12  # shingles sampled at once
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,20 +89,25 @@ class Sampler:
     def __init__(self, samples: int = ROWS * BANDS, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.odd = (rng.integers(0, 1 << 63, samples, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        self.r = rng.gamma(2, 1, TABLE)
-        self.log_c = np.log(rng.gamma(2, 1, TABLE))
-        self.beta = rng.random(TABLE)
+        r = rng.gamma(2, 1, TABLE)
+        log_c = np.log(rng.gamma(2, 1, TABLE))
+        self.r, self.per_r, self.rest, self.beta = (x.astype(np.float32) for x in (r, 1 / r, log_c - r, rng.random(TABLE)))
 
     def sample(self, shingles: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """One hash for each sample: of the chosen shingle and its step."""
         best = np.full(len(self.odd), np.inf)
         chosen = np.zeros(len(self.odd), np.uint64)
         for start in range(0, len(shingles), CHUNK):
-            h, w = shingles[start : start + CHUNK], np.log(weight[start : start + CHUNK])
-            at = ((h[None, :] * self.odd[:, None]) >> np.uint64(48)).astype(np.int64)
-            r, beta = self.r[at], self.beta[at]
-            step = np.floor(w[None, :] / r + beta)
-            value = self.log_c[at] - r * (step - beta) - r
+            h, w = shingles[start : start + CHUNK], np.log(weight[start : start + CHUNK]).astype(np.float32)
+            at = ((h[None, :] * self.odd[:, None]) >> np.uint64(48)).astype(np.intp)
+            beta = self.beta.take(at)
+            step = self.per_r.take(at)
+            step *= w
+            step += beta
+            np.floor(step, step)
+            value = np.subtract(beta, step, beta)
+            value *= self.r.take(at)
+            value += self.rest.take(at)
             i = value.argmin(1)
             rows = np.arange(len(i))
             low = value[rows, i]
