@@ -62,3 +62,36 @@ def test_similarities_of_lines_are_exact():
     assert ld.compare(list(range(len(a))), a, list(range(len(b))), b) == want
     assert [linking.similarity(ld.features_of(x), ld.features_of(y)) for x, y in pairs] == want
     assert ld.compare([], [], [], []) == []
+
+
+def test_classes_by_few_tasks(spark):
+    """Few edges stand in few parts, and a graph whose classes are stars takes no turn: the driver keeps account of each task."""
+    rng = random.Random(14)
+    graphs = {
+        "stars": ([(k, k + i) for k in (0, 1000) for i in range(1, 200)], 60),
+        "hub": ([(5000, i) for i in range(200)], 250),
+        "random": ([(rng.randrange(200), rng.randrange(200)) for _ in range(150)], 1000),
+        "none": ([(7, 7)], 60),
+    }
+    context, kept = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        for name, (links, most) in graphs.items():
+            root = {x: x for a, b in links if a != b for x in (a, b)}
+            for _ in root:
+                for a, b in links:
+                    if a != b:
+                        root[a] = root[b] = min(root[a], root[b])
+            context.setJobGroup(f"classes of {name}", name)
+            made = linking.classes(spark.createDataFrame(links, "a long, b long").coalesce(2))
+            told = context.statusTracker()
+            stages = {s for j in told.getJobIdsForGroup(f"classes of {name}") for s in told.getJobInfo(j).stageIds}
+            tasks = sum(x.numCompletedTasks for x in map(told.getStageInfo, stages) if x)
+            got = [(r["id"], r["root"]) for r in made.collect()]
+            assert len(got) == len(root) and dict(got) == root
+            assert tasks <= most, (name, tasks)
+    finally:
+        context._jsc.clearJobGroup()
+        for k, v in kept.items():
+            spark.conf.set(k, v)
