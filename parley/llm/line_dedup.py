@@ -17,6 +17,7 @@ lines that are candidates and the documents that may lose a line.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import checkpointed, settle
+from parley.llm.common import checkpointed, settle, small_batches
 from parley.llm.linking import classes, find_links, sieve, sifted
 
 SHINGLE, ROWS, BANDS, MIN_SIMILARITY = 10, 3, 8, 0.8
 CHUNK = 1 << 17  # characters hashed at once: arrays of them stay in the cache
 PAIRS = 4096  # pairs compared at once
+BLANK = " \t\n\x0b\f\r"
 
 
 def _coefficients(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -41,31 +43,40 @@ def _coefficients(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
 ODD, FLIP = _coefficients()
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """MinHash values, one row of ROWS * BANDS for each line; lines must not be empty."""
+def rolled(codes: np.ndarray, base: int) -> np.ndarray:
+    """The polynomial hash of each run of SHINGLE codes, modulo 2 ** 32 or 2 ** 64."""
+    h = codes[: len(codes) - SHINGLE + 1].copy()
+    for i in range(1, SHINGLE):
+        h *= codes.dtype.type(base)
+        h += codes[i : i + len(h)]
+    return h
+
+
+def laid_out(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of all lines, one line after the other, each padded to a shingle at least; lengths before and after padding."""
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    padded = np.maximum(lengths, SHINGLE)
     if (lengths < SHINGLE).any():
         lines = [x.ljust(SHINGLE, "\0") for x in lines]
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = len(codes) - SHINGLE + 1
-    h = np.zeros(n, np.uint32)
-    for i in range(SHINGLE):
-        h = h * np.uint32(0x01000193) + codes[i : i + n] * np.uint32(0x9E3779B1)
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), lengths, np.maximum(lengths, SHINGLE)
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """MinHash values, one row of ROWS * BANDS for each line; lines must not be empty."""
+    codes, _, padded = laid_out(lines)
+    h = rolled(codes * np.uint32(0x9E3779B1), 0x01000193)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(13)
-    starts = np.concatenate([[0], np.cumsum(padded)[:-1]])
-    own = np.ones(len(codes), bool)  # shingles that cross into the next line do not count
-    for back in range(1, SHINGLE):
-        own[np.cumsum(padded) - back] = False
-    h = h[own[:n]]
-    starts = np.concatenate([[0], np.cumsum(padded - SHINGLE + 1)[:-1]])
-    out = np.empty((len(lines), ROWS * BANDS), np.uint32)
+    # Every other stretch holds the shingles that cross into the next line, which do not count.
+    stops = np.cumsum(padded)
+    stretches = np.stack([stops - padded, stops - SHINGLE + 1], axis=1).ravel()[:-1]
+    out = np.empty((ROWS * BANDS, len(lines)), np.uint32)
+    mixed = np.empty_like(h)
     for k in range(ROWS * BANDS):
-        mixed = (h ^ FLIP[k]) * ODD[k]
-        out[:, k] = np.minimum.reduceat(mixed ^ (mixed >> np.uint32(16)), starts)
-    return out
+        np.bitwise_xor(h, FLIP[k], mixed)
+        mixed *= ODD[k]
+        out[k] = np.minimum.reduceat(mixed, stretches)[::2]
+    return out.T
 
 
 def buckets_of(signature: np.ndarray) -> np.ndarray:
@@ -84,20 +95,13 @@ def shingles_of(line: str) -> set[str]:
 
 def hashed_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of all lines, one line after the other, and how many each line has; lines must not be empty."""
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    padded = np.maximum(lengths, SHINGLE)
-    if (lengths < SHINGLE).any():
-        lines = [x.ljust(SHINGLE, "\0") for x in lines]
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
-    for i in range(SHINGLE):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += codes[i : i + len(h)]
+    codes, lengths, padded = laid_out(lines)
+    h = rolled(codes.astype(np.uint64), 0x9E3779B97F4A7C15)
     own = np.ones(len(codes), bool)  # shingles that cross into the next line do not count
-    for back in range(1, SHINGLE):
-        own[np.cumsum(padded) - back] = False
+    own[(np.cumsum(padded)[:, None] - np.arange(1, SHINGLE)).ravel()] = False
     counts = padded - SHINGLE + 1
-    h = h[own[: len(h)]] + np.repeat(np.minimum(lengths, SHINGLE).astype(np.uint64) << np.uint64(32), counts)  # padding is no text
+    h = h[own[: len(h)]]
+    h += np.repeat(np.minimum(lengths, SHINGLE).astype(np.uint64) << np.uint64(32), counts)  # padding is no text
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
@@ -112,13 +116,18 @@ def features_of(line: str) -> tuple[np.ndarray, np.ndarray]:
 def similarities(left: list[str], right: list[str]) -> np.ndarray:
     """Jaccard similarity of each pair, for up to 4,096 at once: 51 bits of a hash tell the shingles of one pair apart."""
     n = len(left)
-    h, counts = hashed_shingles(left + right)
-    owner = np.repeat(np.arange(2 * n, dtype=np.uint64), counts)
-    key = (owner % np.uint64(n)) << np.uint64(52) | (h >> np.uint64(13)) << np.uint64(1) | (owner >= n).astype(np.uint64)
+    key, counts = hashed_shingles(left + right)
+    key >>= np.uint64(13)
+    key <<= np.uint64(1)
+    pair = np.arange(n, dtype=np.uint64) << np.uint64(52)
+    key |= np.repeat(np.concatenate([pair, pair | np.uint64(1)]), counts)
     key.sort()
     key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    pair, shingle = (key >> np.uint64(52)).astype(np.int64), key >> np.uint64(1)
-    sizes, both = np.bincount(pair, minlength=n), np.bincount(pair[1:][shingle[1:] == shingle[:-1]], minlength=n)
+    starts = np.searchsorted(key, pair)
+    sizes = np.diff(starts, append=len(key))
+    met = np.zeros(len(key), bool)
+    np.equal(key[1:] ^ key[:-1], np.uint64(1), met[1:])  # the shingle of the left line, then that of the right one
+    both = np.add.reduceat(met, starts, dtype=np.int64)
     return both / (sizes - both)
 
 
@@ -140,7 +149,7 @@ def document_key() -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(key, doc_id, place, line, id) of all lines that are not blank."""
     rows = docs.select(document_key().alias("key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return rows.filter(F.col("line").rlike(r"\S")).withColumn("id", F.xxhash64("line"))
+    return rows.filter(F.ltrim("line", F.lit(BLANK)) != "").withColumn("id", F.xxhash64("line"))
 
 
 def dropped_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -148,43 +157,47 @@ def dropped_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> Da
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = {}, 0
+            held, times, size = {}, Counter(), 0
             for i, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                times[i] += 1
                 if i not in held:
                     held[i] = line
                     size += len(line)
                 if size > CHUNK:
-                    yield signed_batch(held)
-                    held, size = {}, 0
+                    yield signed_batch(held, times)
+                    held, times, size = {}, Counter(), 0
             if held:
-                yield signed_batch(held)
+                yield signed_batch(held, times)
 
-    def signed_batch(held: dict[int, str]) -> pa.RecordBatch:
+    def signed_batch(held: dict[int, str], times: Counter) -> pa.RecordBatch:
         buckets = buckets_of(signatures(list(held.values())))
-        lists = pa.ListArray.from_arrays(np.arange(0, buckets.size + 1, BANDS, dtype=np.int32), buckets.ravel())
-        return pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), lists], names=["id", "buckets"])
+        columns = [pa.array(held, pa.int64()), pa.array([times[i] for i in held], pa.int64()), *(pa.array(b) for b in buckets.T)]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "n", *names])
 
-    signed = lines_of(docs).select("id", "line").mapInArrow(sign, "id long, buckets array<long>")
-    signed = settle(signed.groupBy("id").agg(F.first("buckets").alias("buckets")))
-    members = signed.select("id", F.explode("buckets").alias("bucket"))
+    # Buckets are columns of their own: values of fixed size combine in a hash table, lists would have to be sorted.
+    names = [f"b{i}" for i in range(BANDS)]
+    signed = lines_of(docs).select("id", "line").mapInArrow(sign, "id long, n long, " + ", ".join(f"{b} long" for b in names))
+    signed = settle(signed.groupBy("id").agg(F.sum("n").alias("n"), *[F.first(b).alias(b) for b in names]))
+    members = signed.select("id", F.explode(F.array(*names)).alias("bucket"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         rows = sifted(lines_of(docs).select("id", "line"), sieve(ids))
         return rows.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("text"))
 
     roots = classes(find_links(members, texts_of, compare, features_of, min_similarity))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "place")
-    first = lines_of(docs).groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    first = checkpointed(first.join(roots, "id", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "id")))
-    stays = first.groupBy("root").agg(F.min("first").alias("stays"))
-    shared = checkpointed(first.join(stays, "root").select("id", "stays.key", "stays.place").toDF("id", "stay_key", "stay_place"))
-    rows = sifted(lines_of(docs).select("key", "place", "id"), sieve(shared)).join(shared, "id")
-    gone = rows.filter((F.col("key") != F.col("stay_key")) | (F.col("place") != F.col("stay_place")))
+    # Only lines that stand twice or are linked can lose a place; theirs are written once, without texts.
+    again = signed.select("id", "n").join(roots, "id", "left").filter("n > 1 or root is not null")
+    again = checkpointed(again.select("id", F.coalesce("root", "id").alias("root")))
+    places = settle(sifted(lines_of(docs).select("key", "doc_id", "place", "id"), sieve(again)).join(again, "id").drop("id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "place"))
+    stays = places.groupBy("root").agg(first.alias("stays")).select("root", F.col("stays.key").alias("stay_key"), F.col("stays.place").alias("stay_place"))
+    gone = places.join(stays, "root").filter((F.col("key") != F.col("stay_key")) | (F.col("place") != F.col("stay_place")))
     return gone.groupBy("key").agg(F.collect_set("place").alias("places"))
 
 
 def dedup_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """``docs`` (doc_id, text and any further columns) with the text that stays and ``lines``, a struct: n_lines, n_kept."""
+    small_batches(docs.sparkSession)
     gone = checkpointed(dropped_lines(docs, min_similarity))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), document_key().alias("key"))
     rows = sifted(rows, sieve(gone, "key"), "key", flag="maybe")
@@ -192,7 +205,7 @@ def dedup_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> Data
     rows = cut.unionByName(rows.filter("not maybe").withColumn("places", F.lit(None).cast("array<int>")))
     lines = F.split("doc.text", "\n")
     kept = F.filter(lines, lambda line, i: ~F.array_contains(F.coalesce("places", F.array().cast("array<int>")), i))
-    n = F.coalesce(F.size(lines), F.lit(0))
+    n = F.octet_length("doc.text") - F.octet_length(F.replace("doc.text", F.lit("\n"), F.lit(""))) + 1  # text is not cut up for it
     text = F.when(F.col("places").isNull(), F.col("doc.text")).otherwise(F.concat_ws("\n", kept))
     counted = F.struct(n.alias("n_lines"), (n - F.coalesce(F.size("places"), F.lit(0))).alias("n_kept"))
     columns = [text.alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != "lines"]

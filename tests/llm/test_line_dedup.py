@@ -67,5 +67,12 @@ def test_signatures_do_not_depend_on_neighbours():
     assert all((together[i] == ld.signatures([x])[0]).all() for i, x in enumerate(lines))
 
 
+def test_texts_are_read_once_for_signatures_candidates_and_places_each(spark, monkeypatch):
+    asked, lines_of = [], ld.lines_of
+    monkeypatch.setattr(ld, "lines_of", lambda docs: asked.append(docs) or lines_of(docs))
+    gone = ld.dropped_lines(corpus(spark, rows_with_shared_lines(3)))
+    assert gone.count() > 0 and len(asked) == 3
+
+
 def test_empty_table(spark):
     assert ld.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
