@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.llm.common import small_batches
+
 FEATURES = 1 << 14
 STEEP = 12.0  # of the logistic curve over margins
 
@@ -193,11 +195,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 names=[*batch.schema.names[:-1], "lang_pred", "score"],
             )
 
+    small_batches(docs.sparkSession)
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
     return rows.mapInArrow(label, f"{kinds}, lang_pred string, score double")
 
 
-def in_groups(rows: np.ndarray, texts: pa.Array, most_rows: int = 48, most_bytes: int = 2_000_000) -> Iterator[list[int]]:
+def in_groups(rows: np.ndarray, texts: pa.Array, most_rows: int = 48, most_bytes: int = 250_000) -> Iterator[list[int]]:
     """Rows in groups of bounded size; a longer text is a group of its own."""
     group, held = [], 0
     for i in rows.tolist():

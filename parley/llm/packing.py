@@ -26,6 +26,7 @@ from __future__ import annotations
 import sys
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +58,10 @@ class Words:
     def of_pieces(self, texts: list[list[int] | np.ndarray], tokens: Tokens) -> list[np.ndarray]:
         arrays = [t for t in texts if isinstance(t, np.ndarray)]
         seen = np.unique(np.concatenate([np.zeros(0, np.int64), *arrays]))
-        wanted, table = set(seen.tolist()), np.zeros(len(tokens.number) + 1, np.int64)
-        for piece, n in tokens.number.items():
-            if n in wanted:
-                table[n] = self.number.setdefault(as_text(piece).strip().lower().encode("utf-8", "surrogatepass"), len(self.number))
+        wanted, table = np.zeros(len(tokens.number) + 1, bool), np.zeros(len(tokens.number) + 1, np.int64)
+        wanted[seen] = True
+        for n, piece in zip(seen.tolist(), compress(tokens.number, wanted)):  # pieces stand in the order of their numbers
+            table[n] = self.number.setdefault(as_text(piece).strip().lower().encode("utf-8", "surrogatepass"), len(self.number))
         blank = self.number.get(b"", -1)
         made = [table[t] if isinstance(t, np.ndarray) else np.array(t, np.int64) for t in texts]
         return [t[t != blank] for t in made]
@@ -235,22 +236,25 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, shard_b
         table = table.sort_by("doc_id")  # the same order in every run
         texts = [t or "" for t in table.column("text").to_pylist()]
         ids = []
-        if len(tokens.number) > MOST_PIECES:
-            tokens.clear()
         words = Words(*known.value[:2])
         numbers = []
         for i in range(0, len(texts), 256):
             for text, (own, pieces) in zip(texts[i : i + 256], tokens.of(texts[i : i + 256])):
                 ids.append(np.append(own, np.uint32(END)))
                 numbers.append(words.of_text(text) if pieces is None else pieces)
-        numbers = words.of_pieces(numbers, tokens)
-        index = Index(numbers, words.idf(), known.value[2])
+        numbers, idf = words.of_pieces(numbers, tokens), words.idf()
+        doc_ids = table.column("doc_id")
+        del table, texts, words  # the index needs memory of its own
+        if len(tokens.number) > MOST_PIECES:
+            tokens.clear()
+        index = Index(numbers, idf, known.value[2])
+        del numbers
         order = arrange(list(map(len, ids)), index, window)
         del index
         pieces = sequences([len(ids[d]) for d in order], window)
         doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces))
         doc = np.array(order)[doc]
-        names = table.column("doc_id").take(pa.array(doc))
+        names = doc_ids.take(pa.array(doc))
         data = [ids[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist())]
         tokens_of = np.fromiter(map(len, ids), np.int64, len(ids))[doc]
         return pa.table({

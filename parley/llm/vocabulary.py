@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.common import small_batches
+
 #: Most words that a task counts before it hands them on.
 HELD = 400_000
 
@@ -36,6 +38,7 @@ def word_counts(texts: DataFrame, once_per_text: bool = False) -> DataFrame:
     def table(held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
 
+    small_batches(texts.sparkSession)
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 

@@ -1,4 +1,9 @@
 import corpus_pipeline as cp
+import numpy as np
+import pyarrow as pa
+import pytest
+from parley.llm import language_id, line_dedup, vocabulary
+from pyspark.sql import functions as F
 
 from .helpers import mixed_rows, corpus
 from .test_line_dedup import rows_with_shared_lines
@@ -28,3 +33,25 @@ def test_stages_keep_the_columns_and_decide(spark, tmp_path):
 
 def test_names():
     assert [name for name, _ in cp.STAGES] == ["language_id", "line_dedup", "near_dedup", "mixing", "packing"]
+
+
+@pytest.mark.parametrize("step", [lambda d: language_id.identify(d, language_id.fit([], [])), line_dedup.dedup_lines, vocabulary.word_counts])
+def test_whole_texts_go_to_python_in_small_batches(spark, step):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    docs = spark.range(3000).select(F.concat(F.lit("text "), "id").alias("text"), F.col("id").alias("doc_id")).coalesce(1)
+    step(docs).count()
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    seen = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert max(seen) <= 1000 and sum(seen) == 3000
+
+
+def test_long_texts_are_told_apart_in_small_groups():
+    texts = pa.array(["x" * 100_000] * 20 + ["y" * 3_000_000] + ["z"] * 100)
+    groups = list(language_id.in_groups(np.arange(len(texts)), texts))
+    assert [i for g in groups for i in g] == list(range(121))
+    assert all(len(g) == 1 or sum(len(texts[i].as_py()) for i in g) <= 250_000 for g in groups)
