@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import small_batches
+from parley.llm.common import release, small_batches
 
 FEATURES = 1 << 14
 STEEP = 12.0  # of the logistic curve over margins
@@ -194,6 +194,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 names=[*batch.schema.names[:-1], "lang_pred", "score"],
             )
+        release()
 
     small_batches(docs.sparkSession)
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import checkpointed, settle
+from parley.llm.common import checkpointed, release, settle
 from parley.llm.linking import cached, classes, find_links, sieve, sifted, similarity
 from parley.llm.vocabulary import most_frequent, word_counts, words_of
 
@@ -153,6 +153,8 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
                     ids.append(i)
                     buckets.append(bands_of(sampler.sample(shingles, weight)).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], names=["id", "buckets"])
+        weights.clear()
+        release()
 
     signed = docs.select(text_id.alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sign, "id long, buckets array<long>")
     signed = settle(signed.groupBy("id").agg(F.first("buckets").alias("buckets")))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import checkpointed
+from parley.llm.common import checkpointed, release
 from parley.llm.linking import sieve, sifted
 from parley.llm.near_dedup import learn_weights
 from parley.llm.tokens import MOST_PIECES, Tokens, as_text, default_path, tokens_at
@@ -251,6 +251,7 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, shard_b
         del numbers
         order = arrange(list(map(len, ids)), index, window)
         del index
+        release()
         pieces = sequences([len(ids[d]) for d in order], window)
         doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces))
         doc = np.array(order)[doc]

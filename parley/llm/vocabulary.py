@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import small_batches
+from parley.llm.common import release, small_batches
 
 #: Most words that a task counts before it hands them on.
 HELD = 400_000
@@ -34,6 +34,8 @@ def word_counts(texts: DataFrame, once_per_text: bool = False) -> DataFrame:
                     held.clear()
         if held:
             yield table(held)
+            held.clear()
+        release()
 
     def table(held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
